@@ -54,7 +54,7 @@ def text_sha256(text: Column) -> Column:
 
 
 def elapsed_seconds(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / 1e6
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
 
 
 def elapsed_minutes(start: Column, end: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 
+TIE_DIGITS = 9  # scores equal to this many digits are ties, broken by name
+
 
 def js_distance(rows: DataFrame, batch: Sequence[str], key: str, distribution: str = "distribution") -> DataFrame:
     """batch..., key_1, key_2, js for all document pairs of a batch (of bounded size)."""
@@ -89,7 +91,7 @@ def relevance(phi: DataFrame, shares: DataFrame, weight: float = 0.6, n: int = 3
     """topic, place, term, relevance = w ln phi + (1-w) ln(phi / p(w)): the n most relevant terms per topic."""
     rows = _with_marginals(phi, shares).filter("phi > 0")
     score = weight * F.log("phi") + (1 - weight) * F.log(F.col("phi") / F.col("p_w"))
-    order = Window.partitionBy("topic").orderBy(F.col("relevance").desc(), "term")
+    order = Window.partitionBy("topic").orderBy(F.round("relevance", TIE_DIGITS).desc(), "term")
     scored = rows.select("topic", "term", score.alias("relevance"))
     return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
@@ -98,7 +100,7 @@ def per_word_topics(phi: DataFrame, shares: DataFrame, minimum: float = 0.01) ->
     """term, place, topic, p: topics of each word by p(t|w), those below the minimum left out."""
     rows = _with_marginals(phi, shares).filter("joint > 0")
     shown = rows.select("term", "topic", (F.col("joint") / F.col("p_w")).alias("p")).filter(F.col("p") >= minimum)
-    order = Window.partitionBy("term").orderBy(F.col("p").desc(), "topic")  # at most k rows per term
+    order = Window.partitionBy("term").orderBy(F.round("p", TIE_DIGITS).desc(), "topic")  # at most k rows per term
     return shown.withColumn("place", F.row_number().over(order))
 
 

@@ -7,7 +7,7 @@ by Spark, and the update is a column expression. Only k topic totals pass throug
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from . import variational as V
-from .dictionary import term_counts, with_bag
-from .shape import unnest
+from .dictionary import term_counts, term_rows, with_bag
 from .skew import spread_join
 
 cloudpickle.register_pickle_by_value(V)
@@ -43,65 +42,90 @@ def topic_totals(weights: DataFrame, k: int) -> np.ndarray:
     return np.array(weights.agg(*[F.sum(F.get("weights", F.lit(t))) for t in range(k)]).first(), dtype=float)
 
 
-def _emit(terms, stats) -> pd.DataFrame:
-    return pd.DataFrame({"term": terms, "stats": list(stats)})
+Emit = Callable[..., pd.DataFrame]
 
 
-def _broadcast_step(table, totals, alpha, iterations):
+def _visitor(lookup: Callable, totals: np.ndarray, alpha: np.ndarray, iterations: int, emit: Emit) -> Callable:
+    """Inference over Arrow batches of (doc_id, bag); `lookup` gives the weight rows of the distinct terms."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, weights = table.value
         log_total = V.digamma(totals)
-        slot = {t: i for i, t in enumerate(terms)}
         for pdf in batches:
-            bags = [b for b in pdf["bag"] if len(b)]
-            if not bags:
+            rows = pdf[pdf["bag"].map(len) > 0]
+            if rows.empty:
                 continue
-            ids = np.array([slot[e["term"]] for b in bags for e in b])
-            counts = np.array([e["n"] for b in bags for e in b], dtype=float)
-            indptr = np.cumsum([0] + [len(b) for b in bags])
-            used, local = np.unique(ids, return_inverse=True)
-            beta = np.exp(V.digamma(weights[used]) - log_total)
-            _, expected = V.infer(indptr, counts, beta[local], alpha, iterations)
-            sums = np.zeros_like(beta)
-            np.add.at(sums, local, expected)
-            yield _emit([terms[i] for i in used], sums)
+            entries = [e for bag in rows["bag"] for e in bag]
+            counts = np.array([e["n"] for e in entries], dtype=float)
+            indptr = np.cumsum([0] + [len(bag) for bag in rows["bag"]])
+            terms, first, local = np.unique([e["term"] for e in entries], return_index=True, return_inverse=True)
+            log_beta = V.digamma(lookup(terms, [entries[i] for i in first])) - log_total
+            gamma, expected = V.infer(indptr, counts, np.exp(log_beta)[local], alpha, iterations)
+            yield emit(rows["doc_id"].to_numpy(), terms, local, indptr, counts, log_beta[local], gamma, expected, alpha)
 
     return run
 
 
-def _joined_step(totals, alpha, iterations):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log_total = V.digamma(totals)
-        for pdf in batches:
-            entries = [e for words in pdf["words"] for e in words]
-            counts = np.array([e["n"] for e in entries], dtype=float)
-            indptr = np.cumsum([0] + [len(w) for w in pdf["words"]])
-            beta = np.exp(V.digamma(np.stack([np.asarray(e["weights"], dtype=float) for e in entries])) - log_total)
-            _, expected = V.infer(indptr, counts, beta, alpha, iterations)
-            yield _emit([e["term"] for e in entries], expected)
+def _emit_stats(doc_ids, terms, local, indptr, counts, log_beta, gamma, expected, alpha) -> pd.DataFrame:
+    sums = np.zeros((len(terms), expected.shape[1]))
+    np.add.at(sums, local, expected)
+    return pd.DataFrame({"term": terms, "stats": list(sums)})
 
-    return run
 
+def _emit_bounds(doc_ids, terms, local, indptr, counts, log_beta, gamma, expected, alpha) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "doc_id": doc_ids,
+            "n_tokens": np.add.reduceat(counts, indptr[:-1]).astype("int64"),
+            "bound": V.document_bounds(indptr, counts, log_beta, gamma, alpha),
+            "distribution": list(gamma / gamma.sum(axis=1, keepdims=True)),
+        }
+    )
 
-def expected_counts(docs: DataFrame, weights: DataFrame, counts: DataFrame, k: int, alpha: float, iterations: int, cells: int) -> DataFrame:
-    """term, stats: expected topic counts summed over the documents (doc_id, tokens)."""
-    totals = topic_totals(weights, k)
-    prior = np.full(k, alpha)
+
+def _visit(docs: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int, cells: int, emit: Emit, schema: str) -> DataFrame:
+    """Run inference for every document, with the weights broadcast or joined by their checked size."""
+    totals, prior = topic_totals(weights, k), np.full(k, alpha)
     limit = cells // k
-    held = weights.limit(limit + 1).count()
-    if held <= limit:
+    if weights.limit(limit + 1).count() <= limit:
         rows = weights.collect()
-        table = docs.sparkSession.sparkContext.broadcast(([r.term for r in rows], np.array([r.weights for r in rows])))
-        parts = with_bag(docs).select("bag").mapInPandas(_broadcast_step(table, totals, prior, iterations), "term string, stats array<double>")
+        slots = {r.term: i for i, r in enumerate(rows)}
+        table = docs.sparkSession.sparkContext.broadcast((slots, np.array([r.weights for r in rows])))
+
+        def lookup(terms, entries):
+            slot, held = table.value
+            return held[[slot[t] for t in terms]]
+
+        bags = with_bag(docs).select("doc_id", "bag")
     else:
-        words = unnest(with_bag(docs), ["doc_id"], F.col("bag"), "b").select("doc_id", "b.term", "b.n")
-        lookup = weights.join(counts.select("term", "df"), "term")
-        met = spread_join(words, lookup, ["term"], "df", ["doc_id"])
-        grouped = met.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n", "weights")).alias("words"))
-        parts = grouped.select("words").mapInPandas(_joined_step(totals, prior, iterations), "term string, stats array<double>")
+        words = term_rows(docs, ["doc_id"])
+        lookup_rows = weights.join(term_counts(docs).select("term", "df"), "term")
+        met = spread_join(words, lookup_rows, ["term"], "df", ["doc_id"])
+        bags = met.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n", "weights")).alias("bag"))
+
+        def lookup(terms, entries):
+            return np.stack([np.asarray(e["weights"], dtype=float) for e in entries])
+
+    return bags.mapInPandas(_visitor(lookup, totals, prior, iterations, emit), schema)
+
+
+def expected_counts(docs: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int = 50, cells: int = BROADCAST_CELLS) -> DataFrame:
+    """term, stats: expected topic counts summed over the documents (doc_id, tokens)."""
+    parts = _visit(docs, weights, k, alpha, iterations, cells, _emit_stats, "term string, stats array<double>")
     return parts.groupBy("term").agg(F.array(*[F.sum(F.get("stats", F.lit(t))) for t in range(k)]).alias("stats"))
 
 
+def document_scores(docs: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int = 50, cells: int = BROADCAST_CELLS) -> DataFrame:
+    """doc_id, n_tokens, bound, per_word_bound, distribution of each document, which may be held out."""
+    schema = "doc_id bigint, n_tokens bigint, bound double, distribution array<double>"
+    rows = _visit(docs, weights, k, alpha, iterations, cells, _emit_bounds, schema)
+    return rows.withColumn("per_word_bound", F.col("bound") / F.col("n_tokens"))
+
+
+def mean_doc_bound(scores: DataFrame) -> DataFrame:
+    """Score (sum of bounds) and mean per-document per-word bound."""
+    return scores.agg(F.sum("bound").alias("score"), F.avg("per_word_bound").alias("mean_doc_bound"), F.count("*").alias("n_docs"))
+
+
 def update_topics(
     docs: DataFrame,
     weights: DataFrame | None,
@@ -127,7 +151,7 @@ def update_topics(
     n_docs = docs.count()
     scale = max(docs_so_far or n_docs, n_docs) / max(n_docs, 1)
     rho = (offset + step) ** -decay
-    stats = expected_counts(docs, current, counts, k, alpha, iterations, broadcast_cells)
+    stats = expected_counts(docs, current, k, alpha, iterations, broadcast_cells)
     joined = current.join(stats, "term", "left")
     zero = F.array_repeat(F.lit(0.0), k)
     blended = F.zip_with(
