@@ -1 +1,175 @@
-"""Queries."""
+"""Queries that fit and judge topic models; checked by invariants, because SQL cannot fit a model."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import batch_models as B
+from ..operators import coherence as CO
+from ..operators import corpus as C
+from ..operators import dictionary as D
+from ..operators import geometry as G
+from ..operators import grid as GR
+from ..operators import online as ON
+from ..operators import runs as R
+from ..operators import splits as S
+from ..operators import stats as ST
+from ..operators import topic_models as TM
+from ..runtime import materialize
+from .catalog import SEED, documents, query, rounded
+
+K, ALPHA, ETA, PASSES = 5, 0.2, 0.2, 5
+
+
+def english_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """split, doc_id, features of the English documents, and the vocabulary."""
+    docs = C.drop_empty(documents(spark, sf, lang="en"))
+    vocabulary = D.driver_vocabulary(D.build_dictionary(docs))
+    split = S.split_train_eval(docs, "doc_id", SEED)
+    vectors = D.count_vectorize(split, vocabulary).select("split", "doc_id", "features")
+    return materialize(vectors, "vectors"), vocabulary
+
+
+@query()
+def fit_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten strongest words of each topic."""
+    vectors, vocabulary = english_vectors(spark, sf)
+    model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
+    return TM.topic_words(model, vocabulary, 10)
+
+
+@query()
+def fitted_topic_word_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, vocabulary = english_vectors(spark, sf)
+    model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
+    return G.topic_word_matrix(TM.topic_words(model, vocabulary))
+
+
+@query()
+def model_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Bound and perplexity on the training documents and on the held-out ones."""
+    vectors, _ = english_vectors(spark, sf)
+    train, held_out = vectors.filter("split = 'train'"), vectors.filter("split = 'eval'")
+    model = TM.fit_topics(train, K, ALPHA, ETA, passes=PASSES)
+    return TM.scores(model, train).withColumn("split", F.lit("train")).unionByName(
+        TM.scores(model, held_out).withColumn("split", F.lit("eval"))
+    )
+
+
+@query()
+def doc_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Topic shares of all English documents, as one row per document and topic."""
+    vectors, _ = english_vectors(spark, sf)
+    model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
+    return TM.doc_topics(model, vectors).select("doc_id", F.posexplode("distribution").alias("topic", "share"))
+
+
+@query()
+def grid_search_cv(spark: SparkSession, sf: str) -> DataFrame:
+    """Topic counts and decay rates compared over three folds."""
+    vectors, _ = english_vectors(spark, sf)
+    results = TM.grid_search(vectors, [3, K], [ALPHA], [ETA], decays=(0.5, 0.7, 0.9), folds=3, passes=2)
+    return TM.best_point(results)
+
+
+GRID = {"topics": [3, K], "alpha_str": ["symmetric"], "beta_str": ["0.31"]}
+
+
+def batch_fits(spark: SparkSession, sf: str, passes: int = 3, **settings) -> tuple[DataFrame, DataFrame]:
+    """Fits of every grid point on every batch of all documents, and the text hashes of the batches."""
+    batches = materialize(S.assign_batches(C.drop_empty(documents(spark, sf)), "doc_id", SEED), "batches")
+    grid = GR.product(spark, {**GRID, "type": ["train"]})
+    fits = B.fit_per_batch(batches, grid, passes=passes, **settings)
+    return materialize(fits, "fits"), D.batch_fingerprint(batches, ["split", "batch_id"], "pos")
+
+
+@query()
+def fit_topics_per_batch(spark: SparkSession, sf: str) -> DataFrame:
+    fits, _ = batch_fits(spark, sf)
+    return fits.select(*B.run_key_columns(), "n_docs", "n_tokens", "convergence", "perplexity", "coherence")
+
+
+@query()
+def train_run_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Run-table rows of all batch models, without the nested word lists."""
+    fits, fingerprints = batch_fits(spark, sf)
+    n = fits.select(F.count("*")).scalar()
+    rows = B.train_run_rows(fits, fingerprints, 60, spark.sparkContext.defaultParallelism, 0, passes=3)
+    return R.stamp_run_columns(rows, 60, spark.sparkContext.defaultParallelism, n).withColumn(
+        "top_words", F.to_json("top_words")
+    )
+
+
+@query()
+def batch_topic_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-axis map of the documents of each batch model, from their fitted topic shares."""
+    fits, _ = batch_fits(spark, sf)
+    return G.pcoa_2d(B.doc_topic_rows(fits), B.run_key_columns(), "doc_id")
+
+
+@query()
+def fit_per_document(spark: SparkSession, sf: str) -> DataFrame:
+    """One model per document."""
+    docs = C.drop_empty(documents(spark, sf))
+    grid = GR.product(spark, {"topics": [2], "alpha_str": ["symmetric"], "beta_str": ["symmetric"]})
+    fits = B.fit_per_document(docs, grid, passes=2)
+    return fits.select(F.col("batch_id").alias("doc_id"), "topics", "n_tokens", "convergence", "perplexity", "coherence")
+
+
+@query()
+def fit_cumulative(spark: SparkSession, sf: str) -> DataFrame:
+    """Models on the first 25 and on all documents of each batch, with the coherence summary per batch."""
+    fits, _ = batch_fits(spark, sf, passes=2, step_size=25)
+    summary = ST.score_summary(fits, ["split", "batch_id", "topics"], "coherence")
+    return rounded(summary)
+
+
+@query()
+def coherence_of_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """c_v of the words of a fitted model over the whole corpus."""
+    vectors, vocabulary = english_vectors(spark, sf)
+    model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
+    topics = materialize(TM.topic_words(model, vocabulary, 20), "topics")
+    return rounded(CO.coherence_cv(documents(spark, sf, lang="en"), topics))
+
+
+def yearly(spark: SparkSession, sf: str) -> DataFrame:
+    """English documents with a stand-in year, written once for the passes over each year."""
+    docs = C.drop_empty(documents(spark, sf, lang="en"))
+    return materialize(docs.withColumn("year", (F.col("doc_id") % 3 + 2015).cast("int")), "yearly")
+
+
+@query()
+def update_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """A model fitted on one year and updated with two more; twenty words per topic."""
+    weights = ON.fit_yearly(yearly(spark, sf), [2015, 2016, 2017], K, ALPHA, ETA, passes=2)
+    return G.top_words(G.topic_word_matrix(ON.topic_rows(weights)).withColumnRenamed("phi", "weight"), 20)
+
+
+@query()
+def mean_doc_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean per-document per-word bound of each year under the updated model."""
+    docs = yearly(spark, sf)
+    weights = ON.fit_yearly(docs, [2015, 2016, 2017], K, ALPHA, ETA)
+    scores = ON.document_scores(docs.select("doc_id", "tokens"), weights, K, ALPHA)
+    return scores.join(docs.select("doc_id", "year"), "doc_id").groupBy("year").agg(
+        F.avg("per_word_bound").alias("mean_doc_bound"), F.count("*").alias("n_docs")
+    )
+
+
+@query()
+def compare_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Two settings of the learning offset side by side, for two topic counts: score against mean bound."""
+    docs = yearly(spark, sf)
+
+    def family(offset: float) -> DataFrame:
+        rows = None
+        for i, k in enumerate((3, K)):
+            weights = ON.fit_yearly(docs, [2015, 2016, 2017], k, ALPHA, ETA, offset=offset)
+            row = ON.mean_doc_bound(ON.document_scores(docs.select("doc_id", "tokens"), weights, k, ALPHA))
+            row = row.withColumn("ordinal", F.lit(i))
+            rows = row if rows is None else rows.unionByName(row)
+        return rows
+
+    return R.pair_models(family(1.0), family(10.0), "ordinal")

@@ -275,7 +275,7 @@ def write_topwords_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {WORDS_CTE} SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM words GROUP BY term""")
 def stream_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents arrive in eight files, one per micro-batch."""
+    """Documents arrive in eight files, three per micro-batch."""
     root = scratch_path(spark, "stream")
     docs = documents(spark, sf).select("doc_id", "tokens")
     docs.repartition(8, "doc_id").write.parquet(root + "/in")
