@@ -46,19 +46,18 @@ Emit = Callable[..., pd.DataFrame]
 
 
 def _visitor(lookup: Callable, totals: np.ndarray, alpha: np.ndarray, iterations: int, emit: Emit) -> Callable:
-    """Inference over Arrow batches of (doc_id, bag); `lookup` gives the weight rows of the distinct terms."""
+    """Inference over Arrow batches of (doc_id, terms, counts); `lookup` gives the weights of the distinct terms."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log_total = V.digamma(totals)
         for pdf in batches:
-            rows = pdf[pdf["bag"].map(len) > 0]
+            rows = pdf[pdf["terms"].map(len) > 0]
             if rows.empty:
                 continue
-            entries = [e for bag in rows["bag"] for e in bag]
-            counts = np.array([e["n"] for e in entries], dtype=float)
-            indptr = np.cumsum([0] + [len(bag) for bag in rows["bag"]])
-            terms, first, local = np.unique([e["term"] for e in entries], return_index=True, return_inverse=True)
-            log_beta = V.digamma(lookup(terms, [entries[i] for i in first])) - log_total
+            counts = np.concatenate(rows["counts"].to_list()).astype(float)
+            indptr = np.cumsum([0] + [len(t) for t in rows["terms"]])
+            terms, first, local = np.unique(np.concatenate(rows["terms"].to_list()).astype(str), return_index=True, return_inverse=True)
+            log_beta = V.digamma(lookup(terms, rows, first)) - log_total
             gamma, expected = V.infer(indptr, counts, np.exp(log_beta)[local], alpha, iterations)
             yield emit(rows["doc_id"].to_numpy(), terms, local, indptr, counts, log_beta[local], gamma, expected, alpha)
 
@@ -84,26 +83,30 @@ def _emit_bounds(doc_ids, terms, local, indptr, counts, log_beta, gamma, expecte
 
 def _visit(docs: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int, cells: int, emit: Emit, schema: str) -> DataFrame:
     """Run inference for every document, with the weights broadcast or joined by their checked size."""
-    totals, prior = topic_totals(weights, k), np.full(k, alpha)
+    prior = np.full(k, alpha)
     limit = cells // k
     if weights.limit(limit + 1).count() <= limit:
         rows = weights.collect()
-        slots = {r.term: i for i, r in enumerate(rows)}
-        table = docs.sparkSession.sparkContext.broadcast((slots, np.array([r.weights for r in rows])))
+        held = np.array([r.weights for r in rows])
+        totals = held.sum(axis=0)
+        table = docs.sparkSession.sparkContext.broadcast(({r.term: i for i, r in enumerate(rows)}, held))
 
-        def lookup(terms, entries):
-            slot, held = table.value
-            return held[[slot[t] for t in terms]]
+        def lookup(terms, batch, first):
+            slots, values = table.value
+            return values[[slots[t] for t in terms]]
 
-        bags = with_bag(docs).select("doc_id", "bag")
+        bags = with_bag(docs).select("doc_id", F.col("bag.term").alias("terms"), F.col("bag.n").alias("counts"))
     else:
-        words = term_rows(docs, ["doc_id"])
+        totals = topic_totals(weights, k)
         lookup_rows = weights.join(term_counts(docs).select("term", "df"), "term")
-        met = spread_join(words, lookup_rows, ["term"], "df", ["doc_id"])
-        bags = met.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n", "weights")).alias("bag"))
+        met = spread_join(term_rows(docs, ["doc_id"]), lookup_rows, ["term"], "df", ["doc_id"])
+        words = met.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n", "weights")).alias("w"))
+        bags = words.select(
+            "doc_id", F.col("w.term").alias("terms"), F.col("w.n").alias("counts"), F.flatten("w.weights").alias("flat")
+        )
 
-        def lookup(terms, entries):
-            return np.stack([np.asarray(e["weights"], dtype=float) for e in entries])
+        def lookup(terms, batch, first):
+            return np.concatenate(batch["flat"].to_list()).reshape(-1, k)[first]
 
     return bags.mapInPandas(_visitor(lookup, totals, prior, iterations, emit), schema)
 
@@ -126,48 +129,48 @@ def mean_doc_bound(scores: DataFrame) -> DataFrame:
     return scores.agg(F.sum("bound").alias("score"), F.avg("per_word_bound").alias("mean_doc_bound"), F.count("*").alias("n_docs"))
 
 
+def with_new_terms(weights: DataFrame | None, docs: DataFrame, k: int, seed: int = 75) -> DataFrame:
+    """Weights for all terms of `docs`: known ones as they are, new ones with seeded draws."""
+    terms = term_counts(docs).select("term")
+    if weights is None:
+        return materialize(start_rows(terms, k, seed), "weights")
+    fresh = terms.join(weights.select("term"), "term", "left_anti")
+    return materialize(weights.unionByName(start_rows(fresh, k, seed)), "weights")
+
+
 def update_topics(
     docs: DataFrame,
-    weights: DataFrame | None,
+    weights: DataFrame,
     k: int,
     alpha: float,
     eta: float,
     step: int = 0,
-    docs_so_far: int | None = None,
+    scale: float = 1.0,
     iterations: int = 50,
     decay: float = 0.5,
     offset: float = 1.0,
-    seed: int = 75,
     broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
-    """One update of the topics with the documents of a slice; new terms enter with seeded weights."""
-    counts = term_counts(docs)
-    if weights is None:
-        current = start_rows(counts.select("term"), k, seed)
-    else:
-        fresh = counts.join(weights.select("term"), "term", "left_anti").select("term")
-        current = weights.unionByName(start_rows(fresh, k, seed))
-    current = materialize(current, "weights")
-    n_docs = docs.count()
-    scale = max(docs_so_far or n_docs, n_docs) / max(n_docs, 1)
+    """One update of the topics with a slice of documents; `scale` is documents so far over documents here."""
     rho = (offset + step) ** -decay
-    stats = expected_counts(docs, current, k, alpha, iterations, broadcast_cells)
-    joined = current.join(stats, "term", "left")
+    stats = expected_counts(docs, weights, k, alpha, iterations, broadcast_cells)
     zero = F.array_repeat(F.lit(0.0), k)
-    blended = F.zip_with(
-        "weights", F.coalesce("stats", zero), lambda w, s: w * (1 - rho) + rho * (eta + scale * s)
-    )
-    return materialize(joined.select("term", blended.alias("weights")), "weights")
+    blended = F.zip_with("weights", F.coalesce("stats", zero), lambda w, s: w * (1 - rho) + rho * (eta + scale * s))
+    return materialize(weights.join(stats, "term", "left").select("term", blended.alias("weights")), "weights")
 
 
-def fit_yearly(docs: DataFrame, years: Sequence[int], k: int, alpha: float, eta: float, passes: int = 1, **settings) -> DataFrame:
+def fit_yearly(docs: DataFrame, years: Sequence[int], k: int, alpha: float, eta: float, passes: int = 1, seed: int = 75, **settings) -> DataFrame:
     """First year fits, later years update: term, weights after the last year. `docs` has year, doc_id, tokens."""
     weights, step, seen = None, 0, 0
     for year in years:
         part = docs.filter(F.col("year") == year).select("doc_id", "tokens")
-        seen += part.count()
+        here = part.count()
+        if here == 0:
+            continue
+        seen += here
+        weights = with_new_terms(weights, part, k, seed)
         for _ in range(passes):
-            weights = update_topics(part, weights, k, alpha, eta, step, seen, **settings)
+            weights = update_topics(part, weights, k, alpha, eta, step, seen / here, **settings)
             step += 1
     return weights
 

@@ -7,10 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000  # a key is hot when it holds more than 1/1000 of the rows: fewer than 1000 keys can
+from ..runtime import materialize
+
+HOT_KEYS = 1000  # a hot key holds more than 1/1000 of the rows, so there are fewer than 1000
+HOT_ROWS = 1_000_000  # and more rows than one task should take
 SALTS = 64
 
 
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & left[k].eqNullSafe(right[f"{prefix}{i}"])
+    return cond
+
+
 def spread_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -18,33 +28,31 @@ def spread_join(
     weight: str,
     spread_by: Sequence[str],
     how: str = "inner",
+    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join `rows` to `lookup`, where lookup.`weight` says how many rows carry each key.
+    """Join `rows` to `lookup`, where lookup.`weight` says how many rows carry each key. Nulls match nulls.
 
-    Keys above 1/1000 of the total (so fewer than 1000 keys: a proven bound for the broadcast) are
-    salted over `salts` partitions by a hash of `spread_by`, which is repeatable when a task is retried.
-    All other keys take a plain equi-join. Null keys match null keys.
+    The lookup is written once, because it is read for its totals and for the join. If no key is hot, this is a
+    plain join. Otherwise the hot keys (fewer than 1000: a proven bound for the broadcast) are spread over
+    `salts` partitions by a hash of `spread_by`, which is repeatable when a task is retried.
     """
     keys = list(keys)
-    total = lookup.agg(F.sum(weight)).scalar()
-    side = lookup.withColumn("_hot", F.col(weight) * HOT_KEYS > total)
-    hot = side.filter("_hot").select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_is_hot"))
-
-    def same(left: DataFrame, right: DataFrame, prefix: str) -> Column:
-        cond = F.lit(True)
-        for i, k in enumerate(keys):
-            cond = cond & left[k].eqNullSafe(right[f"{prefix}{i}"])
-        return cond
-
-    tagged = rows.join(F.broadcast(hot), same(rows, hot, "_h"), "left")
-    salted = tagged.withColumn(
-        "_salt",
-        F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0).cast("bigint")),
-    ).select(*rows.columns, "_salt")
-    top = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)).cast("bigint")
-    copies = side.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), top)))
     payload = [c for c in lookup.columns if c not in keys]
+    lookup = materialize(lookup, "lookup")
+    total, top = lookup.agg(F.sum(weight), F.max(weight)).first()
+    if top is None or top <= hot_rows or top * HOT_KEYS <= total:
+        side = lookup.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *payload)
+        return rows.join(side, _match(rows, side, keys, "_k"), how).select(*[rows[c] for c in rows.columns], *payload)
+
+    is_hot = (F.col(weight) > hot_rows) & (F.col(weight) * HOT_KEYS > total)
+    hot = lookup.filter(is_hot).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_is_hot"))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
+    salted = rows.join(F.broadcast(hot), _match(rows, hot, keys, "_h"), "left").select(
+        *[rows[c] for c in rows.columns], F.when(F.col("_is_hot"), salt).otherwise(F.lit(0).cast("bigint")).alias("_salt")
+    )
+    last = F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)).cast("bigint")
+    copies = lookup.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     copies = copies.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_s", *payload)
-    cond = same(salted, copies, "_k") & (salted["_salt"] == copies["_s"])
+    cond = _match(salted, copies, keys, "_k") & (salted["_salt"] == copies["_s"])
     return salted.join(copies, cond, how).select(*[salted[c] for c in rows.columns], *payload)

@@ -16,7 +16,7 @@ from ..operators import runs as R
 from ..operators import splits as S
 from ..operators import stats as ST
 from ..operators import topic_models as TM
-from ..runtime import materialize
+from ..runtime import balance, materialize
 from .catalog import SEED, documents, query, rounded
 
 K, ALPHA, ETA, PASSES = 5, 0.2, 0.2, 5
@@ -25,10 +25,10 @@ K, ALPHA, ETA, PASSES = 5, 0.2, 0.2, 5
 def english_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """split, doc_id, features of the English documents, and the vocabulary."""
     docs = C.drop_empty(documents(spark, sf, lang="en"))
-    vocabulary = D.driver_vocabulary(D.build_dictionary(docs))
+    vocabulary = D.driver_vocabulary(materialize(D.build_dictionary(docs), "dictionary"))
     split = S.split_train_eval(docs, "doc_id", SEED)
     vectors = D.count_vectorize(split, vocabulary).select("split", "doc_id", "features")
-    return materialize(vectors, "vectors"), vocabulary
+    return materialize(balance(vectors), "vectors"), vocabulary
 
 
 @query()
@@ -137,7 +137,7 @@ def coherence_of_fits(spark: SparkSession, sf: str) -> DataFrame:
 def yearly(spark: SparkSession, sf: str) -> DataFrame:
     """English documents with a stand-in year, written once for the passes over each year."""
     docs = C.drop_empty(documents(spark, sf, lang="en"))
-    return materialize(docs.withColumn("year", (F.col("doc_id") % 3 + 2015).cast("int")), "yearly")
+    return materialize(balance(docs.withColumn("year", (F.col("doc_id") % 3 + 2015).cast("int"))), "yearly")
 
 
 @query()

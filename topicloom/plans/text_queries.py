@@ -14,8 +14,8 @@ from ..operators import dictionary as D
 from ..operators import geometry as G
 from ..operators import grid as GR
 from ..operators import phrases as PH
+from ..operators import ranking as RK
 from ..operators import splits as S
-from ..operators.ranking import running_total
 from ..operators.shape import unnest
 from ..runtime import materialize, spread
 from .catalog import BATCH_CTE, SEED, TOK_CTE, WORDS_CTE, documents, query, rounded, table
@@ -181,7 +181,12 @@ def word_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return D.word_frequencies(documents(spark, sf), TX.STOPWORDS)
 
 
-@query(f"""WITH {BATCH_CTE} SELECT doc_id, rank, split FROM batches""")
+@query(f"""WITH {BATCH_CTE} SELECT doc_id, rank FROM batches""")
+def shuffled_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return RK.shuffled_rank(table(spark, sf, "documents", "doc_id"), "doc_id", SEED)
+
+
+@query(f"""WITH {BATCH_CTE} SELECT doc_id, split FROM batches""")
 def split_train_eval(spark: SparkSession, sf: str) -> DataFrame:
     return S.split_train_eval(table(spark, sf, "documents", "doc_id"), "doc_id", SEED)
 
@@ -374,9 +379,7 @@ probs AS (SELECT vec_id, batch_id, list_transform(e, lambda x: x / list_sum(e))
 
 def vector_distributions(spark: SparkSession, sf: str) -> DataFrame:
     """batch_id, vec_id, distribution: softmax of the embeddings, in batches of 50."""
-    from ..operators.ranking import shuffled_rank
-
-    ranked = shuffled_rank(table(spark, sf, "embeddings", "vec_id", "embedding"), "vec_id", SEED)
+    ranked = RK.shuffled_rank(table(spark, sf, "embeddings", "vec_id", "embedding"), "vec_id", SEED)
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     return (
         ranked.withColumn("e", F.transform("embedding", lambda x: F.exp(x.cast("double"))))
@@ -443,15 +446,13 @@ def keep_letters(spark: SparkSession, sf: str) -> DataFrame:
 SELECT round(median(score), 6) AS median_score FROM d""")
 def median_doc_score(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens per distinct token stands for the score of a document."""
-    from ..operators.ranking import median
-
     docs = C.drop_empty(documents(spark, sf))
     scored = docs.select((F.size("tokens") / F.size(F.array_distinct("tokens"))).alias("score"))
-    return rounded(median(scored, [], "score", "median_score"))
+    return rounded(RK.median(scored, [], "score", "median_score"))
 
 
 @query(f"""WITH {TOK_CTE} SELECT doc_id, CAST(sum(len(tokens)) OVER (ORDER BY doc_id) AS BIGINT) AS cumulative_count FROM tok""")
 def cumulative_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of all documents up to each one."""
     sizes = documents(spark, sf).select("doc_id", F.size("tokens").cast("bigint").alias("n"))
-    return running_total(sizes, [F.col("doc_id")], weight="n", name="cumulative_count").drop("n")
+    return RK.running_total(sizes, [F.col("doc_id")], weight="n", name="cumulative_count").drop("n")

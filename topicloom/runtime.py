@@ -53,6 +53,17 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def balance(df: DataFrame, *keys: str) -> DataFrame:
+    """Even partitions for compute-bound work, at least one per slot; adaptive execution does not merge them.
+
+    Adaptive execution sizes partitions by bytes, which leaves a small input with much arithmetic per row
+    on a single core.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread an input that has fewer splits than the cluster has slots; larger inputs pass unchanged."""
     slots = df.sparkSession.sparkContext.defaultParallelism
