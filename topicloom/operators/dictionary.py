@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars as X
+from ..runtime import balance, scratch_path
 from .ranking import running_total
 from .shape import unnest
 from .skew import spread_join
 
-MAX_DRIVER_VOCABULARY = 1 << 18
+MAX_VOCABULARY = 1 << 18
 
 
 def with_bag(docs: DataFrame, tokens: str = "tokens", name: str = "bag") -> DataFrame:
@@ -98,16 +100,27 @@ def ids_to_terms(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     return rows.join(dictionary.select("term_id", "term"), "term_id")
 
 
-def driver_vocabulary(dictionary: DataFrame, limit: int = MAX_DRIVER_VOCABULARY) -> list[str] | None:
-    """Terms in id order, or None when there are more than `limit` (ML models hold the vocabulary on the driver)."""
-    rows = dictionary.select("term_id", "term").limit(limit + 1).collect()
-    return None if len(rows) > limit else [r.term for r in sorted(rows)]
+def count_vectorize(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", limit: int = MAX_VOCABULARY) -> DataFrame:
+    """key, features: the document-term matrix as sparse vectors over the dictionary's ids.
 
-
-def count_vectorize(docs: DataFrame, vocabulary: list[str], tokens: str = "tokens", name: str = "features") -> DataFrame:
-    """Sparse count vector per document over the given vocabulary."""
-    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol=tokens, outputCol=name)
-    return model.transform(docs)
+    The vectors are assembled as rows, written, and read back as ML vectors, so ids stay those of the
+    dictionary and the same data always gives the same matrix. ML models keep topics x terms on the driver,
+    so the number of terms is checked; beyond the limit use operators.online.
+    """
+    n_terms = dictionary.count()
+    if n_terms > limit:
+        raise ValueError(f"more than {limit} terms; fit with operators.online instead")
+    bags = doc2bow(docs, dictionary, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_id", "n"))).alias("b"))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(n_terms).cast("int").alias("size"),
+        F.col("b.term_id").cast("array<int>").alias("indices"),
+        F.col("b.n").cast("array<double>").alias("values"),
+    )
+    path = scratch_path(docs.sparkSession, "vectors")
+    balance(bags.select(key, vector.alias("features")), key).sortWithinPartitions(key).write.parquet(path)
+    schema = StructType([StructField(key, LongType()), StructField("features", VectorUDT())])
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def batch_fingerprint(docs: DataFrame, batch: Sequence[str], order: str, tokens: str = "tokens") -> DataFrame:

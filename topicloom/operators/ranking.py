@@ -88,13 +88,12 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
 
 
-def order_statistics(df: DataFrame, group: Sequence[str], value: str, picks: dict[str, tuple[Column, Column]]) -> DataFrame:
+def order_statistics(counts: DataFrame, group: Sequence[str], value: str, picks: dict[str, tuple[Column, Column]]) -> DataFrame:
     """For each pick name -> (low, high) 1-based positions, the mean of the values at both positions.
 
-    Positions are expressions over `_n`, the number of values in the group.
+    `counts` is given by value_counts. Positions are expressions over `_n`, the number of values in the group.
     """
     group = list(group)
-    counts = value_counts(df, group, value)
     ranked = running_total(counts, [F.col(value)], group, "n", "_upto")
     totals = ranked.groupBy(*group).agg(F.max("_upto").alias("_n")).select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_n"
@@ -111,8 +110,15 @@ def order_statistics(df: DataFrame, group: Sequence[str], value: str, picks: dic
     return placed.groupBy(*group).agg(*[((at(lo) + at(hi)) / 2).alias(k) for k, (lo, hi) in picks.items()])
 
 
+def most_frequent(counts: DataFrame, group: Sequence[str], value: str, name: str = "mode") -> DataFrame:
+    """The smallest of the most frequent values per group, from value_counts."""
+    return counts.groupBy(*group).agg(F.max_by(value, F.struct(F.col("n"), -F.col(value))).alias(name))
+
+
+def median_positions() -> tuple[Column, Column]:
+    return F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+
+
 def median(df: DataFrame, group: Sequence[str], value: str, name: str = "median") -> DataFrame:
     """Exact median per group (mean of the middle pair)."""
-    lo = F.floor((F.col("_n") + 1) / 2)
-    hi = F.floor((F.col("_n") + 2) / 2)
-    return order_statistics(df, group, value, {name: (lo, hi)})
+    return order_statistics(value_counts(df, group, value), group, value, {name: median_positions()})

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import order_statistics, running_total, value_counts
+from ..runtime import materialize
+from .ranking import median_positions, most_frequent, order_statistics, running_total, value_counts
 
 # The percentages of the standard quantile report, as whole numbers.
 QUANTILES = [100, 99, 95, 90, 75, 50, 25, 10, 5, 1, 0]
@@ -67,13 +68,10 @@ def quantiles(df: DataFrame, by: Sequence[str], variables: Sequence[str]) -> Dat
         lo = F.greatest(F.when(exact, j).otherwise(j + 1), F.lit(1))
         hi = F.least(j + 1, n)
         picks[f"p{q}"] = (lo, hi)
-    q = order_statistics(rows, group, "value", picks)
+    counts = materialize(value_counts(rows, group, "value"), "counts")
+    q = order_statistics(counts, group, "value", picks)
     q = q.withColumn("range", F.col("p100") - F.col("p0")).withColumn("iqr", F.col("p75") - F.col("p25"))
-    modes = (
-        value_counts(rows, group, "value")
-        .groupBy(*group)
-        .agg(F.max_by("value", F.struct(F.col("n"), -F.col("value"))).alias("mode"))
-    )
+    modes = most_frequent(counts, group, "value")
     cond = F.lit(True)
     for i, g in enumerate(group):
         modes = modes.withColumnRenamed(g, f"_m{i}")
@@ -184,7 +182,7 @@ def crosstab(df: DataFrame, by: Sequence[str], row: str, col: str, strata: Seque
 def score_summary(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
     """Mean, mode (smallest of the most frequent), median, population standard deviation."""
     base = df.groupBy(*by).agg(F.avg(score).alias("score_mean"), F.stddev_pop(score).alias("score_std"))
-    modes = value_counts(df, by, score).groupBy(*by).agg(F.max_by(score, F.struct(F.col("n"), -F.col(score))).alias("score_mode"))
-    n = F.col("_n")
-    medians = order_statistics(df, by, score, {"score_median": (F.floor((n + 1) / 2), F.floor((n + 2) / 2))})
+    counts = materialize(value_counts(df, by, score), "counts")
+    modes = most_frequent(counts, by, score, "score_mode")
+    medians = order_statistics(counts, by, score, {"score_median": median_positions()})
     return base.join(modes, list(by)).join(medians, list(by)).select(*by, "score_mean", "score_mode", "score_median", "score_std")

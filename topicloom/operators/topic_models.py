@@ -11,6 +11,8 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dictionary import ids_to_terms
+
 PASSES, RANDOM_STATE = 15, 75
 
 
@@ -45,16 +47,13 @@ def doc_topics(model: LDAModel, vectors: DataFrame, key: str = "doc_id") -> Data
     return model.transform(vectors).select(key, vector_to_array("topicDistribution").alias("distribution"))
 
 
-def topic_words(model: LDAModel, vocabulary: Sequence[str], n: int | None = None) -> DataFrame:
+def topic_words(model: LDAModel, dictionary: DataFrame, n: int | None = None) -> DataFrame:
     """topic, place, term, weight: the n heaviest terms (all by default)."""
-    described = model.describeTopics(n or len(vocabulary))
-    zipped = F.arrays_zip("termIndices", "termWeights")
-    spark = described.sparkSession
-    names = spark.createDataFrame(list(enumerate(vocabulary)), "term_index int, term string")
-    rows = described.select("topic", F.posexplode(zipped).alias("p", "z"))
-    return rows.select("topic", (F.col("p") + 1).alias("place"), F.col("z.termIndices").alias("term_index"), F.col("z.termWeights").alias("weight")).join(
-        names, "term_index"
-    ).select("topic", "place", "term", "weight")
+    described = model.describeTopics(n or model.vocabSize())
+    rows = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("p", "z")).select(
+        "topic", (F.col("p") + 1).alias("place"), F.col("z.termIndices").cast("bigint").alias("term_id"), F.col("z.termWeights").alias("weight")
+    )
+    return ids_to_terms(rows, dictionary).select("topic", "place", "term", "weight")
 
 
 def grid_search(

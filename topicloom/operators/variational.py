@@ -122,24 +122,30 @@ def fit(ids, counts, indptr, n_terms, k, alpha, eta, passes, iterations, update_
     return weights
 
 
-def window_pairs(flat, bounds, words, window=WINDOW, block=2048):
-    """Numbers of sliding windows with each pair of the given word ids (diagonal: with the word), and of all windows."""
-    slot = {w: i for i, w in enumerate(words)}
-    pairs, total = np.zeros((len(words), len(words))), 0
+def window_pairs(slots, bounds, n_words, window=WINDOW, block=2048):
+    """Numbers of sliding windows with each word pair (diagonal: with the word), and of all windows.
+
+    slots gives the word number of each token, -1 for other tokens; a document owns bounds[d]:bounds[d+1].
+    """
+    pairs, total = np.zeros((n_words, n_words)), 0
     for a, b in zip(bounds[:-1], bounds[1:]):
         size = b - a
+        if size == 0:
+            continue
         n_windows, width = max(1, size - window + 1), min(window, size)
         total += n_windows
         for start in range(0, n_windows, block):
             count = min(block, n_windows - start)
-            part = flat[a + start : a + start + count + width - 1]
+            part = slots[a + start : a + start + count + width - 1]
+            at = np.flatnonzero(part >= 0)
+            if len(at) == 0:
+                continue
+            words, local = np.unique(part[at], return_inverse=True)
             seen = np.zeros((len(part) + 1, len(words)), dtype=np.int32)
-            for at, w in enumerate(part):
-                if w in slot:
-                    seen[at + 1, slot[w]] = 1
+            seen[at + 1, local] = 1
             seen = seen.cumsum(axis=0)
             here = (seen[width : width + count] > seen[:count]).astype(np.float32)
-            pairs += here.T @ here
+            pairs[np.ix_(words, words)] += here.T @ here
     return pairs, total
 
 

@@ -22,34 +22,32 @@ from .catalog import SEED, documents, query, rounded
 K, ALPHA, ETA, PASSES = 5, 0.2, 0.2, 5
 
 
-def english_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    """split, doc_id, features of the English documents, and the vocabulary."""
-    docs = C.drop_empty(documents(spark, sf, lang="en"))
-    vocabulary = D.driver_vocabulary(materialize(D.build_dictionary(docs), "dictionary"))
-    split = S.split_train_eval(docs, "doc_id", SEED)
-    vectors = D.count_vectorize(split, vocabulary).select("split", "doc_id", "features")
-    return materialize(balance(vectors), "vectors"), vocabulary
+def english_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, features of the English documents, and their dictionary."""
+    docs = documents(spark, sf, lang="en")
+    dictionary = materialize(D.build_dictionary(docs), "dictionary")
+    return D.count_vectorize(docs, dictionary), dictionary
 
 
 @query()
 def fit_topics(spark: SparkSession, sf: str) -> DataFrame:
     """Ten strongest words of each topic."""
-    vectors, vocabulary = english_vectors(spark, sf)
+    vectors, dictionary = english_vectors(spark, sf)
     model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
-    return TM.topic_words(model, vocabulary, 10)
+    return TM.topic_words(model, dictionary, 10)
 
 
 @query()
 def fitted_topic_word_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    vectors, vocabulary = english_vectors(spark, sf)
+    vectors, dictionary = english_vectors(spark, sf)
     model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
-    return G.topic_word_matrix(TM.topic_words(model, vocabulary))
+    return G.topic_word_matrix(TM.topic_words(model, dictionary))
 
 
 @query()
 def model_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Bound and perplexity on the training documents and on the held-out ones."""
-    vectors, _ = english_vectors(spark, sf)
+    vectors = S.split_train_eval(english_vectors(spark, sf)[0], "doc_id", SEED)
     train, held_out = vectors.filter("split = 'train'"), vectors.filter("split = 'eval'")
     model = TM.fit_topics(train, K, ALPHA, ETA, passes=PASSES)
     return TM.scores(model, train).withColumn("split", F.lit("train")).unionByName(
@@ -128,9 +126,9 @@ def fit_cumulative(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def coherence_of_fits(spark: SparkSession, sf: str) -> DataFrame:
     """c_v of the words of a fitted model over the whole corpus."""
-    vectors, vocabulary = english_vectors(spark, sf)
+    vectors, dictionary = english_vectors(spark, sf)
     model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
-    topics = materialize(TM.topic_words(model, vocabulary, 20), "topics")
+    topics = materialize(TM.topic_words(model, dictionary, 20), "topics")
     return rounded(CO.coherence_cv(documents(spark, sf, lang="en"), topics))
 
 

@@ -116,12 +116,10 @@ def count_vectorize(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = documents(spark, sf, lang="en")
     dictionary = materialize(D.build_dictionary(docs), "dictionary")
-    vocabulary = D.driver_vocabulary(dictionary)
-    matrix = D.count_vectorize(docs, vocabulary)
-    sums = matrix.agg(Summarizer.metrics("sum", "numNonZeros").summary(F.col("features")).alias("s"))
+    sums = D.count_vectorize(docs, dictionary).agg(Summarizer.metrics("sum", "numNonZeros").summary(F.col("features")).alias("s"))
     zipped = F.arrays_zip(vector_to_array("s.sum").alias("cf"), vector_to_array("s.numNonZeros").alias("df"))
     rows = sums.select(F.posexplode(zipped).alias("term_id", "z"))
-    return rows.join(dictionary.select("term_id", "term"), "term_id").select(
+    return D.ids_to_terms(rows, dictionary.select("term_id", "term")).select(
         "term", F.round("z.cf").cast("bigint").alias("cf"), F.round("z.df").cast("bigint").alias("df")
     )
 
