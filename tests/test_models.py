@@ -119,15 +119,15 @@ def test_yearly_updates_by_broadcast_and_by_join(spark, planted):
     b = {r.term: r.weights for r in joined.collect()}
     assert a.keys() == b.keys() and all(np.allclose(a[t], b[t]) for t in a)
     long = ON.fit_yearly(docs, [2015, 2016], 3, 0.1, 0.1, passes=12)
-    bounds = [ON.mean_doc_bound(ON.document_scores(planted, w, 3, 0.1)).first().mean_doc_bound for w in (held, long)]
+    bounds = [ON.mean_doc_bound(ON.document_scores(ON.document_bags(planted), w, 3, 0.1)).first().mean_doc_bound for w in (held, long)]
     assert bounds[1] > bounds[0]
-    scores = ON.document_scores(planted, long, 3, 0.1).collect()
+    scores = ON.document_scores(ON.document_bags(planted), long, 3, 0.1).collect()
     assert len(scores) == 60 and all(r.n_tokens == 40 for r in scores)
 
 
 def test_new_terms_enter_with_the_next_year(spark, planted):
-    first = ON.with_new_terms(None, planted.filter("doc_id % 3 = 0"), 2)
-    grown = {r.term: r.weights for r in ON.with_new_terms(first, planted, 2).collect()}
+    first = ON.with_new_terms(None, ON.document_bags(planted.filter("doc_id % 3 = 0")), 2)
+    grown = {r.term: r.weights for r in ON.with_new_terms(first, ON.document_bags(planted), 2).collect()}
     assert len(grown) == 30
     assert all(grown[r.term] == r.weights for r in first.collect())
 

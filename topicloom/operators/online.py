@@ -15,9 +15,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import balance, materialize
 from . import variational as V
-from .dictionary import term_counts, term_rows, with_bag
+from .dictionary import with_bag
+from .shape import unnest
 from .skew import spread_join
 
 cloudpickle.register_pickle_by_value(V)
@@ -81,46 +82,56 @@ def _emit_bounds(doc_ids, terms, local, indptr, counts, log_beta, gamma, expecte
     )
 
 
-def _visit(docs: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int, cells: int, emit: Emit, schema: str) -> DataFrame:
+def document_bags(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep..., doc_id, terms, counts of the documents (doc_id, tokens); the input of all functions here."""
+    return with_bag(docs).select(*keep, "doc_id", F.col("bag.term").alias("terms"), F.col("bag.n").alias("counts"))
+
+
+def bag_terms(bags: DataFrame) -> DataFrame:
+    """term, df."""
+    return unnest(bags, [], F.col("terms"), "term").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _visit(bags: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int, cells: int, emit: Emit, schema: str) -> DataFrame:
     """Run inference for every document, with the weights broadcast or joined by their checked size."""
     prior = np.full(k, alpha)
     limit = cells // k
     if weights.limit(limit + 1).count() <= limit:
-        rows = weights.collect()
-        held = np.array([r.weights for r in rows])
+        rows = weights.toArrow()
+        held = rows["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
         totals = held.sum(axis=0)
-        table = docs.sparkSession.sparkContext.broadcast(({r.term: i for i, r in enumerate(rows)}, held))
+        table = bags.sparkSession.sparkContext.broadcast((pd.Index(rows["term"].to_pandas()), held))
 
         def lookup(terms, batch, first):
-            slots, values = table.value
-            return values[[slots[t] for t in terms]]
+            index, values = table.value
+            return values[index.get_indexer(terms)]
 
-        bags = with_bag(docs).select("doc_id", F.col("bag.term").alias("terms"), F.col("bag.n").alias("counts"))
+        work = bags.select("doc_id", "terms", "counts")
     else:
         totals = topic_totals(weights, k)
-        lookup_rows = weights.join(term_counts(docs).select("term", "df"), "term")
-        met = spread_join(term_rows(docs, ["doc_id"]), lookup_rows, ["term"], "df", ["doc_id"])
-        words = met.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n", "weights")).alias("w"))
-        bags = words.select(
-            "doc_id", F.col("w.term").alias("terms"), F.col("w.n").alias("counts"), F.flatten("w.weights").alias("flat")
+        words = unnest(bags, ["doc_id"], F.arrays_zip("terms", "counts"), "b").select(
+            "doc_id", F.col("b.terms").alias("term"), F.col("b.counts").alias("n")
         )
+        met = spread_join(words, weights.join(bag_terms(bags), "term"), ["term"], "df", ["doc_id"])
+        w = met.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n", "weights")).alias("w"))
+        work = w.select("doc_id", F.col("w.term").alias("terms"), F.col("w.n").alias("counts"), F.flatten("w.weights").alias("flat"))
 
         def lookup(terms, batch, first):
             return np.concatenate(batch["flat"].to_list()).reshape(-1, k)[first]
 
-    return bags.mapInPandas(_visitor(lookup, totals, prior, iterations, emit), schema)
+    return work.mapInPandas(_visitor(lookup, totals, prior, iterations, emit), schema)
 
 
-def expected_counts(docs: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int = 50, cells: int = BROADCAST_CELLS) -> DataFrame:
-    """term, stats: expected topic counts summed over the documents (doc_id, tokens)."""
-    parts = _visit(docs, weights, k, alpha, iterations, cells, _emit_stats, "term string, stats array<double>")
+def expected_counts(bags: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int = 50, cells: int = BROADCAST_CELLS) -> DataFrame:
+    """term, stats: expected topic counts summed over the documents."""
+    parts = _visit(bags, weights, k, alpha, iterations, cells, _emit_stats, "term string, stats array<double>")
     return parts.groupBy("term").agg(F.array(*[F.sum(F.get("stats", F.lit(t))) for t in range(k)]).alias("stats"))
 
 
-def document_scores(docs: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int = 50, cells: int = BROADCAST_CELLS) -> DataFrame:
+def document_scores(bags: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int = 50, cells: int = BROADCAST_CELLS) -> DataFrame:
     """doc_id, n_tokens, bound, per_word_bound, distribution of each document, which may be held out."""
     schema = "doc_id bigint, n_tokens bigint, bound double, distribution array<double>"
-    rows = _visit(docs, weights, k, alpha, iterations, cells, _emit_bounds, schema)
+    rows = _visit(bags, weights, k, alpha, iterations, cells, _emit_bounds, schema)
     return rows.withColumn("per_word_bound", F.col("bound") / F.col("n_tokens"))
 
 
@@ -129,9 +140,9 @@ def mean_doc_bound(scores: DataFrame) -> DataFrame:
     return scores.agg(F.sum("bound").alias("score"), F.avg("per_word_bound").alias("mean_doc_bound"), F.count("*").alias("n_docs"))
 
 
-def with_new_terms(weights: DataFrame | None, docs: DataFrame, k: int, seed: int = 75) -> DataFrame:
-    """Weights for all terms of `docs`: known ones as they are, new ones with seeded draws."""
-    terms = term_counts(docs).select("term")
+def with_new_terms(weights: DataFrame | None, bags: DataFrame, k: int, seed: int = 75) -> DataFrame:
+    """Weights for all terms of the documents: known ones as they are, new ones with seeded draws."""
+    terms = bag_terms(bags).select("term")
     if weights is None:
         return materialize(start_rows(terms, k, seed), "weights")
     fresh = terms.join(weights.select("term"), "term", "left_anti")
@@ -139,7 +150,7 @@ def with_new_terms(weights: DataFrame | None, docs: DataFrame, k: int, seed: int
 
 
 def update_topics(
-    docs: DataFrame,
+    bags: DataFrame,
     weights: DataFrame,
     k: int,
     alpha: float,
@@ -153,7 +164,7 @@ def update_topics(
 ) -> DataFrame:
     """One update of the topics with a slice of documents; `scale` is documents so far over documents here."""
     rho = (offset + step) ** -decay
-    stats = expected_counts(docs, weights, k, alpha, iterations, broadcast_cells)
+    stats = expected_counts(bags, weights, k, alpha, iterations, broadcast_cells)
     zero = F.array_repeat(F.lit(0.0), k)
     blended = F.zip_with("weights", F.coalesce("stats", zero), lambda w, s: w * (1 - rho) + rho * (eta + scale * s))
     return materialize(weights.join(stats, "term", "left").select("term", blended.alias("weights")), "weights")
@@ -162,8 +173,9 @@ def update_topics(
 def fit_yearly(docs: DataFrame, years: Sequence[int], k: int, alpha: float, eta: float, passes: int = 1, seed: int = 75, **settings) -> DataFrame:
     """First year fits, later years update: term, weights after the last year. `docs` has year, doc_id, tokens."""
     weights, step, seen = None, 0, 0
+    bags = materialize(balance(document_bags(docs, "year")), "bags")
     for year in years:
-        part = docs.filter(F.col("year") == year).select("doc_id", "tokens")
+        part = bags.filter(F.col("year") == year)
         here = part.count()
         if here == 0:
             continue

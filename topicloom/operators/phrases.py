@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from .dictionary import term_counts
 from .shape import unnest
 from .skew import spread_join
@@ -29,8 +30,8 @@ def pair_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 def score_phrases(docs: DataFrame, min_count: int = 5, threshold: float = 10.0, tokens: str = "tokens") -> DataFrame:
     """a, b, n_ab, n_a, n_b, score = (n_ab - min) * V / (n_a * n_b), kept above the threshold."""
-    counts = term_counts(docs, (), tokens).select("term", F.col("cf").alias("n"))
-    size = counts.agg(F.count("*")).scalar()
+    counts = materialize(term_counts(docs, (), tokens).select("term", F.col("cf").alias("n")), "counts")
+    size = counts.count()
     pairs = pair_counts(docs, tokens).filter(F.col("n_ab") >= min_count)
     left = counts.select(F.col("term").alias("a"), F.col("n").alias("n_a"))
     right = counts.select(F.col("term").alias("b"), F.col("n").alias("n_b"))

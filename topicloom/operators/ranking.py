@@ -26,31 +26,32 @@ def running_total(
 ) -> DataFrame:
     """Add the running total of `weight` (row rank when None) per group in the given order.
 
-    `order` must be total within the group for a reproducible answer.
+    `order` must be total within the group for a reproducible answer. The sorted rows are written with their
+    sort position: its high bits name the chunk, so ranks need one small row per (chunk, group) and no second
+    sort.
     """
     group = list(group)
-    w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    chunked = materialize(
-        df.withColumn("_w", w)
-        .orderBy(*[F.col(g) for g in group], *order)
-        .withColumn("_chunk", F.spark_partition_id()),
-        "ranked",
-    )
-    per_chunk = chunked.groupBy("_chunk", *group).agg(F.sum("_w").alias("_chunk_total"))
+    placed = materialize(
+        df.orderBy(*[F.col(g) for g in group], *order).withColumn("_at", F.monotonically_increasing_id()), "ranked"
+    ).withColumn("_chunk", F.shiftright("_at", 33))
+    size = F.count("*") if weight is None else F.sum(weight)
+    per_chunk = placed.groupBy("_chunk", *group).agg(size.alias("_size"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.select(
         F.col("_chunk").alias("_c"),
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        F.coalesce(F.sum("_chunk_total").over(before), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+        "_first",
     )
-    inside = Window.partitionBy("_chunk", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = chunked.withColumn("_inside", F.sum("_w").over(inside))
+    if weight is None:
+        counted, inside = placed, F.col("_at") - F.col("_first") + 1
+    else:
+        upto = Window.partitionBy("_chunk", *group).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        counted, inside = placed.withColumn("_inside", F.sum(weight).over(upto)), F.col("_inside")
     cond = counted["_chunk"] == offsets["_c"]
     for i, g in enumerate(group):
         cond = cond & counted[g].eqNullSafe(offsets[f"_g{i}"])
-    return counted.join(offsets, cond).select(
-        *df.columns, (F.col("_before") + F.col("_inside")).alias(name)
-    )
+    return counted.join(offsets, cond).select(*df.columns, (F.col("_before") + inside).alias(name))
 
 
 def row_index(df: DataFrame, order: Sequence[Column], name: str = "index") -> DataFrame:

@@ -142,41 +142,43 @@ def missing_values(df: DataFrame, by: Sequence[str], variables: Sequence[str]) -
 def crosstab(df: DataFrame, by: Sequence[str], row: str, col: str, strata: Sequence[str] = ()) -> DataFrame:
     """Two-way table per BY group and stratum: frequency, percent, row and column percent, and totals.
 
-    Missing levels are left out. Totals come from the counted cells, never from the rows again; the
-    windows run over cells, whose number is the number of level pairs.
+    Missing levels are left out. After counting, one shuffle by table serves all totals: the windows run over
+    cells, whose number per table is the number of level pairs. The first cell of a row, column or table also
+    emits its total.
     """
     group = [*by, *strata]
     present = df
     for c in [*strata, row, col]:
         present = present.filter(F.col(c).isNotNull())
-    cells = present.groupBy(*group, row, col).agg(F.count("*").alias("frequency"))
-    levels = cells.groupingSets([[*group, row, col], [*group, row], [*group, col], group], *group, row, col).agg(
-        F.sum("frequency").alias("frequency"),
-        F.grouping(row).alias("_no_row"),
-        F.grouping(col).alias("_no_col"),
-    )
-    kind = (
-        F.when((F.col("_no_row") == 0) & (F.col("_no_col") == 0), "cell")
-        .when(F.col("_no_row") == 0, "row_total")
-        .when(F.col("_no_col") == 0, "col_total")
-        .otherwise("total")
-    )
-    tagged = levels.withColumn("kind", kind)
-    in_table = Window.partitionBy(*group)
-    in_row = Window.partitionBy(*group, row)
-    in_col = Window.partitionBy(*group, col)
-    f = F.col("frequency")
-    cell = F.col("kind") == "cell"
-    return tagged.select(
-        *group,
-        row,
-        col,
-        "kind",
-        "frequency",
-        (f * 100 / F.max(F.when(F.col("kind") == "total", f)).over(in_table)).alias("percent"),
-        F.when(cell, f * 100 / F.max(F.when(F.col("kind") == "row_total", f)).over(in_row)).alias("row_pct"),
-        F.when(cell, f * 100 / F.max(F.when(F.col("kind") == "col_total", f)).over(in_col)).alias("col_pct"),
+    cells = present.groupBy(*group, row, col).agg(F.count("*").alias("f"))
+    in_table, in_row, in_col = (Window.partitionBy(*group, *k) for k in ([], [row], [col]))
+    sums = cells.repartition(*group).select(
+        *group, row, col, "f",
+        F.sum("f").over(in_table).alias("t"), F.sum("f").over(in_row).alias("r"), F.sum("f").over(in_col).alias("c"),
+        (F.min(col).over(in_row) == F.col(col)).alias("opens_row"), (F.min(row).over(in_col) == F.col(row)).alias("opens_col"),
+        (F.min(row).over(in_table) == F.col(row)).alias("in_first_row"),
+    )
+    types = dict(cells.dtypes)
+
+    def line(kind: str, f: str, with_row: bool, with_col: bool) -> Column:
+        share = lambda base: F.col(f) * 100 / F.col(base) if kind == "cell" else F.lit(None).cast("double")
+        return F.struct(
+            (F.col(row) if with_row else F.lit(None).cast(types[row])).alias(row),
+            (F.col(col) if with_col else F.lit(None).cast(types[col])).alias(col),
+            F.lit(kind).alias("kind"),
+            F.col(f).alias("frequency"),
+            (F.col(f) * 100 / F.col("t")).alias("percent"),
+            share("r").alias("row_pct"),
+            share("c").alias("col_pct"),
+        )
+
+    lines = F.array(
+        line("cell", "f", True, True),
+        F.when(F.col("opens_row"), line("row_total", "r", True, False)),
+        F.when(F.col("opens_col"), line("col_total", "c", False, True)),
+        F.when(F.col("opens_row") & F.col("in_first_row"), line("total", "t", False, False)),
     )
+    return sums.select(*group, F.explode(lines).alias("_l")).filter(F.col("_l").isNotNull()).select(*group, "_l.*")
 
 
 def score_summary(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..runtime import spread
+from ..runtime import materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,11 @@ def documents(spark: SparkSession, sf: str, *extra: str, lang: str | None = None
     return spread(docs.select("doc_id", *extra, "text")).select("doc_id", *extra, TX.tokenize(F.col("text")).alias("tokens"))
 
 
+def token_table(spark: SparkSession, sf: str, *extra: str, lang: str | None = None) -> DataFrame:
+    """The same, written once: for queries that read the tokens several times."""
+    return materialize(documents(spark, sf, *extra, lang=lang), "tokens")
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem read as a run table."""
     flag = F.col("l_returnflag")

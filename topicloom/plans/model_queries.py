@@ -16,15 +16,15 @@ from ..operators import runs as R
 from ..operators import splits as S
 from ..operators import stats as ST
 from ..operators import topic_models as TM
-from ..runtime import balance, materialize
-from .catalog import SEED, documents, query, rounded
+from ..runtime import materialize
+from .catalog import SEED, documents, query, rounded, token_table
 
 K, ALPHA, ETA, PASSES = 5, 0.2, 0.2, 5
 
 
 def english_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """doc_id, features of the English documents, and their dictionary."""
-    docs = documents(spark, sf, lang="en")
+    docs = token_table(spark, sf, lang="en")
     dictionary = materialize(D.build_dictionary(docs), "dictionary")
     return D.count_vectorize(docs, dictionary), dictionary
 
@@ -135,7 +135,7 @@ def coherence_of_fits(spark: SparkSession, sf: str) -> DataFrame:
 def yearly(spark: SparkSession, sf: str) -> DataFrame:
     """English documents with a stand-in year, written once for the passes over each year."""
     docs = C.drop_empty(documents(spark, sf, lang="en"))
-    return materialize(balance(docs.withColumn("year", (F.col("doc_id") % 3 + 2015).cast("int"))), "yearly")
+    return materialize(docs.withColumn("year", (F.col("doc_id") % 3 + 2015).cast("int")), "yearly")
 
 
 @query()
@@ -150,7 +150,7 @@ def mean_doc_bound(spark: SparkSession, sf: str) -> DataFrame:
     """Mean per-document per-word bound of each year under the updated model."""
     docs = yearly(spark, sf)
     weights = ON.fit_yearly(docs, [2015, 2016, 2017], K, ALPHA, ETA)
-    scores = ON.document_scores(docs.select("doc_id", "tokens"), weights, K, ALPHA)
+    scores = ON.document_scores(ON.document_bags(docs), weights, K, ALPHA)
     return scores.join(docs.select("doc_id", "year"), "doc_id").groupBy("year").agg(
         F.avg("per_word_bound").alias("mean_doc_bound"), F.count("*").alias("n_docs")
     )
@@ -165,7 +165,7 @@ def compare_models(spark: SparkSession, sf: str) -> DataFrame:
         rows = None
         for i, k in enumerate((3, K)):
             weights = ON.fit_yearly(docs, [2015, 2016, 2017], k, ALPHA, ETA, offset=offset)
-            row = ON.mean_doc_bound(ON.document_scores(docs.select("doc_id", "tokens"), weights, k, ALPHA))
+            row = ON.mean_doc_bound(ON.document_scores(ON.document_bags(docs), weights, k, ALPHA))
             row = row.withColumn("ordinal", F.lit(i))
             rows = row if rows is None else rows.unionByName(row)
         return rows

@@ -18,7 +18,7 @@ from ..operators import ranking as RK
 from ..operators import splits as S
 from ..operators.shape import unnest
 from ..runtime import materialize, spread
-from .catalog import BATCH_CTE, SEED, TOK_CTE, WORDS_CTE, documents, query, rounded, table
+from .catalog import BATCH_CTE, SEED, TOK_CTE, WORDS_CTE, documents, query, rounded, table, token_table
 
 
 def sql_list(words) -> str:
@@ -98,7 +98,8 @@ SELECT doc_id, term_id, count(*) AS n FROM words JOIN dict USING (term) GROUP BY
 @query(BOW_SQL)
 def doc2bow(spark: SparkSession, sf: str) -> DataFrame:
     """All documents against the dictionary of the English ones: unknown terms fall out."""
-    return D.doc2bow(documents(spark, sf), D.build_dictionary(documents(spark, sf, lang="en")))
+    docs = token_table(spark, sf, "lang")
+    return D.doc2bow(docs, D.build_dictionary(docs.filter("lang = 'en'")))
 
 
 @query(f"""WITH bow AS ({BOW_SQL})
@@ -114,7 +115,7 @@ def count_vectorize(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    docs = documents(spark, sf, lang="en")
+    docs = token_table(spark, sf, lang="en")
     dictionary = materialize(D.build_dictionary(docs), "dictionary")
     sums = D.count_vectorize(docs, dictionary).agg(Summarizer.metrics("sum", "numNonZeros").summary(F.col("features")).alias("s"))
     zipped = F.arrays_zip(vector_to_array("s.sum").alias("cf"), vector_to_array("s.numNonZeros").alias("df"))
@@ -131,7 +132,7 @@ SELECT term, cf, df, coalesce(term_id, (SELECT count(*) FROM old) - 1 + row_numb
 FROM every LEFT JOIN old USING (term)""")
 def add_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The dictionary of the English documents grows by those in other languages."""
-    docs = documents(spark, sf, "lang")
+    docs = token_table(spark, sf, "lang")
     first = materialize(D.build_dictionary(docs.filter("lang = 'en'")), "dictionary")
     return D.add_documents(first, docs.filter("lang <> 'en'"))
 
@@ -157,7 +158,7 @@ phrases AS (SELECT a, b, n_ab, x.n AS n_a, y.n AS n_b,
 
 @query(f"WITH {PAIRS_CTE} SELECT a, b, n_ab, n_a, n_b, round(score, 6) AS score FROM phrases")
 def bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(PH.score_phrases(documents(spark, sf)))
+    return rounded(PH.score_phrases(token_table(spark, sf)))
 
 
 @query(f"""WITH {PAIRS_CTE},
@@ -168,7 +169,7 @@ kept AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY doc_id ORDER BY i), fal
 SELECT doc_id, string_agg(CASE WHEN take THEN a || '_' || b ELSE a END, ' ' ORDER BY i) AS merged
 FROM kept WHERE NOT eaten GROUP BY doc_id""")
 def merge_bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf)
+    docs = token_table(spark, sf)
     phrases = materialize(PH.score_phrases(docs), "phrases")
     merged = PH.merge_phrases(docs, phrases)
     return C.drop_empty(merged).select("doc_id", TX.join_tokens(F.col("tokens")).alias("merged"))
@@ -258,7 +259,7 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, token, embedding IS NOT NULL AS foun
 FROM pos JOIN d ON d.term = pos.token LEFT JOIN embeddings ON vec_id = term_id * 7""")
 def embed_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """The vector of every seventh dictionary word stands for a word vector; other words get zeros."""
-    docs = documents(spark, sf)
+    docs = token_table(spark, sf)
     dictionary = D.build_dictionary(docs).withColumn("vec_id", F.col("term_id") * 7)
     vectors = table(spark, sf, "embeddings").join(dictionary, "vec_id").select(
         F.col("term").alias("token"), F.col("embedding").alias("vector"), F.col("cf").alias("n")
@@ -275,8 +276,8 @@ joint AS (SELECT topic, term, phi, share, phi * share AS joint, sum(phi * share)
   FROM phi JOIN shares USING (topic))"""
 
 
-def language_weights(spark: SparkSession, sf: str) -> DataFrame:
-    counts = D.term_counts(documents(spark, sf, "lang"), ["lang"])
+def language_weights(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    counts = D.term_counts(documents(spark, sf, "lang") if docs is None else docs, ["lang"])
     return materialize(counts.select(F.col("lang").alias("topic"), "term", F.col("cf").cast("double").alias("weight")), "weights")
 
 
@@ -333,8 +334,9 @@ s AS (SELECT l.topic, avg(ln((coalesce(dd.n, 0) / docs.n + 1e-12) / (d.n / docs.
 SELECT topic, round(u_mass, 9) AS u_mass, CAST(row_number() OVER (ORDER BY u_mass DESC, topic) AS INTEGER) AS place FROM s""")
 def rank_topics_umass(spark: SparkSession, sf: str) -> DataFrame:
     """Languages as topics, ten words each."""
-    top = G.top_words(language_weights(spark, sf), 10).withColumnRenamed("place", "place_in_topic")
-    return rounded(CO.coherence_umass(documents(spark, sf), materialize(top, "topics")), 9)
+    docs = token_table(spark, sf, "lang")
+    top = G.top_words(language_weights(spark, sf, docs), 10).withColumnRenamed("place", "place_in_topic")
+    return rounded(CO.coherence_umass(docs, materialize(top, "topics")), 9)
 
 
 CV_TOP = f"""{WEIGHTS_CTE}, r AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS place FROM weights),
@@ -346,14 +348,15 @@ counts AS (SELECT x.topic, x.term AS a, y.term AS b, count(*) AS n FROM win x
   JOIN win y ON x.doc_id = y.doc_id AND x.topic = y.topic AND x.w = y.w AND x.term <= y.term GROUP BY ALL)"""
 
 
-def mid_words(spark: SparkSession, sf: str) -> DataFrame:
+def mid_words(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
     """Languages as topics, words 31 to 40 by weight."""
-    return materialize(G.top_words(language_weights(spark, sf), 40).filter("place > 30").select("topic", "term"), "topics")
+    return materialize(G.top_words(language_weights(spark, sf, docs), 40).filter("place > 30").select("topic", "term"), "topics")
 
 
 @query(f"WITH {CV_TOP} SELECT topic, a, b, n FROM counts")
 def coherence_window_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return CO.window_counts(documents(spark, sf), mid_words(spark, sf))
+    docs = token_table(spark, sf, "lang")
+    return CO.window_counts(docs, mid_words(spark, sf, docs))
 
 
 @query(f"""WITH {CV_TOP}, total AS (SELECT sum(greatest(1, len(tokens) - 109)) AS n FROM tok WHERE len(tokens) > 0),
@@ -367,7 +370,8 @@ s AS (SELECT topic, b, sum(x) AS s FROM x GROUP BY topic, b),
 c AS (SELECT topic, a, sum(x * s) / (sqrt(sum(x * x)) * sqrt(sum(s * s))) AS cosine FROM x JOIN s USING (topic, b) GROUP BY topic, a)
 SELECT topic, round(avg(cosine), 6) AS c_v FROM c GROUP BY topic""")
 def coherence_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(CO.coherence_cv(documents(spark, sf), mid_words(spark, sf)))
+    docs = token_table(spark, sf, "lang")
+    return rounded(CO.coherence_cv(docs, mid_words(spark, sf, docs)))
 
 
 PROBS_CTE = f"""ranked AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY md5('{SEED}|' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS ofs FROM embeddings),
