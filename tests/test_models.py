@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from topicloom import schemas
 from topicloom.operators import batch_models as B
+from topicloom.operators import coherence as CO
 from topicloom.operators import dictionary as D
 from topicloom.operators import geometry as G
 from topicloom.operators import grid as GR
@@ -101,6 +102,14 @@ def test_cumulative_and_vector_prior(spark, planted):
     assert {r.convergence for r in scalar}.isdisjoint({r.convergence for r in vector})
 
 
+def test_coherence_of_cumulative_models_against_the_whole_corpus(spark, planted):
+    fits = materialize(B.fit_per_batch(batches(planted), point(spark), passes=1, step_size=20), "fits")
+    topics = materialize(B.topic_term_rows(fits), "topics")
+    scores = CO.coherence_cv(planted, topics).collect()
+    assert len(scores) == 2 * 2 * 3 and all(-1 <= r.c_v <= 1 for r in scores)
+    assert CO.coherence_umass(planted, topics).count() == 12
+
+
 def test_run_rows_follow_the_schema(spark, planted):
     work = batches(planted)
     fits = materialize(B.fit_per_batch(work, point(spark), passes=1), "fits")

@@ -68,13 +68,14 @@ def topic_shares(doc_topics: DataFrame, length: str = "n_tokens") -> DataFrame:
 
 
 def topic_word_matrix(weights: DataFrame) -> DataFrame:
-    """topic, term, phi: weights normalised so that each topic sums to 1. Topics are few: their sums are k rows."""
+    """topic, term, phi: weights normalised so that each topic sums to 1. The sums have one row per topic."""
     sums = weights.groupBy("topic").agg(F.sum("weight").alias("_sum"))
-    return weights.join(sums, "topic").select("topic", "term", (F.col("weight") / F.col("_sum")).alias("phi"))
+    return weights.join(F.broadcast(sums), "topic").select("topic", "term", (F.col("weight") / F.col("_sum")).alias("phi"))
 
 
 def _with_marginals(phi: DataFrame, shares: DataFrame) -> DataFrame:
-    joint = phi.join(shares, "topic").withColumn("joint", F.col("phi") * F.col("share"))
+    """Joint and word probabilities; shares has one row per topic."""
+    joint = phi.join(F.broadcast(shares), "topic").withColumn("joint", F.col("phi") * F.col("share"))
     words = joint.groupBy("term").agg(F.sum("joint").alias("p_w"))
     return joint.join(words, "term")
 

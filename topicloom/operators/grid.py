@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import priors as P
-from .ranking import shuffled_rank
+from .ranking import running_total, shuffle_hash, shuffled_rank
 
 SAMPLE_FRACTION = 0.375
 
@@ -37,7 +37,7 @@ def grid_of_levels(rows: DataFrame, axes: Sequence[str]) -> DataFrame:
     return levels
 
 
-def combo_key(axes: Sequence[str]) -> F.Column:
+def combo_key(axes: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(a).cast("string") for a in axes])
 
 
@@ -51,8 +51,8 @@ def sample_grid(grid: DataFrame, axes: Sequence[str], seed: int | str, fraction:
 def balanced_sample(rows: DataFrame, group: str, key: str, seed: int | str) -> DataFrame:
     """The same number of seeded draws from each group: the size of the smallest."""
     least = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.min("n")).scalar()
-    order = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)
-    return rows.withColumn("_r", F.row_number().over(order)).withColumn("_n", least).filter("_r <= _n").drop("_r", "_n")
+    ranked = running_total(rows.withColumn("_h", shuffle_hash(key, seed)), [F.col("_h"), F.col(key)], [group], name="_r")
+    return ranked.withColumn("_n", least).filter("_r <= _n").drop("_h", "_r", "_n")
 
 
 def undrawn(grid: DataFrame, drawn: DataFrame) -> DataFrame:

@@ -57,7 +57,8 @@ def _visitor(lookup: Callable, totals: np.ndarray, alpha: np.ndarray, iterations
                 continue
             counts = np.concatenate(rows["counts"].to_list()).astype(float)
             indptr = np.cumsum([0] + [len(t) for t in rows["terms"]])
-            terms, first, local = np.unique(np.concatenate(rows["terms"].to_list()).astype(str), return_index=True, return_inverse=True)
+            local, terms = pd.factorize(np.concatenate(rows["terms"].to_list()))
+            first = np.unique(local, return_index=True)[1]
             log_beta = V.digamma(lookup(terms, rows, first)) - log_total
             gamma, expected = V.infer(indptr, counts, np.exp(log_beta)[local], alpha, iterations)
             yield emit(rows["doc_id"].to_numpy(), terms, local, indptr, counts, log_beta[local], gamma, expected, alpha)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from .skew import spread_join
 
 HASH_BUCKETS = 4096  # three hex digits
 
@@ -96,13 +97,11 @@ def order_statistics(counts: DataFrame, group: Sequence[str], value: str, picks:
     """
     group = list(group)
     ranked = running_total(counts, [F.col(value)], group, "n", "_upto")
-    totals = ranked.groupBy(*group).agg(F.max("_upto").alias("_n")).select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_n"
-    )
-    cond = F.lit(True)
-    for i, g in enumerate(group):
-        cond = cond & ranked[g].eqNullSafe(totals[f"_g{i}"])
-    placed = ranked.join(totals, cond)
+    totals = ranked.groupBy(*group).agg(F.max("_upto").alias("_n"), F.count("*").alias("_rows"))
+    if group:
+        placed = spread_join(ranked, totals, group, "_rows", [value])
+    else:
+        placed = ranked.withColumn("_n", totals.select("_n").scalar())
 
     def at(position: Column) -> Column:
         hit = (position > F.col("_upto") - F.col("n")) & (position <= F.col("_upto"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scalars as X
+from .shape import unnest
 from .skew import spread_join
 
 
@@ -36,7 +37,7 @@ def schema_violations(runs: DataFrame, key: str, types: dict[str, str] | None =
         if c in actual
     ]
     found = F.filter(F.array(*checks), lambda v: v.isNotNull())
-    return runs.select(key, F.inline(found))
+    return unnest(runs, [key], found, "v").select(key, "v.*")
 
 
 def unwrap_singletons(runs: DataFrame, columns: Sequence[str]) -> DataFrame:

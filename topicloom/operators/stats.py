@@ -150,33 +150,33 @@ def crosstab(df: DataFrame, by: Sequence[str], row: str, col: str, strata: Seque
     present = df
     for c in [*strata, row, col]:
         present = present.filter(F.col(c).isNotNull())
-    cells = present.groupBy(*group, row, col).agg(F.count("*").alias("f"))
+    cells = present.groupBy(*group, row, col).agg(F.count("*").alias("_cell"))
     in_table, in_row, in_col = (Window.partitionBy(*group, *k) for k in ([], [row], [col]))
     sums = cells.repartition(*group).select(
-        *group, row, col, "f",
-        F.sum("f").over(in_table).alias("t"), F.sum("f").over(in_row).alias("r"), F.sum("f").over(in_col).alias("c"),
-        (F.min(col).over(in_row) == F.col(col)).alias("opens_row"), (F.min(row).over(in_col) == F.col(row)).alias("opens_col"),
-        (F.min(row).over(in_table) == F.col(row)).alias("in_first_row"),
+        *group, row, col, "_cell",
+        F.sum("_cell").over(in_table).alias("_all"), F.sum("_cell").over(in_row).alias("_in_row"), F.sum("_cell").over(in_col).alias("_in_col"),
+        (F.min(col).over(in_row) == F.col(col)).alias("_opens_row"), (F.min(row).over(in_col) == F.col(row)).alias("_opens_col"),
+        (F.min(row).over(in_table) == F.col(row)).alias("_first_row"),
     )
     types = dict(cells.dtypes)
 
-    def line(kind: str, f: str, with_row: bool, with_col: bool) -> Column:
-        share = lambda base: F.col(f) * 100 / F.col(base) if kind == "cell" else F.lit(None).cast("double")
+    def line(kind: str, size: str, with_row: bool, with_col: bool) -> Column:
+        share = lambda base: F.col(size) * 100 / F.col(base) if kind == "cell" else F.lit(None).cast("double")
         return F.struct(
             (F.col(row) if with_row else F.lit(None).cast(types[row])).alias(row),
             (F.col(col) if with_col else F.lit(None).cast(types[col])).alias(col),
             F.lit(kind).alias("kind"),
-            F.col(f).alias("frequency"),
-            (F.col(f) * 100 / F.col("t")).alias("percent"),
-            share("r").alias("row_pct"),
-            share("c").alias("col_pct"),
+            F.col(size).alias("frequency"),
+            (F.col(size) * 100 / F.col("_all")).alias("percent"),
+            share("_in_row").alias("row_pct"),
+            share("_in_col").alias("col_pct"),
         )
 
     lines = F.array(
-        line("cell", "f", True, True),
-        F.when(F.col("opens_row"), line("row_total", "r", True, False)),
-        F.when(F.col("opens_col"), line("col_total", "c", False, True)),
-        F.when(F.col("opens_row") & F.col("in_first_row"), line("total", "t", False, False)),
+        line("cell", "_cell", True, True),
+        F.when(F.col("_opens_row"), line("row_total", "_in_row", True, False)),
+        F.when(F.col("_opens_col"), line("col_total", "_in_col", False, True)),
+        F.when(F.col("_opens_row") & F.col("_first_row"), line("total", "_all", False, False)),
     )
     return sums.select(*group, F.explode(lines).alias("_l")).filter(F.col("_l").isNotNull()).select(*group, "_l.*")
 
