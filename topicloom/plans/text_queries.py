@@ -380,14 +380,14 @@ probs AS (SELECT vec_id, batch_id, list_transform(e, lambda x: x / list_sum(e))
 
 
 def vector_distributions(spark: SparkSession, sf: str) -> DataFrame:
-    """batch_id, vec_id, distribution: softmax of the embeddings, in batches of 50."""
+    """batch_id, vec_id, distribution: softmax of the embeddings, in batches of 50, written once."""
     ranked = RK.shuffled_rank(table(spark, sf, "embeddings", "vec_id", "embedding"), "vec_id", SEED)
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return (
-        ranked.withColumn("e", F.transform("embedding", lambda x: F.exp(x.cast("double"))))
-        .withColumn("s", total)
-        .select(F.floor((F.col("rank") - 1) / 50).alias("batch_id"), "vec_id", F.transform("e", lambda x: x / F.col("s")).alias("distribution"))
+    shares = ranked.withColumn("e", F.transform("embedding", lambda x: F.exp(x.cast("double")))).withColumn("s", total)
+    rows = shares.select(
+        F.floor((F.col("rank") - 1) / 50).alias("batch_id"), "vec_id", F.transform("e", lambda x: x / F.col("s")).alias("distribution")
     )
+    return materialize(rows, "distributions")
 
 
 @query(f"""WITH {PROBS_CTE}, d AS (SELECT batch_id, vec_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM probs)
