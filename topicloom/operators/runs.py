@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scalars as X
+from ..runtime import materialize
 from .shape import unnest
 from .skew import spread_join
 
@@ -106,17 +107,21 @@ def group_remerge(rows: DataFrame, by: Sequence[str], aggs: dict[str, Column], s
     return spread_join(rows, stats, by, "_rows", spread_by).drop("_rows")
 
 
-def count_per_model(runs: DataFrame) -> DataFrame:
+def combination_counts(runs: DataFrame) -> DataFrame:
+    """type, topics, n_alpha, n_beta, text_sha256, n: runs counted once, for all that follows."""
+    return materialize(runs.groupBy(*MODEL_KEY, "text_sha256").agg(F.count("*").alias("n")), "combinations")
+
+
+def count_per_model(combinations: DataFrame) -> DataFrame:
     """Distinct type, topics, text, priors with the count of runs per type, topics and priors.
 
-    The text is not grouped, so the count covers all texts of the model. Runs are first counted per
-    text, so only distinct combinations are joined.
+    The text is not grouped, so the count covers all texts of the model. Input as given by
+    combination_counts, so only distinct combinations are joined.
     """
-    per_text = runs.groupBy(*MODEL_KEY, "text_sha256").agg(F.count("*").alias("_n"))
-    models = per_text.groupBy(*MODEL_KEY).agg(
-        F.sum("_n").alias("type_alpha_beta_count"), F.count("*").alias("_texts")
+    models = combinations.groupBy(*MODEL_KEY).agg(
+        F.sum("n").alias("type_alpha_beta_count"), F.count("*").alias("_texts")
     )
-    return spread_join(per_text.drop("_n"), models, MODEL_KEY, "_texts", ["text_sha256"]).select(
+    return spread_join(combinations.drop("n"), models, MODEL_KEY, "_texts", ["text_sha256"]).select(
         "type", "topics", "text_sha256", "n_alpha", "n_beta", "type_alpha_beta_count"
     )
 
@@ -128,10 +133,11 @@ def explore_join(runs: DataFrame, run_key: Sequence[str]) -> DataFrame:
     model_sum cover all joined rows of a (type, text) and stand on each of them; they are computed from
     counts per key, without forming the joined rows first.
     """
-    models = count_per_model(runs)
-    texts = count_per_text(runs).select("text_sha256")
+    combinations = combination_counts(runs)
+    models = count_per_model(combinations)
+    texts = combinations.select("text_sha256").distinct()
     key = ["type", "text_sha256", "n_alpha", "n_beta"]
-    runs_per_key = runs.groupBy(*key).agg(F.count("*").alias("_runs"))
+    runs_per_key = combinations.groupBy(*key).agg(F.sum("n").alias("_runs"))
     models_per_key = models.groupBy(*key).agg(
         F.collect_list(F.struct("topics", "type_alpha_beta_count")).alias("_models"),
         F.count("*").alias("_n"),
@@ -145,7 +151,7 @@ def explore_join(runs: DataFrame, run_key: Sequence[str]) -> DataFrame:
             cond = cond & left[k].eqNullSafe(other[f"_k{i}"])
         return left.join(other, cond).drop(*[f"_k{i}" for i in range(len(keys))])
 
-    per_key = nullsafe_join(nullsafe_join(runs_per_key, models_per_key, key), texts, ["text_sha256"])
+    per_key = materialize(nullsafe_join(nullsafe_join(runs_per_key, models_per_key, key), texts, ["text_sha256"]), "per-key")
     totals = per_key.groupBy("type", "text_sha256").agg(
         F.sum(F.col("_runs") * F.col("_n")).alias("sha_count"), F.sum(F.col("_runs") * F.col("_sum")).alias("model_sum")
     )

@@ -52,7 +52,7 @@ def token_table(spark: SparkSession, sf: str, *extra: str, lang: str | None = No
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem read as a run table."""
     flag = F.col("l_returnflag")
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_linestatus").alias("type"),
         F.sha2(F.col("l_suppkey").cast("string"), 256).alias("text_sha256"),
         flag.alias("alpha_str"),

@@ -354,7 +354,7 @@ def count_per_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {EXPLORE_CTE} SELECT type, topics, text_sha256, n_alpha, n_beta, type_alpha_beta_count FROM c")
 def count_per_model(spark: SparkSession, sf: str) -> DataFrame:
-    return R.count_per_model(runs(spark, sf))
+    return R.count_per_model(R.combination_counts(runs(spark, sf)))
 
 
 @query(f"""WITH {RUNS_CTE}, c AS (SELECT type, topics, coherence, count(*) AS k FROM runs GROUP BY ALL),

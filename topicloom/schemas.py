@@ -1,4 +1,4 @@
-"""Fixed schemas of the inputs and of the model-run table."""
+"""Schemas of the inputs and of the model-run table."""
 
 from __future__ import annotations
 
