@@ -32,8 +32,11 @@ SEED = 20
 BAND_RATIO = 1.5
 DELETIONS_UP_TO = 3  # differences for which one-deletion neighbourhoods are cheaper than whole segments
 COSTLY = 64  # sets under one signature from which leaving it out is worth an extra segment
-PAIRS_UP_TO = 32  # members of a signature group whose open pairs are compared directly after the first star
-STARS = 4  # further stars in larger groups, whose members then mostly are in one component
+SKETCH_BITS = 1024
+BLOCK = 512  # members of a signature group that one task compares with as many others
+STARS = 3  # rounds in which each set is compared with a few hubs, before what is still open is compared pair by pair
+HUBS = 3  # of a signature group in a round
+MEETINGS = 8  # of a set with hubs in a round
 
 
 def bands(largest: int, threshold: Fraction) -> np.ndarray:
@@ -77,8 +80,17 @@ class ShingleSets:
         total = running(mix(self.shingle + np.uint64(77)))
         return mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def signatures(self, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, band, signature) of every set, for its own band and for those of possible larger partners."""
+    def parities(self) -> np.ndarray:
+        """For each row, SKETCH_BITS flags: whether an odd number of its members falls into a slot.
+
+        A member that only one of two sets has turns one flag, so the sets differ in at least as many members as flags.
+        """
+        slot = (mix(self.shingle + np.uint64(5)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        odd = np.bincount(self.row * SKETCH_BITS + slot, minlength=len(self.size) * SKETCH_BITS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+    def signatures(self, threshold: Fraction) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+        """(own, row, band, signature) of every set, for its own band and for those of possible larger partners."""
         plan = bands(int(max(self.size.max(initial=0) / threshold, 1)), threshold)
         own = np.searchsorted(plan[:, 0], np.maximum(self.size, 1), side="right") - 1
         top = (self.size * threshold.denominator) // threshold.numerator  # largest size of a linked partner
@@ -103,11 +115,11 @@ class ShingleSets:
             ends = np.searchsorted(cell[order], np.arange(len(parts) + 1))
             sums = total[ends[1:]] - total[ends[:-1]]
             head = mix((band[parts] * 1_000_003 + part).astype(np.uint64))
-            yield parts, band[parts], mix(sums + head)
+            yield up == 0, parts, band[parts], mix(sums + head)
             dropped = plan[band[row], 5] == 1
             if dropped.any():
                 cells = cell[dropped]
-                yield row[dropped], band[row[dropped]], mix(sums[cells] - scrambled[member[dropped]] + head[cells])
+                yield up == 0, row[dropped], band[row[dropped]], mix(sums[cells] - scrambled[member[dropped]] + head[cells])
 
 
 def _linked(shared: Column, left: Column, right: Column, threshold: Fraction) -> Column:
@@ -148,7 +160,7 @@ def jaccard_classes(
 
     def all_signatures(batches):
         def emit(piece, sets):
-            for _, _, signature in sets.signatures(threshold):
+            for _, _, _, signature in sets.signatures(threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(signed(signature))], ["s"])
 
         return of_batches(batches, emit)
@@ -160,22 +172,24 @@ def jaccard_classes(
     def shared_signatures(batches):
         def emit(piece, sets):
             classes = signed(sets.class_id())
-            for row, band, signature in sets.signatures(threshold):
+            for own, row, band, signature in sets.signatures(threshold):
                 hit = may_contain(flags, signature)
                 row = row[hit]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(signature[hit])), pa.array(classes[row]), pa.array(sets.size[row]), pa.array(band[hit])],
-                    ["s", "c", "n", "band"],
+                    [pa.array(signed(signature[hit])), pa.array(classes[row]), pa.array(sets.size[row]), pa.array(band[hit]), pa.array([own] * len(row), pa.bool_())],
+                    ["s", "c", "n", "band", "own"],
                 )
 
         return of_batches(batches, emit)
 
-    filed = source.select("text").mapInArrow(shared_signatures, "s long, c long, n long, band long")
+    filed = source.select("text").mapInArrow(shared_signatures, "s long, c long, n long, band long, own boolean")
     filed = filed.distinct()  # copies of a set meet here, before anything is joined
-    filed = materialize(filed.join(twice, "s").select("s", "c", "n", "band", "k"), "filed")
+    filed = materialize(filed.join(twice, "s").select("s", "c", "n", "band", "own", "k"), "filed")
     filed = _without_costly(filed, threshold)
-    group = filed.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).filter("low < high")
-    filed = materialize(filed.select("s", "c", "n").join(group.select("s"), "s"), "filed")
+    # A pair counts in the band of its larger set, so a group without a set of its own band has no pair.
+    group = filed.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("own").alias("any_own"))
+    group = group.filter("low < high and any_own").select("s")
+    filed = materialize(filed.select("s", "c", "n", "own").join(group, "s"), "filed")
 
     # Shingle arrays of one row of each class that shares a signature.
     wanted = filed.select("c").distinct()
@@ -191,68 +205,67 @@ def jaccard_classes(
 
         def emit(piece, sets):
             lists = pa.ListArray.from_arrays(pa.array(sets.first, pa.int32()), pa.array(signed(sets.shingle)))
-            yield pa.RecordBatch.from_arrays([piece.column("h"), pa.array(signed(sets.class_id())), lists], ["h", "c", "members"])
+            sketches = pa.FixedSizeListArray.from_arrays(pa.array(sets.parities()), SKETCH_BITS // 64).cast(pa.list_(pa.int64()))
+            columns = [piece.column("h"), pa.array(signed(sets.class_id())), lists, sketches]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "c", "members", "sketch"])
 
         return of_batches(wanted_rows(), emit)
 
-    members = source.select(key.alias("h"), "text").mapInArrow(chosen_sets, "h long, c long, members array<long>")
-    members = materialize(members.join(chosen, ["h", "c"]).dropDuplicates(["c"]).select("c", "members"), "members")
+    members = source.select(key.alias("h"), "text").mapInArrow(chosen_sets, "h long, c long, members array<long>, sketch array<long>")
+    members = materialize(members.join(chosen, ["h", "c"]).dropDuplicates(["c"]).select("c", "members", "sketch"), "members")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """a, b, linked for the pairs (a, b) with the sizes na, nb."""
-        left = members.select(F.col("c").alias("a"), F.col("members").alias("ma"))
-        right = members.select(F.col("c").alias("b"), F.col("members").alias("mb"))
+        """a, b, linked for the pairs (a, b): first by sketches, which never reject a linked pair, then by the sets."""
+
+        def side(name, column):
+            return members.select(F.col("c").alias(name), F.col(column).alias(f"m{name}"), F.size("members").cast("long").alias(f"n{name}"))
+
+        turned = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        most = (F.col("na") + F.col("nb")) * (threshold.denominator - threshold.numerator)
+        sketched = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
+        sketched = sketched.select("a", "b", (turned * (threshold.denominator + threshold.numerator) <= most).alias("close"))
+        sketched = materialize(sketched, "sketched")
+        both = sketched.filter("close").join(side("a", "members"), "a").join(side("b", "members"), "b")
         shared = F.size(F.array_intersect("ma", "mb")).cast("long")
-        both = pairs.join(left, "a").join(right, "b")
-        return both.select("a", "b", _linked(shared, F.size("ma").cast("long"), F.size("mb").cast("long"), threshold).alias("linked"))
+        sure = both.select("a", "b", _linked(shared, F.col("na"), F.col("nb"), threshold).alias("linked"))
+        return sure.union(sketched.filter("not close").select("a", "b", F.lit(False)))
 
     def possible(pairs: DataFrame) -> DataFrame:
+        """Each pair once, a < b, if the sizes allow a link."""
         smaller, larger = F.least("na", "nb"), F.greatest("na", "nb")
-        return pairs.filter("a <> b").filter(smaller * threshold.denominator >= larger * threshold.numerator)
+        fits = pairs.filter("a <> b").filter(smaller * threshold.denominator >= larger * threshold.numerator)
+        return fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     tried = edges = None
     labels = spark.createDataFrame([], "node long, root long")
-    for step in range(STARS + 2):
-        state = filed.join(labels, filed.c == labels.node, "left").select("s", "c", "n", F.coalesce("root", "c").alias("root"))
-        open_groups = (
-            state.groupBy("s")
-            .agg(
-                F.min("root").alias("low"),
-                F.max("root").alias("high"),
-                F.count("*").alias("size"),
-                F.min(F.struct((F.xxhash64("c", F.lit(step)) if step else F.col("c")).alias("rank"), "c", "n", "root")).alias("hub"),
-            )
-            .filter("low < high")
-        )
-        state = materialize(state.join(open_groups, "s"), "groups")
-        hub = F.col("hub.c")
-        # First one star in every group; then stars around other hubs in large groups and all open pairs in the others; at
-        # last all pairs that are still open.
-        direct = F.lit(step > STARS) | (F.lit(step > 0) & (F.col("size") <= PAIRS_UP_TO))
-        stars = state.filter(~direct).filter("root <> hub.root")
-        pairs = stars.select(
-            F.least(hub, "c").alias("a"),
-            F.greatest(hub, "c").alias("b"),
-            F.when(hub < F.col("c"), F.col("hub.n")).otherwise(F.col("n")).alias("na"),
-            F.when(hub < F.col("c"), F.col("n")).otherwise(F.col("hub.n")).alias("nb"),
-        )
-        if step:
-            small = state.filter(direct)
-            one, two = small.select("s", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), small.select(
-                "s", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")
-            )
-            pairs = pairs.union(one.join(two, "s").filter("a < b and ra <> rb").select("a", "b", "na", "nb"))
-        pairs = possible(pairs).distinct()
+    for step in range(STARS + 1):
+        state = filed.join(labels, filed.c == labels.node, "left").select("s", "c", "n", "own", F.coalesce("root", "c").alias("root"))
+        hubs = [
+            F.min(F.struct(F.xxhash64("c", F.lit(HUBS * step + i)).alias("rank"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")))
+            for i in range(HUBS)
+        ]
+        groups = state.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*hubs)).alias("hubs"))
+        groups = groups.filter("low < high")
+        if step < STARS:
+            # Sets meet hubs of their open groups, those first with which they share most: pairs grow as the sets, however large the
+            # groups are.
+            near = state.join(groups.select("s", "hubs"), "s").select("c", "n", "root", F.explode("hubs").alias("hub"))
+            near = near.filter("root <> hub.rb").groupBy(F.col("c").alias("a"), F.col("n").alias("na"), "hub.b", "hub.nb").agg(F.count("*").alias("k"))
+            best = Window.partitionBy("a").orderBy(F.desc("k"), "b")
+            pairs = possible(near.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= MEETINGS))
+        else:
+            # Mostly one component to a group now; what is still open is compared.
+            pairs = _open_pairs(state.join(groups.select("s"), "s"), members, threshold)
+        pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         result = materialize(verified(pairs), "verified")
         tried = result.select("a", "b") if tried is None else tried.union(result.select("a", "b"))
         found = result.filter("linked").select("a", "b")
         edges = found if edges is None else edges.union(found)
-        if found.limit(1).count():
+        if step < STARS and found.limit(1).count():
             labels = components(edges)
-        if step and not stars.limit(1).count():
-            break
+    labels = components(edges)
 
     degree = edges.select("a").union(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
     classes = rows.groupBy("c").agg(F.min("id").alias("low"))
@@ -272,6 +285,64 @@ def jaccard_classes(
     )
 
 
+def _open_pairs(open_rows: DataFrame, members: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (a, b) of a signature group in different components whose sizes and sketches allow a link.
+
+    A group is cut into blocks of about BLOCK sets, and each two blocks meet in a task of their own: a group of any size is spread and
+    a task holds two blocks. Only pairs that pass leave the task.
+    """
+    sketches = members.select(F.col("c").alias("c2"), "sketch")
+    rows = open_rows.join(sketches, open_rows.c == sketches.c2).select("s", "c", "n", "root", "own", "sketch")
+    rows = materialize(rows, "open")
+    sizes = rows.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    mine = F.pmod(F.xxhash64("c"), F.col("blocks"))
+    rows = rows.join(sizes, "s").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("s", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "n", "root", "own", "sketch")
+    rows = rows.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    up, down = threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator
+
+    def compare(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks()
+            kept = table.to_batches()[0] if table.num_rows else None
+            if kept is None:
+                continue
+            ends = _group_ends(kept)
+            yield _passing(kept.slice(0, ends[-2]), ends[:-1], up, down)
+            kept = kept.slice(ends[-2])
+        if kept is not None and kept.num_rows:
+            yield _passing(kept, np.array([0, kept.num_rows]), up, down)
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def _group_ends(batch: pa.RecordBatch) -> np.ndarray:
+    """0 and the end of each run of equal (s, i, j)."""
+    keys = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in ("s", "i", "j")])
+    return np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+
+
+def _passing(batch: pa.RecordBatch, ends: np.ndarray, up: int, down: int) -> pa.RecordBatch:
+    i, j, mine, c, n, root, own = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("i", "j", "mine", "c", "n", "root", "own"))
+    words = SKETCH_BITS // 64
+    sketch = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for low, high in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        at = np.arange(low, high)
+        one, two = (at[mine[at] == i[low]], at[mine[at] == j[low]]) if i[low] != j[low] else (at, at)
+        for x in one.tolist():
+            y = two[(root[two] != root[x]) & (c[two] > c[x] if i[low] == j[low] else True) & (own[two] | own[x])]
+            most = (n[y] + n[x]) * down
+            y = y[np.abs(n[y] - n[x]) * up <= most]
+            turned = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+            y = y[turned * up <= (n[y] + n[x]) * down]
+            if len(y):
+                found.append((np.minimum(c[x], c[y]), np.maximum(c[x], c[y])))
+    a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def _without_costly(filed: DataFrame, threshold: Fraction) -> DataFrame:
     """Leave out each set's commonest signatures, at most the extra segments of its band."""
     costly = filed.filter(F.col("k") > COSTLY)
