@@ -115,7 +115,8 @@ def remove_repeats(
     whole = found.filter("whole").select("h", "first", "count")
     windows = found.filter("not whole").select("h", "anchor", "first", F.posexplode("windows").alias("at", "window"))
     windows = windows.select("h", "anchor", "window", (F.col("first") + F.col("at")).alias("first"))
-    again = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written first, so that both sides of the join are shuffled for it and a hot window can be split.
+    again = materialize(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "windows")
     single = windows.join(again, ["anchor", "window"]).select("h", "first", F.lit(1).cast("long").alias("count"))
     cuts = whole.union(single).groupBy("h").agg(F.array_sort(F.collect_set(F.struct("first", "count"))).alias("cuts"))
 
