@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated_words
+from .hilbert_packing import pack
 from .jaccard_join import jaccard_classes
+from .line_quality import BOILERPLATE, BOILERPLATE_CHARS, LOST_PERCENT, MENU, MIN_WORDS, REPEAT_PERCENT, SEPARATORS, SYMBOLS, line_quality
 from .seed_extend import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +102,43 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach W
 @query(JACCARD_SQL)
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_classes(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def _sql_chars(text: str, chars: str) -> str:
+    return f"(length({text}) - length(translate({text}, '{chars}', '')))"
+
+
+LINE_FAILS_SQL = f"""({_sql_chars("x", SYMBOLS)} * 10 > length(x)
+  OR ({_sql_chars("x", SEPARATORS)} >= 3 AND {_sql_chars("x", SEPARATORS)} * 5 >= {_sql_chars("x", " ")} + 1)
+  OR regexp_matches(x, '{MENU}')
+  OR (length(x) >= 20 AND regexp_matches(x, '\\p{{Lu}}\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}'))
+  OR ({_sql_chars("x", "!")} >= 3 AND {_sql_chars("x", "!")} * 4 > {_sql_chars("x", " ")} + 1)
+  OR (length(x) < {BOILERPLATE_CHARS} AND regexp_matches(x, '{BOILERPLATE}')))"""
+
+QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, {BLANK_WORDS}), []) AS w,
+  string_split(coalesce(text, ''), chr(10)) AS every FROM documents),
+l AS (SELECT *, list_filter(every, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM d, unnest(range(1, len(w) - 1)) AS t(i) WHERE len(w) >= 3),
+twice AS (SELECT doc_id, g FROM windows GROUP BY doc_id, g HAVING count(*) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM windows JOIN twice USING (doc_id, g), unnest(range(i, i + 3)) AS t(p) GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, {_sql_chars("text", SYMBOLS)} AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    list_sum(list_transform(list_filter(lines, lambda x: {LINE_FAILS_SQL}), lambda x: length(x))) AS lost,
+    length(replace(text, chr(10), '')) AS total
+  FROM l LEFT JOIN repeated USING (doc_id)),
+g AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines,
+  n_repeat_words, base_failed, NOT base_failed AND coalesce(lost, 0) * 100 <= total * {LOST_PERCENT} AS kept FROM g"""
+
+
+@query(QUALITY_SQL)
+def op2_line_quality(spark: SparkSession, sf: str) -> DataFrame:
+    fields = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    return line_quality(table(spark, sf, "documents")).select("doc_id", *[f"quality.{x}" for x in fields])
+
+
+@query()
+def op3_hilbert_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
