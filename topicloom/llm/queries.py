@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated_words
 from .hilbert_packing import pack
+from .html_consensus import main_text
 from .jaccard_join import jaccard_classes
 from .line_quality import BOILERPLATE, BOILERPLATE_CHARS, LOST_PERCENT, MENU, MIN_WORDS, REPEAT_PERCENT, SEPARATORS, SYMBOLS, line_quality
+from .mil_quality import score, train
 from .seed_extend import remove_repeats
+from .warc_derivatives import derivatives, responses_of_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+WARC_DATE = "2024-01-01T00:00:00Z"  # the page table has no fetch times
+
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -142,3 +147,24 @@ def op2_line_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op3_hilbert_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+@query()
+def op6_warc_derivatives(spark: SparkSession, sf: str) -> DataFrame:
+    records = derivatives(responses_of_pages(table(spark, sf, "pages"), WARC_DATE))
+    return records.withColumn("page_id", F.col("source_id").cast("long")).drop("source_id")
+
+
+@query()
+def op9_mil_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = train(docs, table(spark, sf, "labels").filter(fold != 1), "doc_id", "text", "quality")
+    return score(docs, model).select(
+        "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query()
+def op10_html_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
