@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the rules.
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "#*$%&|<>"  # as a class of a pattern, like the next
 SEPARATORS = "|»›•·"
 BOILERPLATE = (
     r"(?i)(all rights reserved|terms of (use|service)|privacy policy|we use cookies|enable javascript|subscribe to our|"
@@ -25,11 +25,10 @@ REPEAT_PERCENT = 50
 LOST_PERCENT = 30
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
-BLANK_CHARS = " \t\n\x0b\f\r"
 
 
 def count_chars(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
 def line_fails(line: Column) -> Column:
@@ -44,14 +43,17 @@ def line_fails(line: Column) -> Column:
     return symbols | navigation | shouting | exclaiming | stock
 
 
-def _repeated_words(words: Column) -> Column:
-    """Words in windows of three that occur twice or more: sort the windows with their places and look at neighbours."""
+def _windows(words: Column) -> tuple[Column, Column]:
+    """Windows of three words, and their hashes."""
     n = F.size(words)
-    windows = F.slice(F.arrays_zip(words.alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c")), 1, n - 2)
-    hashes = F.transform(windows, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
-    placed = F.array_sort(
-        F.transform(windows, lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), x.alias("w"), i.alias("i")))
-    )
+    windows = F.slice(F.arrays_zip(words.alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c")), 1, F.greatest(n - 2, F.lit(0)))
+    return windows, F.transform(windows, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
+
+
+def _repeated_words(words: Column, windows: Column, hashes: Column) -> Column:
+    """Words in windows that occur twice or more: sort the windows with their places and look at neighbours."""
+    n = F.size(words)
+    placed = F.sort_array(F.arrays_zip(hashes.alias("h"), windows.alias("w"), F.sequence(F.lit(0), n - 3).alias("i")))
     following = F.arrays_zip(placed.alias("x"), F.slice(placed, 2, n).alias("y"))
     same = F.filter(following, lambda p: (p["x"]["h"] == p["y"]["h"]) & (p["x"]["w"] == p["y"]["w"]))
     starts = F.flatten(F.transform(same, lambda p: F.array(p["x"]["i"], p["y"]["i"])))
@@ -73,18 +75,21 @@ def line_quality(docs: DataFrame, text_column: str = "text") -> DataFrame:
     every = F.split(F.col(text_column), "\n", -1)
     passing = F.filter(every, lambda x: ~line_fails(x) | ~x.rlike("[^\\x20\\x09-\\x0D]"))
     read = docs.withColumn("_words", F.array_remove(F.split(text, BLANKS, -1), "")).withColumn("_lines", lines)
-    read = read.withColumn("_repeat", _repeated_words(F.col("_words"))).withColumn("_clean", F.array_join(passing, "\n"))
+    windows, hashes = _windows(F.col("_words"))
+    read = read.withColumns({"_windows": windows, "_hashes": hashes, "_passing": passing})
+    repeated = _repeated_words(F.col("_words"), F.col("_windows"), F.col("_hashes"))
+    read = read.withColumns({"_repeat": repeated, "_clean": F.array_join("_passing", "\n")})
 
     def long(x: Column) -> Column:
         return x.cast("long")
 
     n_words, repeat = long(F.size("_words")), long(F.col("_repeat"))
-    total = long(F.length(F.translate(text, "\n", "")))
-    lost = total - long(F.length(F.translate(F.coalesce("_clean", F.lit("")), "\n", "")))
+    total = long(F.length(text) - F.size(F.split(text, "\n", -1)) + 1)
+    lost = F.coalesce(total - long(F.length("_clean") - F.greatest(F.size("_passing") - 1, F.lit(0))), F.lit(0).cast("long"))
     failed = (n_words < MIN_WORDS) | (repeat * 100 > n_words * REPEAT_PERCENT)
     quality = F.struct(
         n_words.alias("n_words"),
-        long(F.length(F.translate(text, BLANK_CHARS, ""))).alias("word_chars"),
+        long(F.length(F.array_join("_words", ""))).alias("word_chars"),
         long(count_chars(text, SYMBOLS)).alias("n_symbols"),
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
@@ -94,4 +99,4 @@ def line_quality(docs: DataFrame, text_column: str = "text") -> DataFrame:
         (~failed & (lost * 100 <= total * LOST_PERCENT)).alias("kept"),
         F.col("_clean").alias("clean_text"),
     )
-    return read.withColumn("quality", quality).drop("_words", "_lines", "_repeat", "_clean")
+    return read.withColumn("quality", quality).drop("_words", "_lines", "_windows", "_hashes", "_passing", "_repeat", "_clean")
