@@ -7,7 +7,11 @@ order is cut every `length` tokens. Only the last sequence can be short, so padd
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,7 @@ SEED = 3
 SLOTS = 256
 DIMENSIONS = 4
 BITS = 10  # of each dimension in the key
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # of tokenizers whose pieces are known here
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -48,26 +53,60 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-class WordIds(dict):
-    """Token ids of a blank-separated word, as bytes; words are tokenised when they are first met.
+class Ids:
+    """Token ids of texts, as bytes of unsigned 32-bit numbers. Tokens never cross white space, and mostly not the edge of a run of letters either.
 
-    The tokenizer's pattern has no token across white space, so a text's ids are those of its words. The store is emptied when it has
-    grown to `most` words.
+    A text of plain Latin letters is cut by the tokenizer's own pattern, and each distinct piece is put to its model once; other texts go
+    through the whole tokenizer word by word. The stores are emptied when they have grown to `most` entries.
     """
 
-    def __init__(self, path: str, kind: np.dtype, most: int = 200_000) -> None:
+    PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")  # letters that lower-case and compose one by one
+    PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r a-zß-öø-ÿ0-9]+")
+
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), kind, most
+        whole = Tokenizer.from_file(path)
+        spec = json.loads(whole.to_str())
+        known = {"normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"]}
+        parts = {k: [x["type"] for x in (spec.get(k) or {}).get(f"{k}s", (spec.get(k) or {}).get("pretokenizers", []))] for k in known}
+        self.simple = parts == known and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == PATTERN
+        spelled, tokenize = byte_letters(), whole.model.tokenize
+
+        def of_piece(piece: str) -> bytes:
+            return array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(spelled))]).tobytes()
+
+        def of_word(word: str) -> bytes:
+            return array("I", whole.encode(word, add_special_tokens=False).ids).tobytes()
+
+        self.pieces, self.words = Store(of_piece, most), Store(of_word, most)
+
+    def __call__(self, text: str) -> bytes:
+        if self.simple and "<|" not in text and self.PLAIN.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, re.split(r"[\t-\r ]+", text)))
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
+
+class Store(dict):
+    """Results of `make` by key, for at most `most` keys at a time."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        out = self[word] = np.array(ids, dtype=self.kind).tobytes()
+        out = self[key] = self.make(key)
         return out
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def _keys(ids: list[np.ndarray], plane: np.ndarray) -> np.ndarray:
     """Hilbert keys of the documents of a piece."""
     slot = (mix(np.concatenate(ids).astype(np.uint64) + np.uint64(9)) % np.uint64(SLOTS)).astype(np.int64)
@@ -94,13 +133,12 @@ def pack(
     kind = np.dtype("<u4")
 
     def tokenise(batches):
-        words = WordIds(tokenizer, kind)
+        ids_of = Ids(tokenizer)
         last = np.array([end_id], dtype=kind).tobytes()
         plane = np.random.default_rng(SEED).normal(size=(SLOTS, DIMENSIONS)) * 1.2
         for batch in batches:
             for piece in pieces(batch, "text"):
-                texts = [(x or "").encode("utf-8") for x in piece.column("text").to_pylist()]
-                out = [b"".join([words[w] for w in x.split()]) + last for x in texts]
+                out = [ids_of(x or "") + last for x in piece.column("text").to_pylist()]
                 ids = [np.frombuffer(x, dtype=kind) for x in out]
                 yield pa.RecordBatch.from_arrays(
                     [
