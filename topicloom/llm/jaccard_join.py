@@ -6,9 +6,10 @@ differ in at most d = floor((1 - t) / (1 + t) * 2U) members. A hash deals the un
 * d = 0: one segment, the whole set;
 * small d: (d + 1) / 2 segments, each compared up to one deletion: a set is filed under its part of a segment and under that part
   less one member;
-* else m = d + 1 + e segments compared whole. At least e + 1 of them agree in a linked pair, so each set may leave out up to
-  e. It leaves out its commonest ones if they cost too much. The order (count, value) depends on content alone, so of
-  the segments that agree, the longer prefix left out by either side has e members at most and one is left to both.
+* else m = d + 1 + e segments compared whole, e about d / 3. At least e + 1 of them agree in a linked pair, so each set leaves out its
+  e costliest, those that most sets share. The order (count, value) depends on content alone, so of the segments that
+  agree, the longer prefix left out by either side has e members at most and one is left to both. A set that shares
+  no more than e signatures with any others drops out.
 
 A set is filed in its own band, and in each higher one in which it can have a linked partner. Signatures are counted first; only
 those found twice are gathered with their sets. Signature groups are resolved by stars and verified exactly, not expanded into pairs.
@@ -31,12 +32,10 @@ from .textbytes import Hasher, Words, ascii_lower, bitmap, blank_separated, may_
 SEED = 20
 BAND_RATIO = 1.5
 DELETIONS_UP_TO = 3  # differences for which one-deletion neighbourhoods are cheaper than whole segments
-COSTLY = 64  # sets under one signature from which leaving it out is worth an extra segment
-SKETCH_BITS = 1024
 BLOCK = 512  # members of a signature group that one task compares with as many others
-STARS = 3  # rounds in which each set is compared with a few hubs, before what is still open is compared pair by pair
+STARS = 1  # rounds in which each set is compared with a few hubs, before what is still open is compared pair by pair
 HUBS = 3  # of a signature group in a round
-MEETINGS = 8  # of a set with hubs in a round
+MEETINGS = 6  # of a set with hubs in a round
 
 
 def bands(largest: int, threshold: Fraction) -> np.ndarray:
@@ -50,7 +49,7 @@ def bands(largest: int, threshold: Fraction) -> np.ndarray:
         elif differ <= DELETIONS_UP_TO:
             rows.append((low, high, differ, (differ + 2) // 2, 0, 1))
         else:
-            extra = 2 + differ // 10
+            extra = 1 + differ // 3
             rows.append((low, high, differ, differ + 1 + extra, extra, 0))
         low = high + 1
     return np.array(rows, dtype=np.int64).reshape(-1, 6)
@@ -80,14 +79,17 @@ class ShingleSets:
         total = running(mix(self.shingle + np.uint64(77)))
         return mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def parities(self) -> np.ndarray:
-        """For each row, SKETCH_BITS flags: whether an odd number of its members falls into a slot.
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """(64-bit words, first word of each row): flags of whether an odd number of a row's members falls into a slot.
 
-        A member that only one of two sets has turns one flag, so the sets differ in at least as many members as flags.
+        A row of n members has the power of two from 4 n on as slots, 64 at least. A member that only one of two sets has turns one flag, so
+        the sets differ in at least as many members as flags. The halves of a longer sketch, xor-ed, are the sketch of half as many slots.
         """
-        slot = (mix(self.shingle + np.uint64(5)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-        odd = np.bincount(self.row * SKETCH_BITS + slot, minlength=len(self.size) * SKETCH_BITS) & 1
-        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+        words = np.maximum(1 << np.ceil(np.log2(np.maximum(self.size, 1) / 16)).clip(0).astype(np.int64), 1)
+        first = np.concatenate([[0], np.cumsum(words)])
+        slot = (mix(self.shingle + np.uint64(5)) % (words[self.row] * 64).astype(np.uint64)).astype(np.int64)
+        odd = np.bincount(first[self.row] * 64 + slot, minlength=int(first[-1]) * 64) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64), first
 
     def signatures(self, threshold: Fraction) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
         """(own, row, band, signature) of every set, for its own band and for those of possible larger partners."""
@@ -183,13 +185,11 @@ def jaccard_classes(
         return of_batches(batches, emit)
 
     filed = source.select("text").mapInArrow(shared_signatures, "s long, c long, n long, band long, own boolean")
-    filed = filed.distinct()  # copies of a set meet here, before anything is joined
-    filed = materialize(filed.join(twice, "s").select("s", "c", "n", "band", "own", "k"), "filed")
-    filed = _without_costly(filed, threshold)
+    filed = materialize(filed.distinct(), "filed")  # copies of a set meet here, before anything is joined
     # A pair counts in the band of its larger set, so a group without a set of its own band has no pair.
-    group = filed.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("own").alias("any_own"))
-    group = group.filter("low < high and any_own").select("s")
-    filed = materialize(filed.select("s", "c", "n", "own").join(group, "s"), "filed")
+    group = filed.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("own").alias("any_own"), F.count("*").alias("k"))
+    filed = filed.join(group.filter("low < high and any_own").select("s", "k"), "s")
+    filed = materialize(_without_costly(filed, threshold).select("s", "c", "n", "own"), "filed")
 
     # Shingle arrays of one row of each class that shares a signature.
     wanted = filed.select("c").distinct()
@@ -205,7 +205,8 @@ def jaccard_classes(
 
         def emit(piece, sets):
             lists = pa.ListArray.from_arrays(pa.array(sets.first, pa.int32()), pa.array(signed(sets.shingle)))
-            sketches = pa.FixedSizeListArray.from_arrays(pa.array(sets.parities()), SKETCH_BITS // 64).cast(pa.list_(pa.int64()))
+            flags, first = sets.parities()
+            sketches = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flags))
             columns = [piece.column("h"), pa.array(signed(sets.class_id())), lists, sketches]
             yield pa.RecordBatch.from_arrays(columns, ["h", "c", "members", "sketch"])
 
@@ -220,7 +221,13 @@ def jaccard_classes(
         def side(name, column):
             return members.select(F.col("c").alias(name), F.col(column).alias(f"m{name}"), F.size("members").cast("long").alias(f"n{name}"))
 
-        turned = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        def folded(x, to):
+            """The sketch with as many slots as the shorter one; linked sets differ by a factor of two at most."""
+            half = F.floor(F.size(x) / 2).cast("int")
+            return F.when(F.size(x) > F.size(to), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+        turned = F.zip_with(folded("ma", "mb"), folded("mb", "ma"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        turned = F.aggregate(turned, F.lit(0), lambda n, x: n + x)
         most = (F.col("na") + F.col("nb")) * (threshold.denominator - threshold.numerator)
         sketched = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
         sketched = sketched.select("a", "b", (turned * (threshold.denominator + threshold.numerator) <= most).alias("close"))
@@ -325,17 +332,25 @@ def _group_ends(batch: pa.RecordBatch) -> np.ndarray:
 
 def _passing(batch: pa.RecordBatch, ends: np.ndarray, up: int, down: int) -> pa.RecordBatch:
     i, j, mine, c, n, root, own = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("i", "j", "mine", "c", "n", "root", "own"))
-    words = SKETCH_BITS // 64
-    sketch = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+    flags = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    words = batch.column("sketch").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(words) - words
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for low, high in zip(ends[:-1].tolist(), ends[1:].tolist()):
         at = np.arange(low, high)
         one, two = (at[mine[at] == i[low]], at[mine[at] == j[low]]) if i[low] != j[low] else (at, at)
+        width = int(words[at].min())  # of the shortest sketch in the group; longer ones are folded to it
+        sketch = np.empty((high - low, width), dtype=np.uint64)
+        for size in np.unique(words[at]).tolist():
+            like = at[words[at] == size]
+            long = flags[first[like][:, None] + np.arange(size)]
+            while long.shape[1] > width:
+                long = long[:, : long.shape[1] // 2] ^ long[:, long.shape[1] // 2 :]
+            sketch[like - low] = long
         for x in one.tolist():
             y = two[(root[two] != root[x]) & (c[two] > c[x] if i[low] == j[low] else True) & (own[two] | own[x])]
-            most = (n[y] + n[x]) * down
-            y = y[np.abs(n[y] - n[x]) * up <= most]
-            turned = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+            y = y[np.abs(n[y] - n[x]) * up <= (n[y] + n[x]) * down]
+            turned = np.bitwise_count(sketch[y - low] ^ sketch[x - low]).sum(axis=1, dtype=np.int64)
             y = y[turned * up <= (n[y] + n[x]) * down]
             if len(y):
                 found.append((np.minimum(c[x], c[y]), np.maximum(c[x], c[y])))
@@ -344,10 +359,8 @@ def _passing(batch: pa.RecordBatch, ends: np.ndarray, up: int, down: int) -> pa.
 
 
 def _without_costly(filed: DataFrame, threshold: Fraction) -> DataFrame:
-    """Leave out each set's commonest signatures, at most the extra segments of its band."""
-    costly = filed.filter(F.col("k") > COSTLY)
-    plan = bands(1 << 40, threshold)
+    """Leave out each set's commonest signatures, the extra segments of its band."""
+    plan = bands(1 << 40, threshold)  # some 60 bands reach beyond any text
     table = filed.sparkSession.createDataFrame([(i, int(p[4])) for i, p in enumerate(plan)], "band long, extra long")
     order = Window.partitionBy("c", "band").orderBy(F.desc("k"), "s")
-    kept = costly.withColumn("at", F.row_number().over(order)).join(F.broadcast(table), "band").filter(F.col("at") > F.col("extra")).drop("at", "extra")
-    return filed.filter(F.col("k") <= COSTLY).union(kept.select(filed.columns))
+    return filed.withColumn("at", F.row_number().over(order)).join(F.broadcast(table), "band").filter("at > extra")
