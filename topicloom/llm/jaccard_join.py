@@ -262,7 +262,9 @@ def jaccard_classes(
             pairs = possible(near.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= MEETINGS))
         else:
             # Mostly one component to a group now; what is still open is compared.
-            pairs = _open_pairs(state.join(groups.select("s"), "s"), members, threshold)
+            left = state.join(groups.select("s"), "s").join(members.select(F.col("c").alias("c2"), "sketch"), F.col("c") == F.col("c2"))
+            left = materialize(left.select("s", "c", "n", "root", "own", "sketch"), "open")
+            pairs = open_pairs(left, threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -292,21 +294,17 @@ def jaccard_classes(
     )
 
 
-def _open_pairs(open_rows: DataFrame, members: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (a, b) of a signature group in different components whose sizes and sketches allow a link.
+def open_pairs(rows: DataFrame, up: int, down: int) -> DataFrame:
+    """Pairs (a, b) of a group `s` in different components `root` that differ in few enough flags: flags * up <= (n_a + n_b) * down.
 
-    A group is cut into blocks of about BLOCK sets, and each two blocks meet in a task of their own: a group of any size is spread and
-    a task holds two blocks. Only pairs that pass leave the task.
+    `rows` has s, c, n, root, own and sketch; one of a pair must be `own`. A group is cut into blocks of about BLOCK members, and each two
+    blocks meet in a task of their own: a group of any size is spread and a task holds two blocks. Only pairs that pass leave the task.
     """
-    sketches = members.select(F.col("c").alias("c2"), "sketch")
-    rows = open_rows.join(sketches, open_rows.c == sketches.c2).select("s", "c", "n", "root", "own", "sketch")
-    rows = materialize(rows, "open")
     sizes = rows.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     mine = F.pmod(F.xxhash64("c"), F.col("blocks"))
     rows = rows.join(sizes, "s").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("s", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "n", "root", "own", "sketch")
     rows = rows.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
-    up, down = threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator
 
     def compare(batches):
         kept = None

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated_words
+from .fuzzy_lines import fuzzy_lines
 from .hilbert_packing import pack
 from .html_consensus import main_text
 from .jaccard_join import jaccard_classes
@@ -168,3 +169,8 @@ def op9_mil_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_html_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return main_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op4_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return fuzzy_lines(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
