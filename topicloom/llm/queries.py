@@ -15,6 +15,7 @@ from .html_consensus import main_text
 from .jaccard_join import jaccard_classes
 from .line_quality import BOILERPLATE, BOILERPLATE_CHARS, LOST_PERCENT, MENU, MIN_WORDS, REPEAT_PERCENT, SEPARATORS, SYMBOLS, line_quality
 from .mil_quality import score, train
+from .pii_boosting import KINDS, personal_data
 from .seed_extend import remove_repeats
 from .warc_derivatives import derivatives, responses_of_pages
 
@@ -174,3 +175,15 @@ def op10_html_consensus(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op4_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
     return fuzzy_lines(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query()
+def op5_pii_boosting(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal_data(table(spark, sf, "documents"))
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
