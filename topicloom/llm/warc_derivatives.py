@@ -67,9 +67,9 @@ def _records(source: str | None, record: str | None, target: str | None, date: s
     fields, body = _split_http(block or "")
     page = Page(body)
     text = "\n".join(page.blocks)
-    payload = _digest(body.encode())
+    whole, payload = (block or "").encode(), _digest(body.encode())
     conversion, metadata = _derived_id("conversion", record), _derived_id("metadata", record)
-    notes = [("source-block-digest", _digest((block or "").encode())), ("source-payload-digest", payload), ("source-length", str(len((block or "").encode())))]
+    notes = [("source-block-digest", _digest(whole)), ("source-payload-digest", payload), ("source-length", str(len(whole)))]
     notes += [(f"http-{name.lower()}", value) for name, value in fields]
     notes += [("text-blocks", str(len(page.blocks))), ("conversion-record", conversion)]
     out = []
@@ -78,14 +78,15 @@ def _records(source: str | None, record: str | None, target: str | None, date: s
         ("metadata", metadata, conversion, "application/warc-fields", "".join(f"{n}: {v}{END}" for n, v in notes)),
     ):
         raw = content.encode()
+        digest = _digest(raw)
         headers = [
             ("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date or ""), ("WARC-Target-URI", target or ""), ("WARC-Refers-To", record or ""),
             ("WARC-Refers-To-Target-URI", target or ""), ("WARC-Refers-To-Date", date or ""), ("WARC-Concurrent-To", other),
-            ("WARC-Block-Digest", _digest(raw)), ("Content-Type", content_type), ("Content-Length", str(len(raw))),
+            ("WARC-Block-Digest", digest), ("Content-Type", content_type), ("Content-Length", str(len(raw))),
         ]
         out.append({
             "source_id": source, "type": kind, "record_id": own, "refers_to": record, "concurrent_to": other, "target_uri": target, "date": date,
-            "content_type": content_type, "content_length": len(raw), "block_digest": _digest(raw), "payload_digest": payload,
+            "content_type": content_type, "content_length": len(raw), "block_digest": digest, "payload_digest": payload,
             "headers": [{"name": n, "value": v} for n, v in headers], "block": content,
         })
     return out
