@@ -174,7 +174,7 @@ def op10_html_consensus(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op4_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return fuzzy_lines(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+    return fuzzy_lines(table(spark, sf, "documents").select("doc_id", "text"), short_lines=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query()
