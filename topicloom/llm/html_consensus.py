@@ -22,6 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset(
     "head title script style noscript template nav header footer aside form button select textarea iframe object svg canvas menu dialog".split()
 )
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre "
     "section summary table tbody td tfoot th thead tr ul".split()
@@ -69,7 +70,16 @@ class Page(HTMLParser):
                 self.end_block()
         del self.stack[depth:]
 
+    def end_head(self, tag: str) -> None:
+        """Close a head whose end tag is left out, as `tag` (empty for text) may not stand in it."""
+        if tag == "body" or (self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD):
+            for depth, above in enumerate(self.stack):
+                if above[0] == "head":
+                    self.close_to(depth)
+                    return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.end_head(tag)
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
@@ -110,6 +120,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self.end_head("")
         if self.stack and self.stack[-1][2]:
             return
         self.parts.append(data)
