@@ -23,3 +23,20 @@ def test_pages_without_end_of_head(spark):
     assert got == ["First text, here.\nSecond text."] * 3
     records = derivatives(responses_of_pages(pages, "2024-01-01T00:00:00Z")).filter("type = 'conversion'").collect()
     assert len(records) == 3 and all("First text, here." in r.block for r in records)
+
+
+BODY = "Running text, with commas, of some length, as an article has. " * 3
+ARTICLES = [
+    f"<article><h1>Title</h1><p>Lead, short.</p><section><p>{BODY}</p></section><section><p>{BODY}</p></section></article>",
+    f"<article><h1>Title</h1><div class=lead><p>Lead, short.</p></div><div class=text><p>{BODY}</p><p>{BODY}</p></div></article>",
+    f"<main><h1>Title</h1><p>Lead, short.</p><div class=wrap><div class=text><p>{BODY}</p><p>{BODY}</p></div></div></main>",
+    f"<table><tr><td><h1>Title</h1><p>Lead, short.</p><div><p>{BODY}</p><p>{BODY}</p></div></td></tr></table>",
+    f"<div class=page><h1>Title</h1><p>Lead, short.</p><table><tr><td>{BODY}</td><td>{BODY}</td></tr></table></div>",
+]
+
+
+@pytest.mark.parametrize("links", ["", "<div class=more><a href=/a>Another page of this site</a> <a href=/b>One more page of it</a></div>"])
+def test_articles_in_several_containers(spark, links):
+    pages = texts(spark, [f"<html><head><title>T</title></head><body>{a}{links}</body></html>" for a in ARTICLES])
+    whole = "\n".join(["Title", "Lead, short.", BODY.strip(), BODY.strip()])
+    assert [r.text for r in main_text(pages).orderBy("page_id").collect()] == [whole] * len(ARTICLES)

@@ -1,7 +1,8 @@
 """Main text by consensus host paths.
 
 Each page's containers are scored: running text counts, link text counts against. A container is named by its generalised path, the tags and
-classes from the root with digits left out. The pages of a host vote with their scores, Spark adds the votes up, and each page
+classes from the root with digits left out. From its best path a page climbs while the containers around add running text and hardly
+any link text, so that an article of several parts is taken whole. The pages of a host vote with their scores, Spark adds the votes up, and each page
 is extracted again from the container at its host's winning path, or from its own best one if it has none there.
 """
 
@@ -36,6 +37,7 @@ FURNITURE = frozenset(
     "subscribe toolbar widget".split()
 )
 FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
+LINKED_PART = 10  # an enclosing container may add one character of link text for so many of running text
 SPACE = re.compile(r"\s+")
 
 
@@ -137,13 +139,50 @@ class Page(HTMLParser):
                 out[container] += worth / (1 << up)
         return out
 
+    def path_scores(self) -> dict[str, float]:
+        """Score of each path, where the outermost path that the best one climbs to has the best one's score besides."""
+        out: dict[str, float] = {}
+        for path, score in zip(self.paths, self.scores()):
+            out[path] = out.get(path, 0.0) + score
+        best = max(out, key=lambda p: (out[p], p), default=None)
+        if best is not None and out[best] > 0:
+            top = self.climbed(best)
+            if top != best:
+                out[top] = max(out[top], 0.0) + out[best]
+        return out
+
+    def climbed(self, path: str) -> str:
+        """The outermost path above `path` to which each step adds running text with a tenth of link text at most; steps that add nothing are passed."""
+        above = [self.paths[c] for c in next(a for a in self.around if any(self.paths[c] == path for c in a))]
+        covered = self.covered()
+        inner, (running, linked) = path, covered[path]
+        for outer in reversed(above[: above.index(path)]):
+            more, more_linked = covered[outer]
+            if (more_linked - linked) * LINKED_PART > more - running:
+                break
+            if more > running:
+                inner, running, linked = outer, more, more_linked
+        return inner
+
+    def covered(self) -> dict[str, tuple[int, int]]:
+        """Characters of running text and of link text in the containers at each path."""
+        out: dict[str, tuple[int, int]] = {}
+        for text, links, around in zip(self.blocks, self.links, self.around):
+            for path in {self.paths[c] for c in around}:
+                running, linked = out.get(path, (0, 0))
+                out[path] = running + len(text) - links, linked + links
+        return out
+
     def text(self, path: str | None) -> tuple[str, str | None]:
         """Text of the containers at `path`, else of the best container, else of all blocks; and the path used."""
         chosen = {i for i, p in enumerate(self.paths) if p == path}
         if not any(not chosen.isdisjoint(a) for a in self.around):
-            scores = self.scores()
-            best = max(range(len(scores)), key=lambda i: (scores[i], -i), default=None)
-            chosen, path = ({best}, self.paths[best]) if best is not None and scores[best] > 0 else (None, None)
+            scores = self.path_scores()
+            path = max(scores, key=lambda p: (scores[p], p), default=None)
+            if path is not None and scores[path] > 0:
+                chosen = {i for i, p in enumerate(self.paths) if p == path}
+            else:
+                chosen = path = None
         return "\n".join(b for b, a in zip(self.blocks, self.around) if chosen is None or not chosen.isdisjoint(a)), path
 
 
@@ -166,11 +205,7 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
             for piece in pieces(batch, "html"):
                 hosts, paths, scores = [], [], []
                 for host, html in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
-                    page = Page(html or "")
-                    best: dict[str, float] = {}
-                    for path, score in zip(page.paths, page.scores()):
-                        best[path] = best.get(path, 0.0) + score
-                    for path, score in best.items():
+                    for path, score in Page(html or "").path_scores().items():
                         if score > 0:
                             hosts.append(host)
                             paths.append(path)
