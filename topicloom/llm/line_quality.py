@@ -37,7 +37,8 @@ def line_fails(line: Column) -> Column:
     separators, marks = count_chars(line, SEPARATORS), count_chars(line, "!")
     symbols = count_chars(line, SYMBOLS) * 10 > F.length(line)
     navigation = ((separators >= 3) & (separators * 5 >= words)) | line.rlike(MENU)
-    shouting = (F.length(line) >= 20) & line.rlike(r"\p{Lu}\p{Lu}") & ~line.rlike(r"\p{Ll}")
+    capitals, letters = (F.regexp_count(line, F.lit(x)) for x in (r"\p{Lu}", r"\p{L}"))  # a script without case is no shouting
+    shouting = (F.length(line) >= 20) & line.rlike(r"\p{Lu}\p{Lu}") & ~line.rlike(r"\p{Ll}") & (capitals * 2 > letters)
     exclaiming = (marks >= 3) & (marks * 4 > words)
     stock = (F.length(line) < BOILERPLATE_CHARS) & line.rlike(BOILERPLATE)
     return symbols | navigation | shouting | exclaiming | stock
