@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .textbytes import Hasher, mix, signed
+from .textbytes import Hasher, bitmap, may_contain, mix, signed
 
 QMIN, QMAX = 4, 6
 FREQUENT = 1 << 16
 LIST = 64
 LONG_WORD = 64
+MOST_BITS = 28  # of the filter over list keys: 32 MB
 SEED = 13
 END = np.uint64(0x110000)  # beyond every code point
 
@@ -150,6 +151,27 @@ def near_pairs(words: DataFrame) -> DataFrame:
     frequent = _frequent_grams(words)
     schema = "key long, word string, n long, own boolean"
 
+    def keys_of(grams: Grams) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(row, key, own): a word's own lists, and those of words shorter by one, where a gram stands there or one place earlier."""
+        row, place, hashes = filed_grams(grams, frequent)
+        size = grams.sizes[row]
+        yield row, _list_key(hashes, place, size), True
+        for shift in (0, 1):
+            some = place >= shift
+            yield row[some], _list_key(hashes[some], place[some] - shift, size[some] - 1), False
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(SEED)
+        for batch in batches:
+            for _, key, own in keys_of(Grams(hasher, batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.full(len(key), own))], ["key", "own"])
+
+    lists = words.select("word").mapInArrow(count, "key long, own boolean").groupBy("key")
+    lists = lists.agg(F.count("*").alias("size"), F.max("own").alias("any_own")).filter("size > 1 and any_own")
+    lists = materialize(lists.select("key", (F.col("size") > LIST).alias("long")), "lists")
+    # Flags in proportion to the lists let through few words that stand alone; what passes is joined exactly.
+    flags = bitmap(lists, "key", min(max(lists.count() * 8, 1 << 16).bit_length(), MOST_BITS))
+
     def rows_of(batch: pa.RecordBatch, row: np.ndarray, key: np.ndarray, own: bool) -> pa.RecordBatch:
         taken = pa.array(row)
         columns = [pa.array(signed(key)), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(np.full(len(row), own))]
@@ -158,14 +180,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(SEED)
         for batch in batches:
-            grams = Grams(hasher, batch.column(0))
-            row, place, hashes = filed_grams(grams, frequent)
-            size = grams.sizes[row]
-            yield rows_of(batch, row, _list_key(hashes, place, size), True)
-            # A word also looks among those that are shorter by one: the gram stands there, or one place earlier.
-            for shift in (0, 1):
-                some = place >= shift
-                yield rows_of(batch, row[some], _list_key(hashes[some], place[some] - shift, size[some] - 1), False)
+            for row, key, own in keys_of(Grams(hasher, batch.column(0))):
+                some = may_contain(flags, key)
+                yield rows_of(batch, row[some], key[some], own)
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(SEED)
@@ -173,20 +190,19 @@ def near_pairs(words: DataFrame) -> DataFrame:
             row, key = Grams(hasher, batch.column(0)).deletions()
             yield rows_of(batch, row, key, True)
 
-    filed = materialize(words.select("word", "n").mapInArrow(file, schema), "filed")
-    lists = filed.groupBy("key").agg(F.count("*").alias("size"), F.max("own").alias("any_own")).filter("size > 1 and any_own")
-    lists = materialize(lists.select("key", (F.col("size") > LIST).alias("long")), "lists")
+    filed = words.select("word", "n").mapInArrow(file, schema)
     short = filed.join(lists.filter("not long").select("key"), "key").groupBy("key")
     short = short.agg(F.collect_list(F.struct("word", "n", "own")).alias("members"))  # LIST at most
     pairs = short.select(F.explode(F.filter("members", lambda m: m["own"])).alias("x"), "members").select("x", F.explode("members").alias("y"))
     pairs = pairs.filter("x.word < y.word or (not y.own and x.word <> y.word)")
     pairs = pairs.select(F.col("x.word").alias("a"), F.col("x.n").alias("na"), F.col("y.word").alias("b"), F.col("y.n").alias("nb"))
 
-    in_long = filed.join(lists.filter("long").select("key"), "key", "left_semi").select("word", "n")
+    # `own` is read here too, so that both uses of the filed words are one shuffle.
+    in_long = filed.join(lists.filter("long").select("key"), "key").groupBy("word", "n").agg(F.max("own").alias("own")).select("word", "n")
     # Words of QMAX characters or fewer may have no gram that an edit leaves alone.
     if (words.agg(F.min(F.length("word"))).first()[0] or 0) <= QMAX:
-        in_long = in_long.union(words.filter(F.length("word") <= QMAX + 1).select("word", "n"))
-    without = in_long.distinct().mapInArrow(delete, schema).select("key", "word", "n").distinct()
+        in_long = in_long.union(words.filter(F.length("word") <= QMAX + 1).select("word", "n")).distinct()
+    without = in_long.mapInArrow(delete, schema).select("key", "word", "n")
     one = without.select("key", F.col("word").alias("a"), F.col("n").alias("na"))
     two = without.select("key", F.col("word").alias("b"), F.col("n").alias("nb"))
     pairs = pairs.union(one.join(two, "key").filter("a < b").drop("key"))
