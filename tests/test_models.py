@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from topicloom import schemas
 from topicloom.operators import batch_models as B
 from topicloom.operators import coherence as CO
+from topicloom.operators import corpus_models as CM
 from topicloom.operators import dictionary as D
 from topicloom.operators import geometry as G
 from topicloom.operators import grid as GR
 from topicloom.operators import online as ON
 from topicloom.operators import topic_models as TM
+from topicloom.operators import variational as V
 from topicloom.runtime import materialize
 from topicloom.sources import writers as OUT
 
@@ -36,29 +38,94 @@ def check_topics(rows):
 
 
 def test_corpus_model(spark, planted):
-    dictionary = materialize(D.build_dictionary(planted), "dictionary")
-    vectors = D.count_vectorize(planted, dictionary)
+    packed = CM.pack(planted)
     found = False
     for seed in (75, 76, 77):  # a random start may merge two topics
-        model = TM.fit_topics(vectors, 3, 0.1, 0.1, passes=15, seed=seed)
+        model = TM.fit_topics(packed, 3, 0.1, 0.1, passes=15, seed=seed)
         top = {}
-        for r in TM.topic_words(model, dictionary, 8).collect():
+        for r in model.topic_words(8).collect():
             top.setdefault(r.topic, []).append(r.term)
         found |= all(pure(w) for w in top.values()) and len({w[0][:2] for w in top.values()}) == 3
     assert found
-    shares = TM.doc_topics(model, vectors).collect()
-    assert len(shares) == 60 and all(abs(sum(r.distribution) - 1) < 1e-6 for r in shares)
-    phi = G.topic_word_matrix(TM.topic_words(model, dictionary)).groupBy("topic").agg(F.sum("phi").alias("s")).collect()
-    assert all(abs(r.s - 1) < 1e-9 for r in phi)
-    short = TM.scores(TM.fit_topics(vectors, 3, 0.1, 0.1, passes=1), vectors).first()
-    long = TM.scores(TM.fit_topics(vectors, 3, 0.1, 0.1, passes=15), vectors).first()
+    shares = model.doc_topics(packed).collect()
+    assert len(shares) == 60 and all(abs(sum(r.distribution) - 1) < 1e-6 and r.n_tokens == 40 for r in shares)
+    phi = G.topic_word_matrix(model.topic_words()).groupBy("topic").agg(F.sum("phi").alias("s")).collect()
+    assert len(phi) == 3 and all(abs(r.s - 1) < 1e-9 for r in phi)
+    short = TM.fit_topics(packed, 3, 0.1, 0.1, passes=1).scores(packed).first()
+    long = model.scores(packed).first()
     assert long.per_word_bound > short.per_word_bound
-    assert abs(long.perplexity_base2 - 2 ** -long.per_word_bound) < 1e-9
-
-
-def test_too_many_terms_is_an_error(spark, planted):
-    with pytest.raises(ValueError, match="online"):
-        D.count_vectorize(planted, D.build_dictionary(planted), limit=5)
+    assert abs(long.perplexity_base2 - 2**-long.per_word_bound) < 1e-9
+
+
+def dense_fit(rows, model, start, passes):
+    """The same model on one dense matrix, by the helper of the batch models."""
+    terms, ids, counts, indptr, _, _ = V.compress(rows)
+    weights = np.array([start[t] for t in terms]).T
+    for step in range(passes):
+        beta = np.exp(V.expected_log(weights)).T
+        _, expected = V.infer(indptr, counts, beta[ids], model.prior(), 50)
+        stats = np.zeros((len(terms), model.k))
+        np.add.at(stats, ids, expected)
+        rho = (model.offset + step) ** -model.decay
+        weights = (1 - rho) * weights + rho * (model.eta + stats.T)
+    log_beta = V.expected_log(weights).T
+    gamma, _ = V.infer(indptr, counts, np.exp(log_beta)[ids], model.prior(), 50)
+    bound = V.document_bounds(indptr, counts, log_beta[ids], gamma, model.prior()).sum() + V.topic_bound(weights, model.eta)
+    return dict(zip(terms, weights.T)), bound
+
+
+def test_blocks_and_models_side_by_side_change_nothing(spark, planted):
+    """Several models with 40 topic columns over small blocks equal a dense fit of each."""
+    models = [CM.Model(3, 0.1, 0.1), CM.Model(33, 0.3, 0.2, 0.7, 10.0), CM.Model(4, (0.1, 0.2, 0.3, 0.4), 0.1)]
+    packed = CM.pack(planted, block_tokens=100)
+    assert packed.count() > 8
+    start = materialize(CM.start_weights(CM.packed_terms(packed), models, 75), "start")
+    weights = CM.fit(packed, models, passes=3)
+    scores = {r.model: r for r in CM.corpus_scores(packed, weights, models).collect()}
+    rows = [list(r.tokens) for r in planted.orderBy("doc_id").collect()]
+    for i, model in enumerate(models):
+        def table(of):
+            out = {}
+            for r in CM.topic_rows(of, models, i).collect():
+                out.setdefault(r.term, np.zeros(model.k))[r.topic] = r.weight
+            return out
+
+        want, bound = dense_fit(rows, model, table(start), 3)
+        got = table(weights)
+        assert got.keys() == want.keys() and all(np.allclose(got[t], want[t]) for t in got)
+        assert np.isclose(scores[i].bound, bound) and scores[i].n_docs == 60 and scores[i].n_tokens == 2400
+
+
+def test_a_fold_takes_nothing_from_its_documents(spark, planted):
+    packed = CM.pack(planted, folds=3)
+    folds = {d: f for r in packed.collect() for d, f in zip(r.doc_ids, r.folds)}
+    models = [CM.Model(2, 0.1, 0.1, fold=f) for f in range(3)]
+    weights = CM.fit(packed, models, passes=2)
+    scores = {(r.model, r.held_out): r for r in CM.corpus_scores(packed, weights, models).collect()}
+    for f in range(3):
+        rows = planted.filter(F.col("doc_id").isin([d for d in folds if folds[d] != f]))
+        counts = {r.term: r.n for r in rows.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+        sums = {r.term: r.w for r in CM.topic_rows(weights, models, f).groupBy("term").agg(F.sum("weight").alias("w")).collect()}
+        assert all(np.isclose(sums[t], counts.get(t, 0) + 0.2) for t in sums)
+        assert scores[f, True].n_docs == sum(x == f for x in folds.values())
+
+
+def test_odd_documents(spark):
+    rows = [(1, ["a", "b", "a"]), (2, []), (3, None), (None, ["b", None, "c"]), (4, ["a"] * 5000), (4, ["a"] * 5000)]
+    packed = CM.pack(spark.createDataFrame(rows, "doc_id bigint, tokens array<string>"), block_tokens=10)
+    model = TM.fit_topics(packed, 2, 0.5, 0.1, passes=2)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(sum(r.distribution), 6), r.per_word_bound is None) for r in model.doc_topics(packed).collect())
+    assert got == [(-1, 2, 1.0, False), (1, 3, 1.0, False), (2, 0, 1.0, True), (3, 0, 1.0, True), (4, 5000, 1.0, False), (4, 5000, 1.0, False)]
+    assert {r.term for r in model.topic_words().collect()} == {"a", "b", "c"}
+    unseen = CM.pack(spark.createDataFrame([(9, ["a", "zzz"]), (10, ["zzz"])], "doc_id bigint, tokens array<string>"))
+    assert sorted((r.doc_id, r.n_tokens) for r in model.doc_topics(unseen).collect()) == [(9, 1), (10, 0)]
+    empty = CM.pack(spark.createDataFrame([], "doc_id bigint, tokens array<string>"))
+    assert CM.fit(empty, [CM.Model(2, 0.1, 0.1)], passes=1).count() == 0
+
+
+def test_vectors_of_any_vocabulary(spark, planted):
+    vectors = D.count_vectorize(planted, materialize(D.build_dictionary(planted), "dictionary"))
+    assert {int(v.features.values.sum()) for v in vectors.collect()} == {40} and vectors.first().features.size == 30
 
 
 def batches(planted, size=30):
@@ -120,30 +187,37 @@ def test_run_rows_follow_the_schema(spark, planted):
     assert artifacts.count() == 2
 
 
-def test_yearly_updates_by_broadcast_and_by_join(spark, planted):
+def test_yearly_updates(spark, planted):
     docs = planted.withColumn("year", (F.col("doc_id") % 2 + 2015).cast("int"))
-    held = ON.fit_yearly(docs, [2015, 2016], 3, 0.1, 0.1)
-    joined = ON.fit_yearly(docs, [2015, 2016], 3, 0.1, 0.1, broadcast_cells=3)
-    a = {r.term: r.weights for r in held.collect()}
-    b = {r.term: r.weights for r in joined.collect()}
-    assert a.keys() == b.keys() and all(np.allclose(a[t], b[t]) for t in a)
-    long = ON.fit_yearly(docs, [2015, 2016], 3, 0.1, 0.1, passes=12)
-    bounds = [ON.mean_doc_bound(ON.document_scores(ON.document_bags(planted), w, 3, 0.1)).first().mean_doc_bound for w in (held, long)]
-    assert bounds[1] > bounds[0]
-    scores = ON.document_scores(ON.document_bags(planted), long, 3, 0.1).collect()
-    assert len(scores) == 60 and all(r.n_tokens == 40 for r in scores)
+    model, packed = CM.Model(3, 0.1, 0.1), CM.pack(planted)
+
+    def scores(passes):
+        return CM.document_topics(packed, ON.fit_yearly(docs, [2015, 2014, 2016], model, passes=passes), [model])
+
+    short, long = (ON.mean_doc_bound(scores(p)).first() for p in (1, 12))
+    assert long.mean_doc_bound > short.mean_doc_bound and long.n_docs == 60
+    with pytest.raises(ValueError):
+        ON.fit_yearly(docs, [1999], model)
 
 
 def test_new_terms_enter_with_the_next_year(spark, planted):
-    first = ON.with_new_terms(None, ON.document_bags(planted.filter("doc_id % 3 = 0")), 2)
-    grown = {r.term: r.weights for r in ON.with_new_terms(first, ON.document_bags(planted), 2).collect()}
+    model = [CM.Model(2, 0.1, 0.1)]
+    first = CM.with_new_terms(None, CM.pack(planted.filter("doc_id % 3 = 0")), model)
+    grown = {r.term: r.weights for r in CM.with_new_terms(first, CM.pack(planted), model).collect()}
     assert len(grown) == 30
     assert all(grown[r.term] == r.weights for r in first.collect())
 
 
 def test_grid_search(spark, planted):
-    vectors = D.count_vectorize(planted, materialize(D.build_dictionary(planted), "dictionary"))
-    results = TM.grid_search(vectors, [2, 3], [0.1], [0.1], decays=(0.5, 0.9), folds=2, passes=2)
+    results = CM.grid_search(planted, [2, 3], [0.1], [0.1], decays=(0.5, 0.9), folds=2, passes=2)
     assert results.count() == 8
     best = TM.best_point(results).collect()
     assert len(best) == 4 and best[0].mean_score == max(r.mean_score for r in best) and best[0].n_splits == 2
+
+
+def test_one_scan_of_the_documents_a_pass(spark, planted):
+    packed = CM.pack(planted, folds=10)
+    models = [CM.Model(k, 0.1, 0.1, fold=f) for k in (2, 3) for f in range(10)]
+    weights = materialize(CM.start_weights(CM.packed_terms(packed), models, 75), "start")
+    plan = CM.expected_counts(packed, weights, models)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("doc_ids#") >= 1 and plan.count("FlatMapCoGroupsInArrow") == 1

@@ -15,8 +15,6 @@ from .ranking import running_total
 from .shape import unnest
 from .skew import spread_join
 
-MAX_VOCABULARY = 1 << 18
-
 
 def with_bag(docs: DataFrame, tokens: str = "tokens", name: str = "bag") -> DataFrame:
     """Add the array of (term, n) of each document.
@@ -100,16 +98,14 @@ def ids_to_terms(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     return rows.join(dictionary.select("term_id", "term"), "term_id")
 
 
-def count_vectorize(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", limit: int = MAX_VOCABULARY) -> DataFrame:
+def count_vectorize(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, features: the document-term matrix as sparse vectors over the dictionary's ids.
 
     The vectors are assembled as rows, written, and read back as ML vectors, so ids stay those of the
-    dictionary and the same data always gives the same matrix. ML models keep topics x terms on the driver,
-    so the number of terms is checked; beyond the limit use operators.online.
+    dictionary and the same data always gives the same matrix. A vector holds its own terms only; ML vectors number columns by
+    32 bits, so there are fewer than 2^31 terms.
     """
     n_terms = dictionary.count()
-    if n_terms > limit:
-        raise ValueError(f"more than {limit} terms; fit with operators.online instead")
     bags = doc2bow(docs, dictionary, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_id", "n"))).alias("b"))
     vector = F.struct(
         F.lit(0).cast("tinyint").alias("type"),

@@ -1,193 +1,41 @@
-"""Continue one topic model over time slices (years), with the topics kept as a table.
+"""Continue one topic model over time slices (years), with the topics kept as a table that grows with new terms.
 
-Topic weights are rows (term, weights array of k). When they fit a checked size they ride to the tasks as
-one broadcast; beyond that they are joined to the documents' words. Expected counts are summed per term
-by Spark, and the update is a column expression. Only k topic totals pass through the driver.
+A slice is packed once and visited by the blocks of `corpus_models`: there is one plan, whatever the number of terms and topics.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import balance, materialize
-from . import variational as V
-from .dictionary import with_bag
-from .shape import unnest
-from .skew import spread_join
+from . import corpus_models as CM
 
-cloudpickle.register_pickle_by_value(V)
 
-BROADCAST_CELLS = 20_000_000  # terms x topics; 160 MB of doubles
-
-
-def _uniform(*parts: Column) -> Column:
-    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-
-
-def start_rows(terms: DataFrame, k: int, seed: int) -> DataFrame:
-    """term, weights: normal(1, 0.1) draws keyed by term, topic and seed (gamma(100, 1/100) to first order)."""
-    def draw(t: int) -> Column:
-        u, v = _uniform(F.col("term"), F.lit(t), F.lit(seed)), _uniform(F.lit(seed), F.lit(t), F.col("term"))
-        return F.greatest(F.lit(1e-3), 1 + 0.1 * F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * v))
-
-    return terms.select("term", F.array(*[draw(t) for t in range(k)]).alias("weights"))
-
-
-def topic_totals(weights: DataFrame, k: int) -> np.ndarray:
-    return np.array(weights.agg(*[F.sum(F.get("weights", F.lit(t))) for t in range(k)]).first(), dtype=float)
-
-
-Emit = Callable[..., pd.DataFrame]
-
-
-def _visitor(lookup: Callable, totals: np.ndarray, alpha: np.ndarray, iterations: int, emit: Emit) -> Callable:
-    """Inference over Arrow batches of (doc_id, terms, counts); `lookup` gives the weights of the distinct terms."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log_total = V.digamma(totals)
-        for pdf in batches:
-            rows = pdf[pdf["terms"].map(len) > 0]
-            if rows.empty:
-                continue
-            counts = np.concatenate(rows["counts"].to_list()).astype(float)
-            indptr = np.cumsum([0] + [len(t) for t in rows["terms"]])
-            local, terms = pd.factorize(np.concatenate(rows["terms"].to_list()))
-            first = np.unique(local, return_index=True)[1]
-            log_beta = V.digamma(lookup(terms, rows, first)) - log_total
-            gamma, expected = V.infer(indptr, counts, np.exp(log_beta)[local], alpha, iterations)
-            yield emit(rows["doc_id"].to_numpy(), terms, local, indptr, counts, log_beta[local], gamma, expected, alpha)
-
-    return run
-
-
-def _emit_stats(doc_ids, terms, local, indptr, counts, log_beta, gamma, expected, alpha) -> pd.DataFrame:
-    sums = np.zeros((len(terms), expected.shape[1]))
-    np.add.at(sums, local, expected)
-    return pd.DataFrame({"term": terms, "stats": list(sums)})
-
-
-def _emit_bounds(doc_ids, terms, local, indptr, counts, log_beta, gamma, expected, alpha) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "doc_id": doc_ids,
-            "n_tokens": np.add.reduceat(counts, indptr[:-1]).astype("int64"),
-            "bound": V.document_bounds(indptr, counts, log_beta, gamma, alpha),
-            "distribution": list(gamma / gamma.sum(axis=1, keepdims=True)),
-        }
-    )
-
-
-def document_bags(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep..., doc_id, terms, counts of the documents (doc_id, tokens); the input of all functions here."""
-    return with_bag(docs).select(*keep, "doc_id", F.col("bag.term").alias("terms"), F.col("bag.n").alias("counts"))
-
-
-def bag_terms(bags: DataFrame) -> DataFrame:
-    """term, df."""
-    return unnest(bags, [], F.col("terms"), "term").groupBy("term").agg(F.count("*").alias("df"))
-
-
-def _visit(bags: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int, cells: int, emit: Emit, schema: str) -> DataFrame:
-    """Run inference for every document, with the weights broadcast or joined by their checked size."""
-    prior = np.full(k, alpha)
-    limit = cells // k
-    if weights.limit(limit + 1).count() <= limit:
-        rows = weights.toArrow()
-        held = rows["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-        totals = held.sum(axis=0)
-        table = bags.sparkSession.sparkContext.broadcast((pd.Index(rows["term"].to_pandas()), held))
-
-        def lookup(terms, batch, first):
-            index, values = table.value
-            return values[index.get_indexer(terms)]
-
-        work = bags.select("doc_id", "terms", "counts")
-    else:
-        totals = topic_totals(weights, k)
-        words = unnest(bags, ["doc_id"], F.arrays_zip("terms", "counts"), "b").select(
-            "doc_id", F.col("b.terms").alias("term"), F.col("b.counts").alias("n")
-        )
-        met = spread_join(words, weights.join(bag_terms(bags), "term"), ["term"], "df", ["doc_id"])
-        w = met.groupBy("doc_id").agg(F.collect_list(F.struct("term", "n", "weights")).alias("w"))
-        work = w.select("doc_id", F.col("w.term").alias("terms"), F.col("w.n").alias("counts"), F.flatten("w.weights").alias("flat"))
-
-        def lookup(terms, batch, first):
-            return np.concatenate(batch["flat"].to_list()).reshape(-1, k)[first]
-
-    return work.mapInPandas(_visitor(lookup, totals, prior, iterations, emit), schema)
-
-
-def expected_counts(bags: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int = 50, cells: int = BROADCAST_CELLS) -> DataFrame:
-    """term, stats: expected topic counts summed over the documents."""
-    parts = _visit(bags, weights, k, alpha, iterations, cells, _emit_stats, "term string, stats array<double>")
-    return parts.groupBy("term").agg(F.array(*[F.sum(F.get("stats", F.lit(t))) for t in range(k)]).alias("stats"))
-
-
-def document_scores(bags: DataFrame, weights: DataFrame, k: int, alpha: float, iterations: int = 50, cells: int = BROADCAST_CELLS) -> DataFrame:
-    """doc_id, n_tokens, bound, per_word_bound, distribution of each document, which may be held out."""
-    schema = "doc_id bigint, n_tokens bigint, bound double, distribution array<double>"
-    rows = _visit(bags, weights, k, alpha, iterations, cells, _emit_bounds, schema)
-    return rows.withColumn("per_word_bound", F.col("bound") / F.col("n_tokens"))
-
-
-def mean_doc_bound(scores: DataFrame) -> DataFrame:
-    """Score (sum of bounds) and mean per-document per-word bound."""
-    return scores.agg(F.sum("bound").alias("score"), F.avg("per_word_bound").alias("mean_doc_bound"), F.count("*").alias("n_docs"))
-
-
-def with_new_terms(weights: DataFrame | None, bags: DataFrame, k: int, seed: int = 75) -> DataFrame:
-    """Weights for all terms of the documents: known ones as they are, new ones with seeded draws."""
-    terms = bag_terms(bags).select("term")
-    if weights is None:
-        return materialize(start_rows(terms, k, seed), "weights")
-    fresh = terms.join(weights.select("term"), "term", "left_anti")
-    return materialize(weights.unionByName(start_rows(fresh, k, seed)), "weights")
-
-
-def update_topics(
-    bags: DataFrame,
-    weights: DataFrame,
-    k: int,
-    alpha: float,
-    eta: float,
-    step: int = 0,
-    scale: float = 1.0,
-    iterations: int = 50,
-    decay: float = 0.5,
-    offset: float = 1.0,
-    broadcast_cells: int = BROADCAST_CELLS,
+def fit_yearly(
+    docs: DataFrame, years: Sequence[int], model: CM.Model, passes: int = 1, seed: int = 75, iterations: int = 50
 ) -> DataFrame:
-    """One update of the topics with a slice of documents; `scale` is documents so far over documents here."""
-    rho = (offset + step) ** -decay
-    stats = expected_counts(bags, weights, k, alpha, iterations, broadcast_cells)
-    zero = F.array_repeat(F.lit(0.0), k)
-    blended = F.zip_with("weights", F.coalesce("stats", zero), lambda w, s: w * (1 - rho) + rho * (eta + scale * s))
-    return materialize(weights.join(stats, "term", "left").select("term", blended.alias("weights")), "weights")
+    """First year fits, later years update: the topic table after the last year. `docs` has year, doc_id, tokens.
 
-
-def fit_yearly(docs: DataFrame, years: Sequence[int], k: int, alpha: float, eta: float, passes: int = 1, seed: int = 75, **settings) -> DataFrame:
-    """First year fits, later years update: term, weights after the last year. `docs` has year, doc_id, tokens."""
+    Years without documents are passed over. An update counts as if all documents so far looked like the year's.
+    """
     weights, step, seen = None, 0, 0
-    bags = materialize(balance(document_bags(docs, "year")), "bags")
     for year in years:
-        part = bags.filter(F.col("year") == year)
-        here = part.count()
+        packed = CM.pack(docs.filter(F.col("year") == year))
+        here = packed.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()[0]
         if here == 0:
             continue
         seen += here
-        weights = with_new_terms(weights, part, k, seed)
+        weights = CM.with_new_terms(weights, packed, [model], seed)
         for _ in range(passes):
-            weights = update_topics(part, weights, k, alpha, eta, step, seen / here, **settings)
+            weights = CM.update(packed, weights, [model], step, seen / here, iterations)
             step += 1
+    if weights is None:
+        raise ValueError("no documents in any of the years")
     return weights
 
 
-def topic_rows(weights: DataFrame) -> DataFrame:
-    """topic, term, weight."""
-    return weights.select(F.posexplode("weights").alias("topic", "weight"), "term").select("topic", "term", "weight")
+def mean_doc_bound(scores: DataFrame) -> DataFrame:
+    """Score (sum of bounds) and mean per-document per-word bound."""
+    return scores.agg(F.sum("bound").alias("score"), F.avg("per_word_bound").alias("mean_doc_bound"), F.count("*").alias("n_docs"))

@@ -1,103 +1,62 @@
-"""Corpus-level topic models with pyspark.ml, their scores, and the parameter search."""
+"""One topic model over a corpus: fit, scores, document topics, words of the topics and the parameter search.
+
+Thin forms of `corpus_models` for a single model; the number of terms is not limited.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dictionary import ids_to_terms
+from . import corpus_models as CM
+from .geometry import top_words
 
 PASSES, RANDOM_STATE = 15, 75
 
 
-def lda(k: int, alpha: float | Sequence[float], eta: float, passes: int = PASSES, decay: float = 0.5, offset: float = 1.0, seed: int = RANDOM_STATE) -> LDA:
-    """Online LDA with fixed priors; each pass uses the whole corpus."""
-    prior = [float(alpha)] if isinstance(alpha, (int, float)) else [float(a) for a in alpha]
-    return LDA(
-        k=k, optimizer="online", docConcentration=prior, topicConcentration=float(eta), maxIter=passes,
-        subsamplingRate=1.0, learningDecay=decay, learningOffset=offset, optimizeDocConcentration=False, seed=seed,
-    )
-
-
-def fit_topics(vectors: DataFrame, k: int, alpha, eta: float, **settings) -> LDAModel:
-    return lda(k, alpha, eta, **settings).fit(vectors)
+@dataclass(frozen=True)
+class TopicModel:
+    """A fitted model: its setting and its table of weights (term, part, weights)."""
 
+    setting: CM.Model
+    weights: DataFrame
 
-def scores(model: LDAModel, vectors: DataFrame) -> DataFrame:
-    """bound, per_word_bound, perplexity (base e) and perplexity_base2 of a corpus, which may be held out."""
-    bound = model.logLikelihood(vectors)
-    per_word = -model.logPerplexity(vectors)
-    row = [(float(bound), float(per_word))]
-    return vectors.sparkSession.createDataFrame(row, "bound double, per_word_bound double").select(
-        "bound",
-        "per_word_bound",
-        F.exp(-F.col("per_word_bound")).alias("perplexity"),
-        F.pow(F.lit(2.0), -F.col("per_word_bound")).alias("perplexity_base2"),
-    )
-
+    def topic_rows(self) -> DataFrame:
+        """topic, term, weight: every term of the corpus in every topic."""
+        return CM.topic_rows(self.weights, [self.setting])
 
-def doc_topics(model: LDAModel, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, distribution: all topics, zeros kept."""
-    return model.transform(vectors).select(key, vector_to_array("topicDistribution").alias("distribution"))
+    def topic_words(self, n: int | None = None) -> DataFrame:
+        """topic, place, term, weight: the n heaviest terms of each topic (all by default, without places)."""
+        rows = self.topic_rows()
+        return rows if n is None else top_words(rows, n).select("topic", "place", "term", "weight")
 
+    def scores(self, packed: DataFrame) -> DataFrame:
+        """n_docs, n_tokens, bound, per_word_bound, perplexity (base e) and perplexity_base2 of documents, which may be held out."""
+        return CM.corpus_scores(packed, self.weights, [self.setting]).drop("model", "held_out")
 
-def topic_words(model: LDAModel, dictionary: DataFrame, n: int | None = None) -> DataFrame:
-    """topic, place, term, weight: the n heaviest terms (all by default)."""
-    described = model.describeTopics(n or model.vocabSize())
-    rows = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("p", "z")).select(
-        "topic", (F.col("p") + 1).alias("place"), F.col("z.termIndices").cast("bigint").alias("term_id"), F.col("z.termWeights").alias("weight")
-    )
-    return ids_to_terms(rows, dictionary).select("topic", "place", "term", "weight")
+    def doc_topics(self, packed: DataFrame) -> DataFrame:
+        """doc_id, n_tokens, bound, per_word_bound, distribution: all documents and topics."""
+        return CM.document_topics(packed, self.weights, [self.setting])
 
 
-def grid_search(
-    vectors: DataFrame,
-    topics: Sequence[int],
-    alphas: Sequence[float],
-    etas: Sequence[float],
-    decays: Sequence[float] = (0.5, 0.7, 0.9),
-    folds: int = 10,
-    key: str = "doc_id",
+def fit_topics(
+    packed: DataFrame,
+    k: int,
+    alpha: float | Sequence[float],
+    eta: float,
     passes: int = PASSES,
-    parallelism: int = 4,
-) -> DataFrame:
-    """One row per grid point and fold: k, alpha, eta, decay, fold, score, train_score.
-
-    The score is the log likelihood bound of the held-out fold. Folds follow a hash of the key. Every fit is a
-    distributed job; the driver only starts them and keeps one number per fit.
-    """
-    base = lda(2, 0.1, 0.1, passes=passes, offset=10.0)
-    grid = (
-        ParamGridBuilder()
-        .addGrid(base.k, list(topics))
-        .addGrid(base.docConcentration, [[float(a)] for a in alphas])
-        .addGrid(base.topicConcentration, [float(e) for e in etas])
-        .addGrid(base.learningDecay, list(decays))
-        .build()
-    )
-    split = vectors.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)))
-
-    def one(job) -> tuple:
-        params, fold = job
-        train, test = split.filter(F.col("_fold") != fold), split.filter(F.col("_fold") == fold)
-        model = base.copy(params).fit(train)
-        return (
-            int(params[base.k]), float(params[base.docConcentration][0]), float(params[base.topicConcentration]),
-            float(params[base.learningDecay]), fold, float(model.logLikelihood(test)), float(model.logLikelihood(train)),
-        )
-
-    jobs = [(p, f) for p in grid for f in range(folds)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(one, jobs))
-    return vectors.sparkSession.createDataFrame(
-        results, "k int, alpha double, eta double, decay double, fold int, score double, train_score double"
-    )
+    decay: float = 0.5,
+    offset: float = 1.0,
+    seed: int = RANDOM_STATE,
+    iterations: int = 50,
+) -> TopicModel:
+    """Fit on documents packed by `corpus_models.pack`; each pass uses the whole corpus. `alpha` is one number or k of them."""
+    prior = float(alpha) if isinstance(alpha, (int, float)) else tuple(float(a) for a in alpha)
+    setting = CM.Model(k, prior, float(eta), decay, offset)
+    return TopicModel(setting, CM.fit(packed, [setting], passes, seed, iterations))
 
 
 def best_point(results: DataFrame) -> DataFrame:
@@ -107,5 +66,3 @@ def best_point(results: DataFrame) -> DataFrame:
         .agg(F.avg("score").alias("mean_score"), F.avg("train_score").alias("mean_train_score"), F.count("*").alias("n_splits"))
         .orderBy(F.col("mean_score").desc(), "k", "alpha", "eta", "decay")
     )
-
-

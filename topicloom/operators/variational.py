@@ -55,16 +55,23 @@ def infer(indptr, counts, beta_rows, alpha, iterations=50, tol=1e-3):
     n_docs, k = len(indptr) - 1, beta_rows.shape[1]
     owner = np.repeat(np.arange(n_docs), np.diff(indptr))
     gamma = np.ones((n_docs, k))
-    moving = np.ones(n_docs, dtype=bool)
+    moving = np.arange(n_docs)
+    rows, weights, heads, where = beta_rows, counts, indptr[:-1], owner  # of the documents that still move
     for _ in range(iterations):
-        theta = np.exp(expected_log(gamma))
-        norm = np.einsum("ek,ek->e", theta[owner], beta_rows) + TINY
-        fresh = alpha + theta * np.add.reduceat(beta_rows * (counts / norm)[:, None], indptr[:-1], axis=0)
-        change = np.abs(fresh - gamma).mean(axis=1)
-        gamma[moving] = fresh[moving]
-        moving &= change >= tol
-        if not moving.any():
+        theta = np.exp(expected_log(gamma[moving]))
+        norm = np.einsum("ek,ek->e", theta[where], rows) + TINY
+        fresh = alpha + theta * np.add.reduceat(rows * (weights / norm)[:, None], heads, axis=0)
+        change = np.abs(fresh - gamma[moving]).mean(axis=1)
+        gamma[moving] = fresh
+        going = change >= tol
+        if not going.any():
             break
+        if not going.all():
+            sizes = np.diff(np.append(heads, len(weights)))[going]
+            entries = going[where]
+            rows, weights, moving = rows[entries], weights[entries], moving[going]
+            heads = np.cumsum(sizes) - sizes
+            where = np.repeat(np.arange(len(moving)), sizes)
     theta = np.exp(expected_log(gamma))
     norm = np.einsum("ek,ek->e", theta[owner], beta_rows) + TINY
     return gamma, theta[owner] * beta_rows * (counts / norm)[:, None]

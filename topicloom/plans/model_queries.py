@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batch_models as B
 from ..operators import coherence as CO
+from ..operators import corpus_models as CM
 from ..operators import corpus as C
 from ..operators import dictionary as D
 from ..operators import geometry as G
@@ -17,58 +18,111 @@ from ..operators import splits as S
 from ..operators import stats as ST
 from ..operators import topic_models as TM
 from ..runtime import materialize
-from .catalog import SEED, documents, query, rounded, token_table
+from .catalog import BATCH_CTE, SEED, TOK_CTE, WORDS_CTE, documents, query, rounded, token_table
 
 K, ALPHA, ETA, PASSES = 5, 0.2, 0.2, 5
 
 
-def english_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """doc_id, features of the English documents, and their dictionary."""
-    docs = token_table(spark, sf, lang="en")
-    dictionary = materialize(D.build_dictionary(docs), "dictionary")
-    return D.count_vectorize(docs, dictionary), dictionary
+GRID_TOPICS, GRID_DECAYS, FOLDS, GRID_PASSES = [3, K], [0.5, 0.7, 0.9], 10, 5
 
 
-@query()
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, packed for the corpus models."""
+    return CM.pack(documents(spark, sf))
+
+
+def corpus_model(spark: SparkSession, sf: str) -> TM.TopicModel:
+    return TM.fit_topics(corpus(spark, sf), K, ALPHA, ETA, passes=PASSES)
+
+
+# Each token's expected counts add up to one, so a term's weights add up to its count and its priors, whatever the fit.
+@query(f"""
+WITH {WORDS_CTE}
+SELECT term, round(count(*) + {K} * CAST({ETA} AS DOUBLE), 4) AS weight, CAST({K} AS BIGINT) AS n_topics FROM words GROUP BY term""")
 def fit_topics(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten strongest words of each topic."""
-    vectors, dictionary = english_vectors(spark, sf)
-    model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
-    return TM.topic_words(model, dictionary, 10)
+    """Every term of all documents in the fitted model: the sum of its topic weights and the number of its topics."""
+    rows = corpus_model(spark, sf).topic_rows().groupBy("term")
+    return rounded(rows.agg(F.sum("weight").alias("weight"), F.count("*").alias("n_topics")), 4)
 
 
 @query()
+def fitted_top_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten strongest words of each topic."""
+    return corpus_model(spark, sf).topic_words(10)
+
+
+@query(f"""
+WITH {WORDS_CTE}, n AS (SELECT count(DISTINCT term) AS n_terms FROM words)
+SELECT CAST(t AS INTEGER) AS topic, n_terms, CAST(1 AS DOUBLE) AS phi_sum FROM n, unnest(range({K})) AS r(t)""")
 def fitted_topic_word_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    vectors, dictionary = english_vectors(spark, sf)
-    model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
-    return G.topic_word_matrix(TM.topic_words(model, dictionary))
+    """Rows of the fitted topic-word matrix: every topic spreads a probability of 1 over every term."""
+    phi = G.topic_word_matrix(corpus_model(spark, sf).topic_rows())
+    return rounded(phi.groupBy("topic").agg(F.count("*").alias("n_terms"), F.sum("phi").alias("phi_sum")))
 
 
-@query()
-def model_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Bound and perplexity on the training documents and on the held-out ones."""
-    vectors = S.split_train_eval(english_vectors(spark, sf)[0], "doc_id", SEED)
-    train, held_out = vectors.filter("split = 'train'"), vectors.filter("split = 'eval'")
+def split_scores(spark: SparkSession, sf: str) -> DataFrame:
+    docs = S.split_train_eval(token_table(spark, sf), "doc_id", SEED)
+    train, held_out = (CM.pack(docs.filter(F.col("split") == x)) for x in ("train", "eval"))
     model = TM.fit_topics(train, K, ALPHA, ETA, passes=PASSES)
-    return TM.scores(model, train).withColumn("split", F.lit("train")).unionByName(
-        TM.scores(model, held_out).withColumn("split", F.lit("eval"))
-    )
+    return model.scores(train).withColumn("split", F.lit("train")).unionByName(model.scores(held_out).withColumn("split", F.lit("eval")))
+
+
+@query(f"""
+WITH {BATCH_CTE}, w AS (SELECT split, doc_id, unnest(tokens) AS term FROM batches),
+known AS (SELECT DISTINCT term FROM w WHERE split = 'train')
+SELECT split, (SELECT count(*) FROM batches b WHERE b.split = w.split) AS n_docs, count(*) AS n_tokens, true AS below_zero, true AS is_power
+FROM w SEMI JOIN known USING (term) GROUP BY split""")
+def model_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and known words that the bounds of training and held-out documents rest on, and the signs of the bounds."""
+    power = F.abs(F.log2("perplexity_base2") + F.col("per_word_bound")) < 1e-9
+    return split_scores(spark, sf).select("split", "n_docs", "n_tokens", (F.col("bound") < 0).alias("below_zero"), power.alias("is_power"))
 
 
 @query()
+def model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Bound and perplexity on the training documents and on the held-out ones."""
+    return split_scores(spark, sf)
+
+
+@query(f"""
+WITH {TOK_CTE}
+SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, CAST({K} AS INTEGER) AS n_topics, CAST(1 AS DOUBLE) AS share_sum FROM tok""")
 def doc_topics(spark: SparkSession, sf: str) -> DataFrame:
-    """Topic shares of all English documents, as one row per document and topic."""
-    vectors, _ = english_vectors(spark, sf)
-    model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
-    return TM.doc_topics(model, vectors).select("doc_id", F.posexplode("distribution").alias("topic", "share"))
+    """Every document has its words inferred and a share in every topic, adding up to 1."""
+    packed = corpus(spark, sf)
+    shares = TM.fit_topics(packed, K, ALPHA, ETA, passes=PASSES).doc_topics(packed)
+    total = F.aggregate("distribution", F.lit(0.0), lambda a, x: a + x)
+    return rounded(shares.select("doc_id", "n_tokens", F.size("distribution").alias("n_topics"), total.alias("share_sum")))
+
+
+@query()
+def doc_topic_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Topic shares of all documents, as one row per document and topic."""
+    packed = corpus(spark, sf)
+    shares = TM.fit_topics(packed, K, ALPHA, ETA, passes=PASSES).doc_topics(packed)
+    return shares.select("doc_id", F.posexplode("distribution").alias("topic", "share"))
+
+
+def searched(spark: SparkSession, sf: str) -> DataFrame:
+    return CM.grid_search(documents(spark, sf), GRID_TOPICS, [ALPHA], [ETA], decays=GRID_DECAYS, folds=FOLDS, passes=GRID_PASSES)
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS n_docs FROM documents)
+SELECT CAST(k AS INTEGER) AS k, CAST({ALPHA} AS DOUBLE) AS alpha, CAST({ETA} AS DOUBLE) AS eta, CAST(decay AS DOUBLE) AS decay,
+  CAST({FOLDS} AS BIGINT) AS n_splits, n_docs, true AS scored
+FROM n, unnest({GRID_TOPICS}) AS a(k), unnest({GRID_DECAYS}) AS b(decay)""")
+def grid_search_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every grid point is scored on every fold, and the folds make up all documents."""
+    scored = F.bool_and((F.col("score") < 0) & (F.col("train_score") < 0))
+    rows = searched(spark, sf).groupBy("k", "alpha", "eta", "decay")
+    return rows.agg(F.count("*").alias("n_splits"), F.sum("n_test").alias("n_docs"), scored.alias("scored"))
 
 
 @query()
 def grid_search_cv(spark: SparkSession, sf: str) -> DataFrame:
-    """Topic counts and decay rates compared over three folds."""
-    vectors, _ = english_vectors(spark, sf)
-    results = TM.grid_search(vectors, [3, K], [ALPHA], [ETA], decays=(0.5, 0.7, 0.9), folds=3, passes=2)
-    return TM.best_point(results)
+    """Topic counts and decay rates compared over ten folds."""
+    return TM.best_point(searched(spark, sf))
 
 
 GRID = {"topics": [3, K], "alpha_str": ["symmetric"], "beta_str": ["0.31"]}
@@ -126,31 +180,43 @@ def fit_cumulative(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def coherence_of_fits(spark: SparkSession, sf: str) -> DataFrame:
     """c_v of the words of a fitted model over the whole corpus."""
-    vectors, dictionary = english_vectors(spark, sf)
-    model = TM.fit_topics(vectors, K, ALPHA, ETA, passes=PASSES)
-    topics = materialize(TM.topic_words(model, dictionary, 20), "topics")
-    return rounded(CO.coherence_cv(documents(spark, sf, lang="en"), topics))
+    topics = materialize(corpus_model(spark, sf).topic_words(20).withColumnRenamed("place", "place_in_topic"), "topics")
+    return rounded(CO.coherence_cv(documents(spark, sf), topics))
+
+
+YEARS = [2015, 2016, 2017]
+MODEL = CM.Model(K, ALPHA, ETA)
 
 
 def yearly(spark: SparkSession, sf: str) -> DataFrame:
-    """English documents with a stand-in year, written once for the passes over each year."""
-    docs = C.drop_empty(documents(spark, sf, lang="en"))
+    """All documents with words and a stand-in year, written once for the passes over each year."""
+    docs = C.drop_empty(documents(spark, sf))
     return materialize(docs.withColumn("year", (F.col("doc_id") % 3 + 2015).cast("int")), "yearly")
 
 
 @query()
 def update_topics(spark: SparkSession, sf: str) -> DataFrame:
     """A model fitted on one year and updated with two more; twenty words per topic."""
-    weights = ON.fit_yearly(yearly(spark, sf), [2015, 2016, 2017], K, ALPHA, ETA, passes=2)
-    return G.top_words(G.topic_word_matrix(ON.topic_rows(weights)).withColumnRenamed("phi", "weight"), 20)
+    weights = ON.fit_yearly(yearly(spark, sf), YEARS, MODEL, passes=2)
+    return G.top_words(G.topic_word_matrix(CM.topic_rows(weights, [MODEL])).withColumnRenamed("phi", "weight"), 20)
+
+
+@query(f"""
+WITH {TOK_CTE}, d AS (SELECT doc_id % 3 + 2015 AS year, len(tokens) AS n FROM tok WHERE len(tokens) > 0)
+SELECT CAST(year AS INTEGER) AS year, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, true AS below_zero FROM d GROUP BY year""")
+def yearly_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and words that each year's bound under the updated model rests on."""
+    docs = yearly(spark, sf)
+    scores = CM.document_topics(CM.pack(docs), ON.fit_yearly(docs, YEARS, MODEL), [MODEL]).join(docs.select("doc_id", "year"), "doc_id")
+    below = F.bool_and(F.col("per_word_bound") < 0)
+    return scores.groupBy("year").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), below.alias("below_zero"))
 
 
 @query()
 def mean_doc_bound(spark: SparkSession, sf: str) -> DataFrame:
     """Mean per-document per-word bound of each year under the updated model."""
     docs = yearly(spark, sf)
-    weights = ON.fit_yearly(docs, [2015, 2016, 2017], K, ALPHA, ETA)
-    scores = ON.document_scores(ON.document_bags(docs), weights, K, ALPHA)
+    scores = CM.document_topics(CM.pack(docs), ON.fit_yearly(docs, YEARS, MODEL), [MODEL])
     return scores.join(docs.select("doc_id", "year"), "doc_id").groupBy("year").agg(
         F.avg("per_word_bound").alias("mean_doc_bound"), F.count("*").alias("n_docs")
     )
@@ -160,13 +226,13 @@ def mean_doc_bound(spark: SparkSession, sf: str) -> DataFrame:
 def compare_models(spark: SparkSession, sf: str) -> DataFrame:
     """Two settings of the learning offset side by side, for two topic counts: score against mean bound."""
     docs = yearly(spark, sf)
+    packed = CM.pack(docs)
 
     def family(offset: float) -> DataFrame:
         rows = None
         for i, k in enumerate((3, K)):
-            weights = ON.fit_yearly(docs, [2015, 2016, 2017], k, ALPHA, ETA, offset=offset)
-            row = ON.mean_doc_bound(ON.document_scores(ON.document_bags(docs), weights, k, ALPHA))
-            row = row.withColumn("ordinal", F.lit(i))
+            model = CM.Model(k, ALPHA, ETA, offset=offset)
+            row = ON.mean_doc_bound(CM.document_topics(packed, ON.fit_yearly(docs, YEARS, model), [model])).withColumn("ordinal", F.lit(i))
             rows = row if rows is None else rows.unionByName(row)
         return rows
 
