@@ -152,12 +152,44 @@ def test_batch_models(spark, planted):
     assert len(shares) == 60 and all(abs(sum(r.distribution) - 1) < 1e-9 for r in shares)
 
 
-def test_shards_do_not_change_results(spark, planted):
-    grid = GR.product(spark, {"topics": [2, 3], "alpha_str": ["symmetric", "asymmetric"], "beta_str": ["symmetric"], "type": ["eval", "train"]})
-    cols = [*B.run_key_columns(), "convergence"]
-    one = B.fit_per_batch(batches(planted), grid, passes=1).select(*cols).collect()
-    many = B.fit_per_batch(batches(planted), grid, passes=1, shards=3).select(*cols).collect()
-    assert len(one) == 4 * 2 and sorted(one) == sorted(many)  # a combination's type does not multiply
+def test_every_drawn_combination_meets_every_batch(spark, planted):
+    axes = {"topics": [2, 3], "alpha_str": ["symmetric", "asymmetric"], "beta_str": ["symmetric"], "gamma": [0.001, 0.2], "type": ["eval", "train"]}
+    grid = GR.product(spark, axes)
+    columns = [*B.run_key_columns(), "convergence"]
+    one = B.fit_per_batch(batches(planted), grid, passes=1).select(*columns).collect()
+    many = B.fit_per_batch(batches(planted), grid, passes=1, cells=1).select(*columns).collect()
+    assert len(one) == 16 * 2 and sorted(one) == sorted(many)
+    fits = {}
+    for r in one:
+        fits.setdefault((r.batch_id, r.topics, r.alpha_str, r.gamma), set()).add((r.drawn_type, r.convergence))
+    assert all({t for t, _ in v} == {"eval", "train"} and len({c for _, c in v}) == 1 for v in fits.values())
+    gammas = {k: next(iter(v))[1] for k, v in fits.items()}
+    assert any(gammas[k] != gammas[(*k[:3], 0.001)] for k in gammas)  # the threshold reaches the fit
+
+
+def test_the_full_draw_is_queued_in_slices_of_like_cost(spark, planted):
+    drawn = materialize(GR.sample_grid(GR.hyperparameter_grid(spark), ["topics", "alpha_str", "beta_str", "type"], 75), "drawn")
+    queue = B.work_queue(batches(planted), drawn, cells=1 << 20).collect()
+    assert len(queue) > 4
+    for batch in (0, 1):
+        points = [p for r in queue if r.batch_id == batch for p in r.points]
+        assert sum(len(p.drawn_types) for p in points) == drawn.count() == 472
+        assert len({(p.topics, p.alpha_str, p.beta_str) for p in points}) == len(points) < 472
+    n = 30 * 40
+    assert all(sum(p.topics for p in r.points) * n <= (1 << 20) + 120 * n for r in queue)
+
+
+def test_topic_tables_of_fitted_batches(spark, planted):
+    fits = materialize(B.fit_per_batch(batches(planted), point(spark), passes=3, keep_weights=True).withColumn("time_key", B.run_time_key()), "fits")
+    rows = B.topic_tables(fits, n=5).collect()
+    assert len(rows) == 2 * 3 * 5
+    for r in fits.collect():
+        phi = np.array(r.weights) / np.array(r.weights).sum(axis=1, keepdims=True)
+        shares = np.array(r.doc_topics).mean(axis=0)  # all documents are equally long
+        for x in (x for x in rows if x.time_key == r.time_key):
+            at = list(r.terms).index(x.term)
+            assert np.isclose(x.phi, phi[x.topic, at]) and np.isclose(x.share, shares[x.topic])
+            assert np.isclose(x.relevance, 0.6 * np.log(x.phi) + 0.4 * np.log(x.phi / (shares @ phi)[at]))
 
 
 def test_cumulative_and_vector_prior(spark, planted):

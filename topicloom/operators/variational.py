@@ -109,7 +109,7 @@ def compress(documents: list[list[str]]):
     return terms, np.concatenate(ids), np.concatenate(counts).astype(float), np.array(indptr), flat, bounds
 
 
-def fit(ids, counts, indptr, n_terms, k, alpha, eta, passes, iterations, update_every, chunk, seed, decay, offset):
+def fit(ids, counts, indptr, n_terms, k, alpha, eta, passes, iterations, update_every, chunk, seed, decay, offset, tol=1e-3):
     """Topic weights (k x V): a step after every `update_every` chunks and at the end of each pass."""
     n_docs = len(indptr) - 1
     weights = start_weights((k, n_terms), seed)
@@ -120,7 +120,7 @@ def fit(ids, counts, indptr, n_terms, k, alpha, eta, passes, iterations, update_
             lo, hi = indptr[start], indptr[stop]
             word = ids[lo:hi]
             beta = np.exp(expected_log(weights)).T
-            _, expected = infer(indptr[start : stop + 1] - lo, counts[lo:hi], beta[word], alpha, iterations)
+            _, expected = infer(indptr[start : stop + 1] - lo, counts[lo:hi], beta[word], alpha, iterations, tol)
             stats = np.zeros((n_terms, k))
             np.add.at(stats, word, expected)
             rho = (offset + steps) ** -decay

@@ -20,6 +20,9 @@ from ..sources import readers as IN
 from ..sources import writers as OUT
 
 
+GRID_AXES = ["topics", "alpha_str", "beta_str", "gamma", "type"]
+
+
 def prepare_corpus(
     spark: SparkSession, collections: str, metadata: str, out: str, years: Sequence[int] = range(2015, 2020), fmt: str = "html",
     excluded: DataFrame | None = None,
@@ -49,8 +52,8 @@ def train_grid(
     the two-axis map, and keep text, tokens and model of each run.
     """
     spark = docs.sparkSession
-    axes = ["topics", "alpha_str", "beta_str", "type"]
-    drawn = GR.sample_grid(GR.hyperparameter_grid(spark) if grid is None else grid, axes, seed)
+    grid = GR.hyperparameter_grid(spark) if grid is None else grid
+    drawn = GR.sample_grid(grid, [c for c in GRID_AXES if c in grid.columns], seed)
     batches = materialize(S.assign_batches(C.drop_empty(docs), "doc_id", seed, size=batch_size), "batches")
     fits = materialize(B.fit_per_batch(batches, drawn, keep_weights=True, **settings), "fits")
     fingerprints = materialize(D.batch_fingerprint(batches, ["split", "batch_id"], "pos"), "fingerprints")
@@ -58,11 +61,14 @@ def train_grid(
     n_runs = fits.count()
 
     keyed = fits.withColumn("time_key", B.run_time_key())
-    coordinates = G.pcoa_2d(B.doc_topic_rows(fits), B.run_key_columns(), "doc_id")
-    OUT.append_model_runs(coordinates, f"{out}/topic_map")
-    placed = spark.read.parquet(f"{out}/topic_map").select(*B.run_key_columns()).distinct()
     keys = keyed.select("time_key", *B.run_key_columns())
-    status = keys.join(placed, B.run_key_columns()).select("time_key", F.lit(True).alias("create_pylda"), F.lit(True).alias("create_pcoa"))
+    placed = materialize(G.pcoa_2d(B.doc_topic_rows(fits).join(keys, B.run_key_columns()).drop(*B.run_key_columns()), ["time_key"], "doc_id"), "placed")
+    OUT.append_model_runs(placed, f"{out}/topic_map")
+    words = materialize(B.topic_tables(keyed), "topic_tables")
+    OUT.append_model_runs(words, f"{out}/topic_tables")
+    # A flag is set where the table has rows of the run.
+    mapped, tabled = (t.select("time_key").distinct().withColumn(flag, F.lit(True)) for t, flag in ((placed, "create_pcoa"), (words, "create_pylda")))
+    status = tabled.join(mapped, "time_key", "full_outer")
     stamped = R.stamp_run_columns(runs.drop("create_pylda", "create_pcoa"), batch_size, workers, n_runs)
     order = runs.columns
     OUT.append_model_runs(R.attach_status(stamped, status).select(*order), f"{out}/runs")

@@ -125,32 +125,96 @@ def grid_search_cv(spark: SparkSession, sf: str) -> DataFrame:
     return TM.best_point(searched(spark, sf))
 
 
-GRID = {"topics": [3, K], "alpha_str": ["symmetric"], "beta_str": ["0.31"]}
+GRID = {"topics": [3, K], "alpha_str": ["symmetric"], "beta_str": ["0.31"], "gamma": [0.001, 0.004], "type": ["eval", "train"]}
+BATCH_PASSES = 3
 
 
-def batch_fits(spark: SparkSession, sf: str, passes: int = 3, **settings) -> tuple[DataFrame, DataFrame]:
-    """Fits of every grid point on every batch of all documents, and the text hashes of the batches."""
+def drawn_grid(spark: SparkSession) -> DataFrame:
+    return GR.sample_grid(GR.product(spark, GRID), list(GRID), SEED)
+
+
+def batch_fits(spark: SparkSession, sf: str, passes: int = BATCH_PASSES, **settings) -> tuple[DataFrame, DataFrame]:
+    """Fits of every drawn combination on every batch of all documents, and the text hashes of the batches."""
     batches = materialize(S.assign_batches(C.drop_empty(documents(spark, sf)), "doc_id", SEED), "batches")
-    grid = GR.product(spark, {**GRID, "type": ["train"]})
-    fits = B.fit_per_batch(batches, grid, passes=passes, **settings)
+    fits = B.fit_per_batch(batches, drawn_grid(spark), passes=passes, **settings)
     return materialize(fits, "fits"), D.batch_fingerprint(batches, ["split", "batch_id"], "pos")
 
 
-@query()
+# Batches of the documents that have words, and the drawn part of the grid.
+FIT_CTE = f"""{BATCH_CTE.replace("FROM tok)", "FROM tok WHERE len(tokens) > 0)")},
+grid AS (SELECT CAST(topics AS INTEGER) AS topics, alpha_str, beta_str, CAST(gamma AS DOUBLE) AS gamma, drawn_type
+  FROM unnest({GRID["topics"]}) AS a(topics), unnest({GRID["alpha_str"]}) AS b(alpha_str), unnest({GRID["beta_str"]}) AS c(beta_str),
+  unnest({GRID["gamma"]}) AS d(gamma), unnest({GRID["type"]}) AS e(drawn_type)),
+places AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}|' || k), k) AS place, count(*) OVER () AS n
+  FROM (SELECT *, topics || '|' || alpha_str || '|' || beta_str || '|' || gamma || '|' || drawn_type AS k FROM grid)),
+drawn AS (SELECT topics, alpha_str, beta_str, gamma, drawn_type FROM places WHERE place <= greatest(1, floor(n * 0.375))),
+sizes AS (SELECT split, batch_id, CAST(count(*) AS INTEGER) AS n_docs, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens FROM batches GROUP BY 1, 2)"""
+
+
+@query(f"""
+WITH {FIT_CTE}
+SELECT split, batch_id, CAST(0 AS INTEGER) AS step, topics, alpha_str, beta_str, gamma, drawn_type, n_docs, n_tokens,
+  CAST(n_docs // 5 AS INTEGER) AS chunksize, topics AS n_topics, true AS scored FROM sizes, drawn""")
 def fit_topics_per_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """One fit for each drawn combination and batch, with the sizes it rests on."""
     fits, _ = batch_fits(spark, sf)
-    return fits.select(*B.run_key_columns(), "n_docs", "n_tokens", "convergence", "perplexity", "coherence")
+    scored = (F.col("convergence") < 0) & (F.col("perplexity") < 0) & F.col("coherence").between(-1, 1)
+    return fits.select(*B.run_key_columns(), "n_docs", "n_tokens", "chunksize", F.size("top_words").alias("n_topics"), scored.alias("scored"))
 
 
 @query()
-def train_run_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Run-table rows of all batch models, without the nested word lists."""
+def batch_fit_scores(spark: SparkSession, sf: str) -> DataFrame:
+    fits, _ = batch_fits(spark, sf)
+    return fits.select(*B.run_key_columns(), "n_docs", "n_tokens", "convergence", "perplexity", "coherence")
+
+
+def run_rows(spark: SparkSession, sf: str) -> DataFrame:
     fits, fingerprints = batch_fits(spark, sf)
     n = fits.select(F.count("*")).scalar()
-    rows = B.train_run_rows(fits, fingerprints, 60, spark.sparkContext.defaultParallelism, 0, passes=3)
-    return R.stamp_run_columns(rows, 60, spark.sparkContext.defaultParallelism, n).withColumn(
-        "top_words", F.to_json("top_words")
-    )
+    rows = B.train_run_rows(fits, fingerprints, S.BATCH_SIZE, WORKERS, 0, passes=BATCH_PASSES)
+    return R.stamp_run_columns(rows, S.BATCH_SIZE, WORKERS, n)
+
+
+WORKERS = 8  # a stamp on the rows, as the reference configures it; how many tasks run is the cluster's matter
+
+
+@query(f"""
+WITH {FIT_CTE},
+texts AS (SELECT split, batch_id, string_agg(array_to_string(tokens, ' '), ' ' ORDER BY pos) AS text FROM batches GROUP BY 1, 2),
+rows AS (SELECT split AS type, sha256(text) AS text_sha256, md5(text) AS text_md5, topics, alpha_str, beta_str, CAST(n_docs // 5 AS INTEGER) AS chunksize
+  FROM sizes JOIN texts USING (split, batch_id), drawn)
+SELECT type, text_sha256, text_md5, topics, alpha_str, beta_str, chunksize, CAST({S.BATCH_SIZE} AS INTEGER) AS batch_size, CAST({WORKERS} AS INTEGER) AS num_workers,
+  CAST((SELECT count(*) FROM rows) AS INTEGER) AS num_documents, CAST({BATCH_PASSES} AS INTEGER) AS passes, topics AS n_topics, true AS has_key FROM rows""")
+def train_run_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Run-table rows of all batch models: every column that does not hang on the fit's numbers."""
+    exact = ["type", "text_sha256", "text_md5", "topics", "alpha_str", "beta_str", "chunksize", "batch_size", "num_workers", "num_documents", "passes"]
+    return run_rows(spark, sf).select(*exact, F.size("top_words").alias("n_topics"), (F.length("time_key") == 32).alias("has_key"))
+
+
+@query()
+def train_run_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Run-table rows of all batch models, with the nested word lists as text."""
+    return run_rows(spark, sf).withColumn("top_words", F.to_json("top_words"))
+
+
+@query()
+def fitted_topic_map(spark: SparkSession, sf: str) -> DataFrame:
+    """The 30 most relevant terms of each topic of the fitted corpus model, with topic shares weighted by document length."""
+    packed = corpus(spark, sf)
+    model = TM.fit_topics(packed, K, ALPHA, ETA, passes=PASSES)
+    shares = model.doc_topics(packed).select("n_tokens", F.posexplode("distribution").alias("topic", "theta"))
+    phi = materialize(G.topic_word_matrix(model.topic_rows()), "phi")
+    return G.relevance(phi, materialize(G.topic_shares(shares), "shares"))
+
+
+@query()
+def fitted_per_word_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics of every term of the fitted corpus model by p(topic | term)."""
+    packed = corpus(spark, sf)
+    model = TM.fit_topics(packed, K, ALPHA, ETA, passes=PASSES)
+    shares = model.doc_topics(packed).select("n_tokens", F.posexplode("distribution").alias("topic", "theta"))
+    phi = materialize(G.topic_word_matrix(model.topic_rows()), "phi")
+    return G.per_word_topics(phi, materialize(G.topic_shares(shares), "shares"))
 
 
 @query()
