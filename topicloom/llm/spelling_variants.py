@@ -134,15 +134,21 @@ def _frequent_grams(words: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), q)), pa.array(signed(kinds)), pa.array(counts)], ["q", "gram", "n"])
 
     counted = words.select("word").mapInArrow(count, "q long, gram long, n long").groupBy("q", "gram").agg(F.sum("n").alias("n"))
-    counted = materialize(counted, "grams")
-    totals = {r.q: r.n for r in counted.groupBy("q").agg(F.sum("n").alias("n")).collect()}
+    lengths = range(QMIN, QMAX + 1)
+    places = words.agg(*[F.sum(F.greatest(F.length("word") - (q - 2), F.lit(0))) for q in lengths]).first()
+    # At most FREQUENT rows of each length: each has more than 1 / FREQUENT of all its places.
+    least = {q: max(LIST, (n or 0) // FREQUENT) for q, n in zip(lengths, places)}
+    often = F.lit(False)
+    for q, n in least.items():
+        often = often | ((F.col("q") == q) & (F.col("n") > n))
+    table = counted.filter(often).toArrow()
+    held, grams, counts = (table.column(c).to_numpy().astype(np.int64) for c in ("q", "gram", "n"))
+    grams = grams.view(np.uint64)
     found = {}
-    for q in range(QMIN, QMAX + 1):
-        # At most FREQUENT rows: each has more than total / FREQUENT of all places.
-        rows = counted.filter((F.col("q") == q) & (F.col("n") > max(LIST, totals.get(q, 0) // FREQUENT))).select("gram", "n").toArrow()
-        grams, counts = (rows.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
-        order = np.argsort(grams.view(np.uint64))
-        found[q] = grams.view(np.uint64)[order], counts[order]
+    for q in lengths:
+        some = np.flatnonzero(held == q)
+        some = some[np.argsort(grams[some])]
+        found[q] = grams[some], counts[some]
     return found
 
 
@@ -184,12 +190,6 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 some = may_contain(flags, key)
                 yield rows_of(batch, row[some], key[some], own)
 
-    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(SEED)
-        for batch in batches:
-            row, key = Grams(hasher, batch.column(0)).deletions()
-            yield rows_of(batch, row, key, True)
-
     filed = words.select("word", "n").mapInArrow(file, schema)
     short = filed.join(lists.filter("not long").select("key"), "key").groupBy("key")
     short = short.agg(F.collect_list(F.struct("word", "n", "own")).alias("members"))  # LIST at most
@@ -202,6 +202,24 @@ def near_pairs(words: DataFrame) -> DataFrame:
     # Words of QMAX characters or fewer may have no gram that an edit leaves alone.
     if (words.agg(F.min(F.length("word"))).first()[0] or 0) <= QMAX:
         in_long = in_long.union(words.filter(F.length("word") <= QMAX + 1).select("word", "n")).distinct()
+    in_long = materialize(in_long, "in_long")
+
+    def count_deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(SEED)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(signed(Grams(hasher, batch.column(0)).deletions()[1]))], ["key"])
+
+    shared = in_long.select("word").mapInArrow(count_deletions, "key long").groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialize(shared.select("key"), "deletions")
+    twice = bitmap(shared, "key", min(max(shared.count() * 8, 1 << 16).bit_length(), MOST_BITS))
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(SEED)
+        for batch in batches:
+            row, key = Grams(hasher, batch.column(0)).deletions()
+            some = may_contain(twice, key)
+            yield rows_of(batch, row[some], key[some], True)
+
     without = in_long.mapInArrow(delete, schema).select("key", "word", "n")
     one = without.select("key", F.col("word").alias("a"), F.col("n").alias("na"))
     two = without.select("key", F.col("word").alias("b"), F.col("n").alias("nb"))
