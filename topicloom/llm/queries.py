@@ -13,7 +13,21 @@ from .fuzzy_lines import fuzzy_lines
 from .hilbert_packing import pack
 from .html_consensus import main_text
 from .jaccard_join import jaccard_classes
-from .line_quality import BOILERPLATE, BOILERPLATE_CHARS, LOST_PERCENT, MENU, MIN_WORDS, REPEAT_PERCENT, SEPARATORS, SYMBOLS, line_quality
+from .line_quality import (
+    BOILERPLATE,
+    BOILERPLATE_CHARS,
+    ENDS,
+    LOST_PERCENT,
+    MENU_SEPARATORS,
+    MENU_WORDS,
+    MIN_WORDS,
+    NO_ENDS,
+    PLAIN_WORDS,
+    REPEAT_PERCENT,
+    SEPARATORS,
+    SYMBOLS,
+    line_quality,
+)
 from .mil_quality import score, train
 from .periodic_runs import periodic_runs
 from .pii_boosting import KINDS, personal_data
@@ -119,11 +133,13 @@ def _sql_chars(text: str, chars: str) -> str:
 
 
 LINE_FAILS_SQL = f"""({_sql_chars("x", SYMBOLS)} * 10 > length(x)
+  OR ({_sql_chars("x", " ")} + 1 >= {PLAIN_WORDS} AND NOT regexp_matches(x, '{ENDS}') AND NOT regexp_matches(x, '{NO_ENDS}'))
   OR ({_sql_chars("x", SEPARATORS)} >= 3 AND {_sql_chars("x", SEPARATORS)} * 5 >= {_sql_chars("x", " ")} + 1)
-  OR regexp_matches(x, '{MENU}')
-  OR (length(x) >= 20 AND regexp_matches(x, '\\p{{Lu}}\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}'))
+  OR (regexp_matches(x, '(?i){MENU_WORDS}') AND regexp_replace(x, '(?i){MENU_WORDS}|{MENU_SEPARATORS}', '', 'g') = '')
+  OR (length(x) >= 20 AND regexp_matches(x, '\\p{{Lu}}\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}')
+    AND len(regexp_extract_all(x, '\\p{{Lu}}')) * 2 > len(regexp_extract_all(x, '\\p{{L}}')))
   OR ({_sql_chars("x", "!")} >= 3 AND {_sql_chars("x", "!")} * 4 > {_sql_chars("x", " ")} + 1)
-  OR (length(x) < {BOILERPLATE_CHARS} AND regexp_matches(x, '{BOILERPLATE}')))"""
+  OR (length(x) < {BOILERPLATE_CHARS} AND regexp_matches(x, '(?i){BOILERPLATE}')))"""
 
 QUALITY_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, {BLANK_WORDS}), []) AS w,
