@@ -245,7 +245,7 @@ def jaccard_classes(
 
     tried = edges = None
     labels = spark.createDataFrame([], "node long, root long")
-    for step in range(STARS + 1):
+    for step in range(STARS + 2):
         state = filed.join(labels, filed.c == labels.node, "left").select("s", "c", "n", "own", F.coalesce("root", "c").alias("root"))
         hubs = [
             F.min(F.struct(F.xxhash64("c", F.lit(HUBS * step + i)).alias("rank"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")))
@@ -261,10 +261,11 @@ def jaccard_classes(
             best = Window.partitionBy("a").orderBy(F.desc("k"), "b")
             pairs = possible(near.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= MEETINGS))
         else:
-            # Mostly one component to a group now; what is still open is compared.
+            # Mostly one component to a group now; what is still open is compared. First as few pairs as would join all that look
+            # linked, which leaves little; then every pair that still looks linked.
             left = state.join(groups.select("s"), "s").join(members.select(F.col("c").alias("c2"), "sketch"), F.col("c") == F.col("c2"))
             left = materialize(left.select("s", "c", "n", "root", "own", "sketch"), "open")
-            pairs = open_pairs(left, threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator)
+            pairs = open_pairs(left, threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator, forest=step == STARS)
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -272,31 +273,34 @@ def jaccard_classes(
         tried = result.select("a", "b") if tried is None else tried.union(result.select("a", "b"))
         found = result.filter("linked").select("a", "b")
         edges = found if edges is None else edges.union(found)
-        if step < STARS and found.limit(1).count():
+        if found.limit(1).count():
             labels = components(edges)
-    labels = components(edges)
 
-    degree = edges.select("a").union(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-    classes = rows.groupBy("c").agg(F.min("id").alias("low"))
-    classes = classes.join(labels, classes.c == labels.node, "left").join(degree, "node", "left")
+    degree = edges.select("a").union(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("counted")).agg(F.count("*").alias("links"))
+    classes = rows.filter("c is not null").groupBy("c").agg(F.min("id").alias("low"))
+    classes = classes.join(labels, classes.c == labels.node, "left").join(degree, F.col("c") == F.col("counted"), "left")
     classes = classes.select("c", "low", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = materialize(classes, "classes")
     lowest = classes.groupBy("root").agg(F.min("low").alias("component"))
     classes = classes.join(lowest, "root").select(F.col("c").alias("k"), "links", "component")
-    joined = rows.join(classes, rows.c == classes.k, "left")
-    return joined.select(
+    # Rows without words have no class: they would all meet in one task.
+    joined = rows.filter("c is not null").join(classes, F.col("c") == F.col("k")).select("id", "h", "n", "c", "links", "component")
+    without = rows.filter("c is null").select("id", "h", "n", "c", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
+    return joined.union(without).select(
         F.col("id").alias(id_column),
         F.col("h").alias("_text_hash"),
         F.col("n").alias("n_shingles"),
         F.col("c").alias("class_id"),
-        F.coalesce("links", F.lit(0).cast("long")).alias("links"),
-        F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
+        "links",
+        F.col("component").alias("component_id"),
     )
 
 
-def open_pairs(rows: DataFrame, up: int, down: int) -> DataFrame:
+def open_pairs(rows: DataFrame, up: int, down: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of a group `s` in different components `root` that differ in few enough flags: flags * up <= (n_a + n_b) * down.
 
+    With `forest`, only pairs that join components which the pairs before them in the task have not joined: fewer than two blocks have members.
+
     `rows` has s, c, n, root, own and sketch; one of a pair must be `own`. A group is cut into blocks of about BLOCK members, and each two
     blocks meet in a task of their own: a group of any size is spread and a task holds two blocks. Only pairs that pass leave the task.
     """
@@ -314,10 +318,10 @@ def open_pairs(rows: DataFrame, up: int, down: int) -> DataFrame:
             if kept is None:
                 continue
             ends = _group_ends(kept)
-            yield _passing(kept.slice(0, ends[-2]), ends[:-1], up, down)
+            yield _passing(kept.slice(0, ends[-2]), ends[:-1], up, down, forest)
             kept = kept.slice(ends[-2])
         if kept is not None and kept.num_rows:
-            yield _passing(kept, np.array([0, kept.num_rows]), up, down)
+            yield _passing(kept, np.array([0, kept.num_rows]), up, down, forest)
 
     return rows.mapInArrow(compare, "a long, b long")
 
@@ -328,9 +332,10 @@ def _group_ends(batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
 
 
-def _passing(batch: pa.RecordBatch, ends: np.ndarray, up: int, down: int) -> pa.RecordBatch:
+def _passing(batch: pa.RecordBatch, ends: np.ndarray, up: int, down: int, forest: bool) -> pa.RecordBatch:
     i, j, mine, c, n, root, own = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("i", "j", "mine", "c", "n", "root", "own"))
     flags = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    root = root.copy()  # joined as pairs are found, with `forest`
     words = batch.column("sketch").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     first = np.cumsum(words) - words
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -349,7 +354,13 @@ def _passing(batch: pa.RecordBatch, ends: np.ndarray, up: int, down: int) -> pa.
             y = two[(root[two] != root[x]) & (c[two] > c[x] if i[low] == j[low] else True) & (own[two] | own[x])]
             y = y[np.abs(n[y] - n[x]) * up <= (n[y] + n[x]) * down]
             turned = np.bitwise_count(sketch[y - low] ^ sketch[x - low]).sum(axis=1, dtype=np.int64)
-            y = y[turned * up <= (n[y] + n[x]) * down]
+            near = turned * up <= (n[y] + n[x]) * down
+            y, turned = y[near], turned[near]
+            if forest and len(y):
+                y = y[np.lexsort((turned, root[y]))]  # the closest of each component
+                y = y[np.concatenate([[True], root[y][1:] != root[y][:-1]])]
+                inside = root[low:high]
+                inside[np.isin(inside, root[y])] = root[x]
             if len(y):
                 found.append((np.minimum(c[x], c[y]), np.maximum(c[x], c[y])))
     a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
