@@ -27,24 +27,26 @@ PRECISION = 0.98
 # Fixed patterns of the base rules.
 HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # four numbers in a row of it are an address
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 # Loose generators.
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,4}(?:(?:\.|\[\.\]|, ?)[0-9]{1,4}){3}(?![0-9.])|(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){11,18}(?![0-9])"),
     "phone": re.compile(r"(?:\+ ?|\b00|\()?[0-9][0-9 ()./-]{5,22}[0-9]"),
 }
+SIGN = re.compile(r"@|\(at\)|\[at\]")
+LOOSE_HOST = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+")
 CUES = {
     "email": re.compile(r"mail|contact|write|@", re.I),
     "ip": re.compile(r"\bip\b|host|address|server|client|login", re.I),
     "card": re.compile(r"card|visa|master|amex|credit|payment|cvv|expir", re.I),
     "phone": re.compile(r"phone|tel|call|mobile|fax|cell|\+", re.I),
 }
-FEATURES = 16
+CONTEXT = 24  # characters on each side of a candidate
+CUE = 13  # place of the cue among the features
 
 
 def luhn(digits: str) -> bool:
@@ -55,14 +57,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def before(text: str, end: int, least: int) -> int:
+    """Where the local part of an address begins that ends at `end`, `least` at the earliest."""
+    while end > least and (text[end - 1] in "._%+-" or (text[end - 1].isascii() and text[end - 1].isalnum())):
+        end -= 1
+    return end
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Spans that the pattern of an address finds from left to right, by going from one @ to the next."""
     out, done = [], 0
     at = text.find("@")
     while at >= 0:
-        low = at
-        while low > done and (text[low - 1] in "._%+-" or (text[low - 1].isascii() and text[low - 1].isalnum())):
-            low -= 1
+        low = before(text, at, done)
         host = HOST.match(text, at + 1) if low < at else None
         if host:
             out.append((low, host.end()))
@@ -71,6 +78,16 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Spans that the pattern of an address of four numbers finds from left to right: each four of a row joined by dots."""
+    out = []
+    for row in DOTTED.finditer(text):
+        if row.group().count(".") >= 3:
+            ends = [row.start() - 1, *[row.start() + m.start() for m in re.finditer(r"\.", row.group())], row.end()]
+            out += [(ends[i] + 1, ends[i + 4]) for i in range(0, len(ends) - 4, 4)]
+    return out
+
+
 def valid(kind: str, found: str) -> bool:
     digits = "".join(c for c in found if c in "0123456789")
     if kind == "ip":
@@ -86,35 +103,48 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     if "@" in text:
         out["email"] = emails(text)
     if DIGIT.search(text):
-        for kind, pattern in (("ip", IP), ("card", CARD), ("phone", PHONE)):
+        out["ip"] = [span for span in addresses(text) if valid("ip", text[span[0] : span[1]])]
+        for kind, pattern in (("card", CARD), ("phone", PHONE)):
             if kind != "phone" or "+" in text:
                 out[kind] = [m.span() for m in pattern.finditer(text) if valid(kind, m.group())]
     return out
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    out = []
+    """Spans of the loose generators, by kind and start; each generator's spans are apart from one another."""
+    out, done = [], 0
+    for sign in SIGN.finditer(text):
+        low = before(text, sign.start() - (text[sign.start() - 1 : sign.start()] == " "), done) if sign.start() else 0
+        tail = LOOSE_HOST.match(text, sign.end()) if low < sign.start() and text[low] != " " else None
+        if tail:
+            out.append(("email", low, tail.end()))
+            done = tail.end()
     for kind, pattern in LOOSE.items():
-        if kind == "email":
-            if "@" in text or "(at)" in text or "[at]" in text:
-                # Addresses are looked for around their signs only; a pattern over the whole text costs the square of long words.
-                done = 0
-                for sign in re.finditer(r"@|\(at\)|\[at\]", text):
-                    low = max(done, sign.start() - 66)
-                    m = pattern.search(text, low, min(len(text), sign.end() + 256))
-                    if m and m.start() < sign.end() <= m.end():
-                        out.append((kind, *m.span()))
-                        done = m.end()
-        elif DIGIT.search(text) or (kind == "ip" and "::" in text):
+        if DIGIT.search(text) or (kind == "ip" and ":" in text):
             out += [(kind, *m.span()) for m in pattern.finditer(text)]
     return out
 
 
+def rewritten(kind: str, found: str, way: int) -> str:
+    """A strict span in a form that the strict rule does not know; `way` picks one."""
+    if kind == "email":
+        at, dot = (("(at)", "."), ("[at]", "."), (" (at) ", " (dot) "))[way % 3]
+        local, host = found.rsplit("@", 1)
+        return local + at + host.replace(".", dot)
+    if kind == "ip":
+        return found.replace(".", ("[.]", ", ")[way % 2])
+    digits = [c for c in found if c in "0123456789"]
+    if kind == "card":
+        sep = "./_"[way % 3]
+        return sep.join("".join(digits[i : i + 4]) for i in range(0, len(digits), 4))
+    return ("00" if way % 2 else "") + found[1:]
+
+
 def features(kind: str, text: str, start: int, end: int) -> list[float]:
     """Format of the candidate and what stands around it."""
     found = text[start:end]
     digits = "".join(c for c in found if c in "0123456789")
-    before, after = text[max(0, start - 24) : start], text[end : end + 12]
+    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     parts = re.findall(r"[0-9]+", found)
     return [
         float(KINDS.index(kind)), float(len(found)), float(len(digits)), float(len(parts)), float(max(map(len, parts), default=0)),
@@ -128,12 +158,12 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """id, base, spans: one row per row of `docs`; both are lists of (kind, start, end) by kind and start, in code points, end exclusive.
 
     `base` has the strict spans, `spans` those and the added ones. Null and empty texts have none. Rows with equal id and text are
-    treated alike; null ids are allowed. If all sampled candidates are of one class, nothing is added. Other columns are not read.
+    treated alike; null ids are allowed. If all sampled candidates are of one class, nothing is added. Added spans do not overlap: the likelier stays, of equals the first. Other columns are not read.
     """
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("h", F.xxhash64("id", "text"))
     id_type = dict(source.dtypes)["id"]
     span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-    loose = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("strict", pa.bool_()), ("apart", pa.bool_()), ("x", pa.list_(pa.float64()))])
+    loose = pa.struct([("made", pa.bool_()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def scan(batches):
         for batch in batches:
@@ -143,19 +173,24 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                     strict = base_spans(text or "")
                     spans = [(KINDS.index(k), a, b) for k in KINDS for a, b in strict[k]]
                     base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                    taken, found = set(spans), []
+                    found = []
                     for kind, a, b in candidates(text or ""):
-                        k = KINDS.index(kind)
-                        apart = all(b <= c or d <= a for _, c, d in spans)
-                        found.append({"kind": k, "start": a, "end": b, "strict": (k, a, b) in taken, "apart": apart, "x": features(kind, text, a, b)})
+                        if all(b <= c or d <= a for _, c, d in spans):
+                            found.append({"made": False, "kind": KINDS.index(kind), "start": a, "end": b, "x": features(kind, text, a, b)})
+                    for k, a, b in spans:
+                        if KINDS[k] != "ip" or b - a < 40:
+                            new = rewritten(KINDS[k], text[a:b], a)
+                            around = text[max(0, a - CONTEXT) : a] + new + text[b : b + CONTEXT]
+                            start = min(a, CONTEXT)
+                            found.append({"made": True, "kind": k, "start": a, "end": b, "x": features(KINDS[k], around, start, start + len(new))})
                     extra.append(found)
                 columns = [piece.column("id"), piece.column("h"), pa.array(base, pa.list_(span)), pa.array(extra, pa.list_(loose))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "h", "base", "loose"])
 
     kinds = "struct<kind:int,start:long,end:long>"
-    schema = f"id {id_type}, h long, base array<{kinds}>, loose array<struct<kind:int,start:long,end:long,strict:boolean,apart:boolean,x:array<double>>>"
+    schema = f"id {id_type}, h long, base array<{kinds}>, loose array<struct<made:boolean,kind:int,start:long,end:long,x:array<double>>>"
     rows = materialize(source.select("id", "h", "text").mapInArrow(scan, schema), "spans")
-    every = rows.select("h", F.explode("loose").alias("c")).select("h", "c.*").filter("strict or apart")
+    every = rows.select("h", F.explode("loose").alias("c")).select("h", "c.*")
     added = _accepted(every)
     if added is None:
         return rows.select(F.col("id").alias(id_column), "base", F.col("base").alias("spans"))
@@ -178,17 +213,25 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def _accepted(every: DataFrame) -> DataFrame | None:
-    """Candidates apart from base spans that the trees accept: h, kind, start, end, p."""
-    order = F.xxhash64("h", "kind", "start", "end")
-    sample = materialize(every.orderBy(order, "h", "start", "end", "kind").limit(TRAINING_CANDIDATES), "sample")
-    sample = sample.withColumn("label", F.col("strict").cast("double")).withColumn("features", array_to_vector("x"))
+    """Candidates apart from base spans that the trees accept: h, kind, start, end, p.
+
+    The trees learn from strict spans rewritten without their format, in their own context, against candidates with no cue before them; other
+    candidates have no label. They are fitted on a bounded sample of two thirds of the documents. Thresholds are calibrated on every
+    labelled candidate of the other third, as counts by kind and score.
+    """
+    cue = F.get("x", F.lit(CUE)) > 0
+    label = F.when(F.col("made"), 1.0).when(~cue, 0.0)
+    every = every.withColumn("label", label).withColumn("features", array_to_vector("x"))
     held = F.pmod(F.xxhash64("h"), F.lit(3)) == 0
-    classes = sample.filter(~held).groupBy("label").count().count()
-    if classes < 2:
+    order = F.xxhash64("h", "kind", "start", "end")
+    known = every.filter("label is not null")
+    sample = known.filter(~held).orderBy(order, "h", "start", "end", "kind").limit(TRAINING_CANDIDATES).select("label", "features")
+    sample = materialize(sample.coalesce(1), "sample")
+    if sample.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3).fit(sample.filter(~held).select("label", "features").coalesce(1))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3).fit(sample)
     sure = vector_to_array(F.col("probability"))[1]
-    bins = model.transform(sample.filter(held)).select("kind", "label", F.floor(sure * 100).alias("bin"))
+    bins = model.transform(known.filter(held)).select("kind", "label", F.floor(sure * 100).alias("bin"))
     counts = bins.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()  # 4 x 101 rows at most
     limits = {}
     for kind in range(len(KINDS)):
@@ -201,6 +244,5 @@ def _accepted(every: DataFrame) -> DataFrame | None:
     if not limits:
         return None
     limit = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)])[F.col("kind")]
-    apart = every.filter("apart and not strict").withColumn("features", array_to_vector("x"))
-    scored = model.transform(apart).select("h", "kind", "start", "end", sure.alias("p"))
+    scored = model.transform(every.filter("not made")).select("h", "kind", "start", "end", sure.alias("p"))
     return scored.filter(limit.isNotNull() & (F.col("p") >= F.greatest(limit, F.lit(0.5))))
