@@ -1,6 +1,7 @@
 """Operators on hand-made fixtures, against brute force, and with hot keys."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -142,13 +143,37 @@ def test_grid_sizes(spark):
     assert GR.with_grid(batches, drawn, axes).count() == 3 * 472
 
 
-def test_window_counts_by_position_equal_those_by_task(spark):
-    rng = np.random.RandomState(0)
-    docs = docs_of(spark, *[" ".join(rng.choice(list("abcdefgh"), n)) for n in (1, 5, 40, 200)])
-    topics = spark.createDataFrame([(0, w) for w in "abc"] + [(1, w) for w in "cdz"], "topic int, term string")
-    by_task = sorted(map(tuple, CO.window_counts(docs, topics, window=6).collect()))
-    by_position = sorted(map(tuple, CO._counts_by_position(docs, topics, "doc_id", "tokens", 6).collect()))
-    assert by_task == by_position and by_task
+def test_window_and_document_counts_by_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    docs = [[rng.choice(words + [None, "x", "y"]) for _ in range(rng.choice([0, 1, 5, 6, 7, 60]))] for _ in range(40)]
+    topics = [(f"t{t}", w) for t in range(5) for w in rng.sample(words, rng.choice([1, 3, 8]))] + [("far", "unseen"), ("far", "w1")]
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc_id bigint, tokens array<string>")
+    table = spark.createDataFrame(topics, "topic string, term string")
+    want = {}
+    for topic in {t for t, _ in topics}:
+        own = sorted(w for t, w in topics if t == topic)
+        for i, a in enumerate(own):
+            for b in own[i:]:
+                windows = sum({a, b} <= set(d[k : k + 6]) for d in docs for k in range(max(1, len(d) - 5)))
+                held = sum({a, b} <= set(d) for d in docs)
+                if held:
+                    want[topic, a, b] = (windows, held)
+    for block_tokens, rows in ((1 << 20, 1 << 18), (50, 4)):
+        CO.SLICE_ROWS = rows
+        packed = CO.pack_sequences(frame, block_tokens=block_tokens)
+        got = {(r.topic, r.a, r.b): (r.n_windows, r.n_docs) for r in CO.pair_counts(packed, table, 6).collect()}
+        assert got == want
+    CO.SLICE_ROWS = 1 << 18
+    assert CO.total_windows(frame, window=6).first()[0] == CO._totals(packed, 6)[0] and CO._totals(packed, 6)[1] == 40
+
+
+def test_both_measures_from_one_pass(spark):
+    docs = spark.createDataFrame([(i, ["a", "b", "c"][: i % 3 + 1] * 5) for i in range(12)], "doc_id bigint, tokens array<string>")
+    topics = spark.createDataFrame([(t, w, p + 1) for t, ws in ((0, "abc"), (1, "ab")) for p, w in enumerate(ws)], "topic int, term string, place_in_topic int")
+    both = {r.topic: r for r in CO.coherence(docs, topics).collect()}
+    assert both[0].c_v == {r.topic: r.c_v for r in CO.coherence_cv(docs, topics).collect()}[0]
+    assert {(r.topic, r.u_mass, r.place) for r in CO.coherence_umass(docs, topics).collect()} == {(t, r.u_mass, r.place) for t, r in both.items()}
 
 
 def test_umass_by_hand(spark):

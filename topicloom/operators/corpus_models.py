@@ -63,6 +63,30 @@ class Columns:
         return [flat[i : i + self.width] for i in range(0, len(flat), self.width)]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of the batches (with a list column `tokens`) that hold about `block_tokens` tokens together, whole rows only."""
+    held, total = [], 0
+    for batch in batches:
+        sizes = np.cumsum(batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = int(sizes[start - 1]) if start else 0
+            end = max(int(np.searchsorted(sizes, before + block_tokens - total, side="right")), start + 1)
+            held.append(batch.slice(start, end - start))
+            total += int(sizes[end - 1]) - before
+            start = end
+            if total >= block_tokens or start < batch.num_rows:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
+def one_list(values: np.ndarray | pa.Array, kind: pa.DataType) -> pa.ListArray:
+    """All values as the only row of a list column."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
+
+
 def pack(docs: DataFrame, key: str = "doc_id", tokens: str = "tokens", folds: int = 1, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """block, doc_ids, folds, first, ids, counts, terms: one row for each block of documents, written once.
 
@@ -83,35 +107,18 @@ def pack(docs: DataFrame, key: str = "doc_id", tokens: str = "tokens", folds: in
         cells, counts = np.unique(row * max(n, 1) + codes[codes < n], return_counts=True)
         first = np.searchsorted(cells, np.arange(len(sizes) + 1) * max(n, 1))
 
-        def one(values, kind):
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if not isinstance(values, pa.Array) else values)
-
         columns = [
-            one(table.column("doc_id").combine_chunks(), pa.int64()),
-            one(table.column("fold").combine_chunks(), pa.int32()),
-            one(first, pa.int64()),
-            one((cells % max(n, 1)).astype(np.int32), pa.int32()),
-            one(counts.astype(np.int32), pa.int32()),
-            one(words.dictionary.cast(pa.string()), pa.string()),
+            one_list(table.column("doc_id").combine_chunks(), pa.int64()),
+            one_list(table.column("fold").combine_chunks(), pa.int32()),
+            one_list(first, pa.int64()),
+            one_list((cells % max(n, 1)).astype(np.int32), pa.int32()),
+            one_list(counts.astype(np.int32), pa.int32()),
+            one_list(words.dictionary.cast(pa.string()), pa.string()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["doc_ids", "folds", "first", "ids", "counts", "terms"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-        for batch in batches:
-            sizes = np.cumsum(batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            start = 0
-            while start < batch.num_rows:
-                before = int(sizes[start - 1]) if start else 0
-                end = max(int(np.searchsorted(sizes, before + block_tokens - total, side="right")), start + 1)
-                held.append(batch.slice(start, end - start))
-                total += int(sizes[end - 1]) - before
-                start = end
-                if total >= block_tokens or start < batch.num_rows:
-                    yield block(held)
-                    held, total = [], 0
-        if held:
-            yield block(held)
+        yield from map(block, gathered(batches, block_tokens))
 
     return materialize(source.mapInArrow(run, PACKED).withColumn("block", F.monotonically_increasing_id()), "packed")
 

@@ -323,7 +323,7 @@ def per_word_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {WEIGHTS_CTE}, r AS (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS place FROM weights),
-top AS (SELECT topic, term, place FROM r WHERE place <= 10),
+top AS (SELECT topic, term, place FROM r WHERE place <= 20),
 seen AS (SELECT DISTINCT doc_id, topic, term FROM words JOIN top USING (term)),
 d AS (SELECT topic, term, count(*) AS n FROM seen GROUP BY topic, term),
 dd AS (SELECT x.topic, x.term AS a, y.term AS b, count(*) AS n FROM seen x JOIN seen y ON x.doc_id = y.doc_id AND x.topic = y.topic AND x.term <> y.term GROUP BY ALL),
@@ -333,14 +333,14 @@ s AS (SELECT l.topic, avg(ln((coalesce(dd.n, 0) / docs.n + 1e-12) / (d.n / docs.
   LEFT JOIN dd ON dd.topic = l.topic AND dd.a = l.term AND dd.b = e.term CROSS JOIN docs GROUP BY l.topic)
 SELECT topic, round(u_mass, 9) AS u_mass, CAST(row_number() OVER (ORDER BY u_mass DESC, topic) AS INTEGER) AS place FROM s""")
 def rank_topics_umass(spark: SparkSession, sf: str) -> DataFrame:
-    """Languages as topics, ten words each."""
+    """Languages as topics, twenty words each."""
     docs = token_table(spark, sf, "lang")
-    top = G.top_words(language_weights(spark, sf, docs), 10).withColumnRenamed("place", "place_in_topic")
+    top = G.top_words(language_weights(spark, sf, docs), 20).withColumnRenamed("place", "place_in_topic")
     return rounded(CO.coherence_umass(docs, materialize(top, "topics")), 9)
 
 
 CV_TOP = f"""{WEIGHTS_CTE}, r AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS place FROM weights),
-top AS (SELECT topic, term FROM r WHERE place BETWEEN 31 AND 40),
+top AS (SELECT topic, term FROM r WHERE place BETWEEN 31 AND 50),
 pos AS (SELECT doc_id, len(tokens) AS size, generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS term FROM tok),
 hits AS (SELECT doc_id, size, pos, topic, term FROM pos JOIN top USING (term)),
 win AS (SELECT DISTINCT doc_id, topic, term, unnest(generate_series(greatest(0, pos - 109), least(pos, greatest(size - 110, 0)))) AS w FROM hits),
@@ -349,8 +349,8 @@ counts AS (SELECT x.topic, x.term AS a, y.term AS b, count(*) AS n FROM win x
 
 
 def mid_words(spark: SparkSession, sf: str, docs: DataFrame) -> DataFrame:
-    """Languages as topics, words 31 to 40 by weight."""
-    return materialize(G.top_words(language_weights(spark, sf, docs), 40).filter("place > 30").select("topic", "term"), "topics")
+    """Languages as topics, words 31 to 50 by weight."""
+    return materialize(G.top_words(language_weights(spark, sf, docs), 50).filter("place > 30").select("topic", "term"), "topics")
 
 
 @query(f"WITH {CV_TOP} SELECT topic, a, b, n FROM counts")
