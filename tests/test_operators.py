@@ -126,6 +126,25 @@ def test_phrases_merge_left_to_right(spark):
     assert out == {0: ["x_x", "x_y"], 1: ["x_y"], 2: []}
 
 
+def test_merging_by_brute_force(spark):
+    rng = random.Random(9)
+    docs = [[rng.choice("xyz") for _ in range(rng.choice([0, 1, 2, 3, 30]))] for _ in range(60)]
+    for known in ({"x x"}, {"x y", "y x"}, {"x x", "x y", "y z", "z z"}, set()):
+        want = []
+        for tokens in docs:
+            out, i = [], 0
+            while i < len(tokens):
+                step = 2 if " ".join(tokens[i : i + 2]) in known else 1
+                out.append("_".join(tokens[i : i + step]))
+                i += step
+            want.append(out)
+        frame = spark.createDataFrame([(i, d, "k") for i, d in enumerate(docs)], "doc_id bigint, tokens array<string>, pos string")
+        phrases = spark.createDataFrame([(*p.split(), 9) for p in known], "a string, b string, n_ab bigint")
+        merged = PH.merge_phrases(frame, phrases)
+        assert [r.tokens for r in merged.orderBy("doc_id").collect()] == want and merged.columns == frame.columns
+        assert "Python" not in merged._jdf.queryExecution().toString() and "InPandas" not in merged._jdf.queryExecution().toString()
+
+
 def test_empty_tokens_have_no_bag(spark):
     assert D.term_rows(docs_of(spark, ""), ["doc_id"]).count() == 0
     assert C.drop_empty(docs_of(spark, "", "a")).count() == 1

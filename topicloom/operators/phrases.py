@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
@@ -40,33 +37,37 @@ def score_phrases(docs: DataFrame, min_count: int = 5, threshold: float = 10.0,
     return both.withColumn("score", score).filter(F.col("score") > threshold)
 
 
-def _merge(batches: Iterator[pd.DataFrame], at: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        merged = []
-        for tokens, hits in zip(pdf.iloc[:, at], pdf["hits"]):
-            known, out, i = set(hits) if hits is not None else set(), [], 0
-            tokens = list(tokens)
-            while i < len(tokens):
-                pair = " ".join(tokens[i : i + 2])
-                step = 2 if pair in known else 1
-                out.append("_".join(tokens[i : i + step]))
-                i += step
-            merged.append(out)
-        pdf = pdf.drop(columns="hits")
-        pdf.isetitem(at, pd.Series(merged, index=pdf.index, dtype=object))
-        yield pdf
+def chosen_places(hits: DataFrame, key: str) -> DataFrame:
+    """key, at: the places of the phrases that are joined, in order. `hits` has key and pos, the place where a known pair begins.
+
+    Pairs that overlap stand at neighbouring places. Taken from left to right without overlap, every other one of such a run is joined,
+    beginning with its first: places less their rank are equal within a run, and the rank inside it decides.
+    """
+    within_doc = Window.partitionBy(key).orderBy("pos")
+    runs = hits.withColumn("_run", F.col("pos") - F.row_number().over(within_doc))
+    place = F.row_number().over(Window.partitionBy(key, "_run").orderBy("pos"))
+    odd = runs.withColumn("_place", place).filter(F.col("_place") % 2 == 1)
+    return odd.groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("at"))
 
 
 def merge_phrases(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """Rewrite each document, joining phrases with `_`, left to right without overlap.
+    """Rewrite each document, joining phrases with `_`, left to right without overlap. Keys are distinct.
 
-    Only the distinct pairs of a document meet the phrase table, and only the matches travel back to
-    the document. The left-to-right scan has state, so it is an Arrow batch function.
+    Pairs meet the phrase table one by one; only the places of the joined ones travel back to the document, which is then put together
+    from slices of its tokens. No Python runs.
     """
-    pairs = unnest(docs, [key], F.array_distinct(adjacent_pairs(F.col(tokens))), "pair")
+    pairs = unnest(docs, [key], adjacent_pairs(F.col(tokens)), "pair", "pos")
     table = phrases.select(F.concat_ws(" ", "a", "b").alias("pair"), "n_ab")
-    found = spread_join(pairs, table, ["pair"], "n_ab", [key])
-    hits = found.groupBy(key).agg(F.collect_set("pair").alias("hits"))
-    marked = docs.join(hits, key, "left").select(*docs.columns, "hits")
-    at = docs.columns.index(tokens)
-    return marked.mapInPandas(lambda batches: _merge(batches, at), docs.schema)
+    hits = spread_join(pairs, table, ["pair"], "n_ab", [key, "pos"]).select(key, "pos")
+    marked = docs.join(chosen_places(hits, key).withColumnRenamed("at", "_at"), key, "left")
+    words, at, n = F.col(tokens), F.col("_at"), F.size("_at")
+    following = F.concat(F.slice(at, 2, n), F.array(F.size(words)))
+
+    def piece(c: Column) -> Column:
+        """The joined pair at a place and the tokens up to the next place."""
+        pair = F.concat(F.get(words, c["p"]), F.lit("_"), F.get(words, c["p"] + 1))
+        return F.concat(F.array(pair), F.slice(words, c["p"] + 3, F.greatest(c["q"] - c["p"] - 2, F.lit(0))))
+
+    joined = F.flatten(F.transform(F.arrays_zip(at.alias("p"), following.alias("q")), piece))
+    merged = F.when(at.isNull(), words).otherwise(F.concat(F.slice(words, 1, F.get(at, F.lit(0))), joined))
+    return marked.select(*[merged.alias(c) if c == tokens else F.col(c) for c in docs.columns])
