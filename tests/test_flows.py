@@ -4,8 +4,10 @@ import json
 import zipfile
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from topicloom import schemas
+from topicloom.operators import batch_models as B
 from topicloom.operators import grid as GR
 from topicloom.plans import flows
 from topicloom.sources import readers as IN
@@ -31,12 +33,21 @@ def test_training_and_reports(spark, tmp_path):
     grid = GR.product(spark, {"topics": [2, 3], "alpha_str": ["symmetric", "0.31"], "beta_str": ["symmetric"], "type": ["eval", "train"]})
     runs = flows.train_grid(docs, str(tmp_path), grid=grid, batch_size=8, passes=1)
     n = runs.count()
-    drawn = {(r.topics, r.alpha_str) for r in runs.collect()}
-    assert n == len(drawn) * 3  # train batches of 8 and 8, one eval batch of 4
+    drawn = GR.sample_grid(grid, ["topics", "alpha_str", "beta_str", "type"], 75).count()
+    assert n == drawn * 3  # train batches of 8 and 8, one eval batch of 4
     assert dict(runs.dtypes) == schemas.MODEL_RUNS
     assert runs.filter("create_pcoa AND num_documents = %d" % n).count() == n
-    artifacts = spark.read.parquet(str(tmp_path / "artifacts"))
-    assert artifacts.count() == 4 * n
+    artifacts = IN.read_artifacts(spark, str(tmp_path / "artifacts"))
+    assert artifacts.count() == len(schemas.ARTIFACT_KINDS) * n
+    assert {r.kind: r.n for r in spark.read.parquet(str(tmp_path / "artifacts" / "payloads")).groupBy("kind").agg(F.count("*").alias("n")).collect()} == {
+        **dict.fromkeys(("text", "text_json", "corpus"), 3), "dictionary": 1 + (rows[0][1] != rows[1][1]), "lda_model": len({(r.topics, r.alpha_str) for r in runs.collect()}) * 3
+    }
+    again = {r.time_key: r for r in B.stored_scores(artifacts).collect()}
+    assert all(np.isclose(again[r.time_key].convergence, r.convergence, rtol=1e-6) for r in runs.collect()) and len(again) == n
+    models = B.model_rows(artifacts)
+    assert models.select("time_key").distinct().count() == n
+    flags = runs.filter("create_pylda").count()
+    assert flags == n and spark.read.parquet(str(tmp_path / "topic_tables")).select("time_key").distinct().count() == n
     assert IN.load_texts_by_score(runs, artifacts, -2.0).count() == n
     reports = flows.analyse_runs(runs)
     assert reports["explore"].count() >= n

@@ -73,11 +73,10 @@ def train_grid(
     order = runs.columns
     OUT.append_model_runs(R.attach_status(stamped, status).select(*order), f"{out}/runs")
 
-    tokens = batches.groupBy("split", "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("d"))
-    texts = fingerprints.select("split", "batch_id", "text").join(tokens, ["split", "batch_id"])
-    model = F.to_json(F.struct("terms", "weights"))
-    payloads = {"text": F.col("text"), "text_json": F.to_json(F.col("d.tokens")), "lda_model": model, "dictionary": F.to_json("terms")}
-    OUT.save_artifacts(OUT.artifact_rows(keyed.join(texts, ["split", "batch_id"]), payloads), f"{out}/artifacts")
+    # Texts and dictionaries are stored once for all runs of a batch, models once each.
+    shared = OUT.store_payloads(B.batch_payloads(batches), f"{out}/artifacts")
+    OUT.save_references(keyed.select("time_key", "split", "batch_id").join(shared, ["split", "batch_id"]), f"{out}/artifacts")
+    OUT.save_artifacts(OUT.artifact_rows(keyed, {"lda_model": B.model_payload()}), f"{out}/artifacts")
     return IN.read_model_runs(spark, f"{out}/runs")
 
 

@@ -154,7 +154,7 @@ def load_texts_by_score(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "artifacts")
     scored, artifacts = text_artifacts(spark, sf)
     OUT.save_artifacts(artifacts, path)
-    return IN.load_texts_by_score(scored, spark.read.parquet(path), 0.7)
+    return IN.load_texts_by_score(scored, IN.read_artifacts(spark, path, "text"), 0.7)
 
 
 @query("""SELECT md5(CAST(doc_id AS VARCHAR)) AS time_key, 'text' AS kind, text AS payload FROM documents
@@ -162,7 +162,7 @@ UNION ALL SELECT md5(CAST(doc_id AS VARCHAR)), 'dictionary', lang FROM documents
 def save_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "artifacts")
     OUT.save_artifacts(text_artifacts(spark, sf)[1], path)
-    return spark.read.parquet(path).select("time_key", "kind", "payload")
+    return IN.read_artifacts(spark, path)
 
 
 @query()

@@ -113,6 +113,15 @@ def read_runs_delimited(
     return raw.select(*[typed[c].alias(c) for c in columns], error.alias("error"))
 
 
+def read_artifacts(spark: SparkSession, path: str, *kinds: str) -> DataFrame:
+    """time_key, kind, payload of the artifacts of all runs, or of some kinds only."""
+    index = spark.read.schema("time_key string, sha256 string, kind string").parquet(f"{path}/index")
+    payloads = spark.read.schema("sha256 string, payload string, kind string").parquet(f"{path}/payloads")
+    if kinds:
+        index, payloads = (t.filter(F.col("kind").isin(*kinds)) for t in (index, payloads))
+    return index.join(payloads, ["kind", "sha256"]).select("time_key", "kind", "payload")
+
+
 def load_texts_by_score(runs: DataFrame, artifacts: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Texts of the runs whose coherence is above the threshold."""
     good = runs.filter(F.col("coherence") > threshold).select("time_key").distinct()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..runtime import materialize
 from ..functions import text as TX
 
 
@@ -38,9 +40,38 @@ def artifact_rows(runs: DataFrame, payloads: dict[str, Column]) -> DataFrame:
     return runs.select("time_key", F.inline(pairs))
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("sha256 string, payload string, kind string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def store_payloads(rows: DataFrame, path: str) -> DataFrame:
+    """Write each payload once under its hash and return the references: the other columns of `rows` (with kind) and sha256.
+
+    `rows` has kind and payload. Content that `<path>/payloads` holds already is not written again, whichever run it came from; it is partitioned by
+    kind. A null payload is left out.
+    """
+    hashed = materialize(rows.filter("payload is not null").withColumn("sha256", F.sha2("payload", 256)), "payloads")
+    fresh = hashed.select("kind", "sha256", "payload").dropDuplicates(["kind", "sha256"])
+    known = _stored(rows.sparkSession, f"{path}/payloads")
+    if known is not None:
+        fresh = fresh.join(known.select("kind", "sha256"), ["kind", "sha256"], "left_anti")
+    fresh.write.mode("append").partitionBy("kind").parquet(f"{path}/payloads")
+    return hashed.drop("payload")
+
+
 def save_artifacts(artifacts: DataFrame, path: str) -> None:
-    """Partitioned by kind, so one kind is read without the others."""
-    artifacts.write.mode("append").partitionBy("kind").parquet(path)
+    """Store the payloads of (time_key, kind, payload) by content, and what each run refers to in `<path>/index`."""
+    save_references(store_payloads(artifacts, path), path)
+
+
+def save_references(references: DataFrame, path: str) -> None:
+    """Append (time_key, kind, sha256), partitioned by kind. Payloads are stored first: a run never refers to nothing."""
+    references.select("time_key", "sha256", "kind").write.mode("append").partitionBy("kind").parquet(f"{path}/index")
 
 
 def save_runs_table(runs: DataFrame, table: str, path: str | None = None) -> None:
