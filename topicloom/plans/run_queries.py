@@ -29,10 +29,6 @@ def fixed_runs(spark: SparkSession, sf: str) -> DataFrame:
     return R.repair_scores(R.rename_columns(runs(spark, sf)))
 
 
-def train_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return fixed_runs(spark, sf).filter(F.col("type") == TRAIN)
-
-
 # --- projections and filters -----------------------------------------------------------------------------------
 
 
@@ -258,13 +254,15 @@ def keys_consistent(spark: SparkSession, sf: str) -> DataFrame:
 # --- univariate statistics and tables ----------------------------------------------------------------------------
 
 
-@query(f"""WITH {LONG_CTE} SELECT text_sha256, variable, count(value) AS n, round(sum(value), 6) AS sum, round(avg(value), 6) AS mean,
-  round(stddev_samp(value), 6) AS std, round(var_samp(value), 6) AS variance, round(skewness(value), 6) AS skewness,
-  round(kurtosis(value), 6) AS kurtosis, round(sum(value * value), 6) AS uss, round(var_samp(value) * (count(value) - 1), 6) AS css,
-  round(stddev_samp(value) / avg(value) * 100, 6) AS cv, round(stddev_samp(value) / sqrt(count(value)), 6) AS std_error
-FROM v WHERE type = 'F' GROUP BY text_sha256, variable""")
+@query(f"""WITH {LONG_CTE} SELECT type, text_sha256, variable, count(value) AS n, round(1e-9 + sum(value), 6) AS sum, round(1e-9 + avg(value), 6) AS mean,
+  round(1e-9 + stddev_samp(value), 6) AS std, round(1e-9 + var_samp(value), 6) AS variance, round(1e-9 + skewness(value), 6) AS skewness,
+  round(1e-9 + kurtosis(value), 6) AS kurtosis, round(1e-9 + sum(value * value), 6) AS uss, round(1e-9 + var_samp(value) * (count(value) - 1), 6) AS css,
+  round(1e-9 + stddev_samp(value) / avg(value) * 100, 6) AS cv, round(1e-9 + stddev_samp(value) / sqrt(count(value)), 6) AS std_error
+FROM v GROUP BY type, text_sha256, variable""")
 def univariate_moments(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ST.moments(train_runs(spark, sf), ["text_sha256"], VARS))
+    """Values that end exactly in half a unit of the last digit shown are lifted off it, so that both engines round them alike."""
+    moments = ST.moments(fixed_runs(spark, sf), ["type", "text_sha256"], VARS)
+    return rounded(moments.select(*[(F.col(c) + 1e-9).alias(c) if t == "double" else F.col(c) for c, t in moments.dtypes]))
 
 
 def quantile_sql(q: int) -> str:
@@ -273,34 +271,34 @@ def quantile_sql(q: int) -> str:
     return f"(max(CASE WHEN r = {lo} THEN value END) + max(CASE WHEN r = {hi} THEN value END)) / 2 AS p{q}"
 
 
-@query(f"""WITH {LONG_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY text_sha256, variable ORDER BY value) AS r,
-    count(*) OVER (PARTITION BY text_sha256, variable) AS n FROM v WHERE type = 'F'),
-q AS (SELECT text_sha256, variable, {", ".join(quantile_sql(q) for q in ST.QUANTILES)}, max(value) - min(value) AS range FROM r GROUP BY text_sha256, variable),
-c AS (SELECT text_sha256, variable, value, count(*) AS k FROM v WHERE type = 'F' GROUP BY ALL),
-m AS (SELECT text_sha256, variable, value, row_number() OVER (PARTITION BY text_sha256, variable ORDER BY k DESC, value) AS place FROM c)
-SELECT text_sha256, variable, {", ".join(f"round(p{q}, 6) AS p{q}" for q in ST.QUANTILES)}, round(range, 6) AS range, round(p75 - p25, 6) AS iqr, round(m.value, 6) AS mode FROM q JOIN m USING (text_sha256, variable) WHERE m.place = 1""")
+@query(f"""WITH {LONG_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY type, text_sha256, variable ORDER BY value) AS r,
+    count(*) OVER (PARTITION BY type, text_sha256, variable) AS n FROM v),
+q AS (SELECT type, text_sha256, variable, {", ".join(quantile_sql(q) for q in ST.QUANTILES)}, max(value) - min(value) AS range FROM r GROUP BY type, text_sha256, variable),
+c AS (SELECT type, text_sha256, variable, value, count(*) AS k FROM v GROUP BY ALL),
+m AS (SELECT type, text_sha256, variable, value, row_number() OVER (PARTITION BY type, text_sha256, variable ORDER BY k DESC, value) AS place FROM c)
+SELECT type, text_sha256, variable, {", ".join(f"round(p{q}, 6) AS p{q}" for q in ST.QUANTILES)}, round(range, 6) AS range, round(p75 - p25, 6) AS iqr, round(m.value, 6) AS mode FROM q JOIN m USING (type, text_sha256, variable) WHERE m.place = 1""")
 def univariate_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ST.quantiles(train_runs(spark, sf), ["text_sha256"], VARS))
+    return rounded(ST.quantiles(fixed_runs(spark, sf), ["type", "text_sha256"], VARS))
 
 
 @query(f"""WITH {LONG_CTE.replace("type, text_sha256,", "type, text_sha256, l_orderkey,")},
-lo AS (SELECT text_sha256, variable, value, l_orderkey, 'low' AS side, row_number() OVER (PARTITION BY text_sha256, variable ORDER BY value, l_orderkey) AS place FROM v WHERE type = 'F'),
-hi AS (SELECT text_sha256, variable, value, l_orderkey, 'high' AS side, row_number() OVER (PARTITION BY text_sha256, variable ORDER BY value DESC, l_orderkey DESC) AS place FROM v WHERE type = 'F')
-SELECT text_sha256, variable, side, CAST(place AS INTEGER) AS place, round(value, 6) AS value, l_orderkey FROM lo WHERE place <= 5
-UNION ALL SELECT text_sha256, variable, side, CAST(place AS INTEGER), round(value, 6), l_orderkey FROM hi WHERE place <= 5""")
+lo AS (SELECT type, text_sha256, variable, value, l_orderkey, 'low' AS side, row_number() OVER (PARTITION BY type, text_sha256, variable ORDER BY value, l_orderkey) AS place FROM v),
+hi AS (SELECT type, text_sha256, variable, value, l_orderkey, 'high' AS side, row_number() OVER (PARTITION BY type, text_sha256, variable ORDER BY value DESC, l_orderkey DESC) AS place FROM v)
+SELECT type, text_sha256, variable, side, CAST(place AS INTEGER) AS place, round(value, 6) AS value, l_orderkey FROM lo WHERE place <= 5
+UNION ALL SELECT type, text_sha256, variable, side, CAST(place AS INTEGER), round(value, 6), l_orderkey FROM hi WHERE place <= 5""")
 def univariate_extremes(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ST.extremes(train_runs(spark, sf), ["text_sha256"], VARS, "l_orderkey"))
+    return rounded(ST.extremes(fixed_runs(spark, sf), ["type", "text_sha256"], VARS, "l_orderkey"))
 
 
-@query(f"""WITH {LONG_CTE}, s AS (SELECT text_sha256, variable, count(*) AS n, avg(value) / (stddev_samp(value) / sqrt(count(*))) AS t,
-    CAST(count(*) FILTER (value > 0) - count(*) FILTER (value < 0) AS DOUBLE) / 2 AS m FROM v WHERE type = 'F' GROUP BY text_sha256, variable),
-r AS (SELECT text_sha256, variable, value, rank() OVER w + (count(*) OVER (PARTITION BY text_sha256, variable, abs(value)) - 1) / 2 AS avg_rank,
-    count(*) OVER (PARTITION BY text_sha256, variable) AS nt FROM v WHERE type = 'F' AND value <> 0
-    WINDOW w AS (PARTITION BY text_sha256, variable ORDER BY abs(value))),
-g AS (SELECT text_sha256, variable, sum(CASE WHEN value > 0 THEN avg_rank ELSE 0 END) - max(nt) * (max(nt) + 1) / 4 AS sr FROM r GROUP BY text_sha256, variable)
-SELECT text_sha256, variable, n, round(t, 6) AS student_t, m AS sign_m, round(coalesce(sr, 0), 6) AS signed_rank_s FROM s LEFT JOIN g USING (text_sha256, variable)""")
+@query(f"""WITH {LONG_CTE}, s AS (SELECT type, text_sha256, variable, count(*) AS n, avg(value) / (stddev_samp(value) / sqrt(count(*))) AS t,
+    CAST(count(*) FILTER (value > 0) - count(*) FILTER (value < 0) AS DOUBLE) / 2 AS m FROM v GROUP BY type, text_sha256, variable),
+r AS (SELECT type, text_sha256, variable, value, rank() OVER w + (count(*) OVER (PARTITION BY type, text_sha256, variable, abs(value)) - 1) / 2 AS avg_rank,
+    count(*) OVER (PARTITION BY type, text_sha256, variable) AS nt FROM v WHERE value <> 0
+    WINDOW w AS (PARTITION BY type, text_sha256, variable ORDER BY abs(value))),
+g AS (SELECT type, text_sha256, variable, sum(CASE WHEN value > 0 THEN avg_rank ELSE 0 END) - max(nt) * (max(nt) + 1) / 4 AS sr FROM r GROUP BY type, text_sha256, variable)
+SELECT type, text_sha256, variable, n, round(t, 6) AS student_t, m AS sign_m, round(coalesce(sr, 0), 6) AS signed_rank_s FROM s LEFT JOIN g USING (type, text_sha256, variable)""")
 def univariate_location(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ST.location_tests(train_runs(spark, sf), ["text_sha256"], VARS))
+    return rounded(ST.location_tests(fixed_runs(spark, sf), ["type", "text_sha256"], VARS))
 
 
 @query(f"""WITH {RUNS_CTE}, g AS (SELECT text_sha256, CASE WHEN coherence > 0 THEN coherence END AS coherence, CASE WHEN topics < 7 THEN perplexity END AS perplexity FROM runs)
@@ -329,16 +327,14 @@ SELECT {g}, {row}, {col}, kind, CAST(f AS BIGINT) AS frequency, round(CAST(f AS
   round(CAST(f AS DOUBLE) * 100 / r, 6) AS row_pct, round(CAST(f AS DOUBLE) * 100 / k, 6) AS col_pct FROM everything"""
 
 
-@query(f"WITH {RUNS_CTE}, {crosstab_sql(['text_sha256'], 'alpha_str', 'beta_str', 'type = ' + repr(TRAIN))}")
+@query(f"WITH {RUNS_CTE}, {crosstab_sql(['type', 'text_sha256'], 'alpha_str', 'beta_str', 'true')}")
 def crosstab_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = runs(spark, sf).filter(F.col("type") == TRAIN)
-    return rounded(ST.crosstab(rows, ["text_sha256"], "alpha_str", "beta_str"))
+    return rounded(ST.crosstab(runs(spark, sf), ["type", "text_sha256"], "alpha_str", "beta_str"))
 
 
-@query(f"WITH {RUNS_CTE}, {crosstab_sql(['text_sha256'], 'n_alpha', 'n_beta', 'type = ' + repr(EVAL))}")
+@query(f"WITH {RUNS_CTE}, {crosstab_sql(['type', 'text_sha256'], 'n_alpha', 'n_beta', 'true')}")
 def crosstab_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = runs(spark, sf).filter(F.col("type") == EVAL)
-    return rounded(ST.crosstab(rows, ["text_sha256"], "n_alpha", "n_beta"))
+    return rounded(ST.crosstab(runs(spark, sf), ["type", "text_sha256"], "n_alpha", "n_beta"))
 
 
 @query(f"WITH {RUNS_CTE}, {crosstab_sql(['type', 'text_sha256', 'topics'], 'alpha_str', 'beta_str', 'true')}")

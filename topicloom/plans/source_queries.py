@@ -115,11 +115,11 @@ def read_yearly_tokenized(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("year").agg(F.count("*").alias("n_documents"), F.sum(F.size("tokens")).alias("n_tokens"))
 
 
-@query(f"WITH {RUNS_CTE} SELECT type, topics, n_alpha, coherence, l_orderkey FROM runs WHERE topics = 3")
+@query(f"WITH {RUNS_CTE} SELECT type, topics, n_alpha, coherence, l_orderkey FROM runs")
 def read_model_runs(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "runs")
     runs(spark, sf).write.parquet(path)
-    return IN.read_model_runs(spark, path).filter("topics = 3").select("type", "topics", "n_alpha", "coherence", "l_orderkey")
+    return IN.read_model_runs(spark, path).select("type", "topics", "n_alpha", "coherence", "l_orderkey")
 
 
 DELIMITED = {"_index": "string", "type": "string", "topics": "int", "coherence": "double", "n_alpha": "double"}
@@ -224,12 +224,12 @@ def append_model_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {TOK_CTE} SELECT CAST(doc_id AS VARCHAR) AS time_key, lang AS type, CAST(len(tokens) AS INTEGER) AS topics,
-  CASE len(tokens) WHEN 0 THEN '[[]]' ELSE '[["' || array_to_string(list_slice(tokens, 1, 3), '","') || '"]]' END AS top_words FROM tok""")
+  CASE len(tokens) WHEN 0 THEN '[[]]' ELSE '[["' || array_to_string(tokens, '","') || '"]]' END AS top_words FROM tok""")
 def export_runs_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     rows = documents(spark, sf, "lang").select(
         F.col("doc_id").cast("string").alias("time_key"), F.col("lang").alias("type"), F.size("tokens").alias("topics"),
-        F.array(F.slice("tokens", 1, 3)).alias("top_words"),
+        F.array("tokens").alias("top_words"),
     )
     OUT.export_runs_csv(rows, path)
     kinds = {"time_key": "string", "type": "string", "topics": "int", "top_words": "string"}

@@ -109,13 +109,13 @@ def bow_to_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {WORDS_CTE} SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df
-FROM words WHERE lang = 'en' GROUP BY term""")
+FROM words GROUP BY term""")
 def count_vectorize(spark: SparkSession, sf: str) -> DataFrame:
-    """Document-term matrix of the English documents, read back as column sums."""
+    """Document-term matrix of all documents, read back as column sums."""
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    docs = token_table(spark, sf, lang="en")
+    docs = token_table(spark, sf)
     dictionary = materialize(D.build_dictionary(docs), "dictionary")
     sums = D.count_vectorize(docs, dictionary).agg(Summarizer.metrics("sum", "numNonZeros").summary(F.col("features")).alias("s"))
     zipped = F.arrays_zip(vector_to_array("s.sum").alias("cf"), vector_to_array("s.numNonZeros").alias("df"))
@@ -139,11 +139,10 @@ def add_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {WORDS_CTE}, c AS (SELECT term, count(*) AS n FROM words GROUP BY term),
 ids AS (SELECT term, n, row_number() OVER (ORDER BY term) - 1 AS term_id FROM c)
-SELECT term_id, term, CAST(n AS BIGINT) AS cf FROM ids WHERE n >= 10""")
+SELECT term_id, term, CAST(n AS BIGINT) AS cf FROM ids""")
 def ids_to_terms(spark: SparkSession, sf: str) -> DataFrame:
     dictionary = materialize(D.build_dictionary(documents(spark, sf)), "dictionary")
-    frequent = dictionary.filter("cf >= 10").select("term_id", "cf")
-    return D.ids_to_terms(frequent, dictionary).select("term_id", "term", "cf")
+    return D.ids_to_terms(dictionary.select("term_id", "cf"), dictionary).select("term_id", "term", "cf")
 
 
 PAIRS_CTE = f"""{WORDS_CTE}, pos AS (SELECT doc_id, generate_subscripts(tokens, 1) AS i, unnest(tokens) AS term FROM tok),
@@ -252,20 +251,45 @@ def prefix_texts(spark: SparkSession, sf: str) -> DataFrame:
     return C.prefix_rows(docs)
 
 
-@query(f"""WITH {WORDS_CTE}, d AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM words GROUP BY term),
-pos AS (SELECT doc_id, generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS token FROM tok)
-SELECT doc_id, CAST(pos AS INTEGER) AS pos, token, embedding IS NOT NULL AS found,
-  round(coalesce(CAST(embedding[1] AS DOUBLE), 0), 6) AS first_value
-FROM pos JOIN d ON d.term = pos.token LEFT JOIN embeddings ON vec_id = term_id * 7""")
-def embed_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """The vector of every seventh dictionary word stands for a word vector; other words get zeros."""
+# Vectors by word: dictionary ids go round the table of embeddings, of each round the last UNKNOWN words have none.
+UNKNOWN = 50
+EMBED_CTE = f"""{WORDS_CTE}, d AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM words GROUP BY term),
+size AS (SELECT count(*) + {UNKNOWN} AS n FROM embeddings),
+pos AS (SELECT doc_id, generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS token FROM tok),
+e AS (SELECT vec_id, embedding FROM embeddings),
+placed AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, token, embedding IS NOT NULL AS found,
+  coalesce(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)), 0) AS checksum
+  FROM pos JOIN d ON d.term = pos.token CROSS JOIN size LEFT JOIN e ON vec_id = term_id % n)"""
+
+
+def embedded(spark: SparkSession, sf: str) -> DataFrame:
     docs = token_table(spark, sf)
-    dictionary = D.build_dictionary(docs).withColumn("vec_id", F.col("term_id") * 7)
-    vectors = table(spark, sf, "embeddings").join(dictionary, "vec_id").select(
-        F.col("term").alias("token"), F.col("embedding").alias("vector"), F.col("cf").alias("n")
-    )
-    rows = D.embed_tokens(docs, materialize(vectors, "vectors"), 64)
-    return rows.select("doc_id", "pos", "token", "found", F.round(F.get("vector", F.lit(0)), 6).alias("first_value"))
+    embeddings = table(spark, sf, "embeddings", "vec_id", "embedding")
+    dictionary = D.build_dictionary(docs).withColumn("vec_id", F.col("term_id") % (embeddings.count() + UNKNOWN))
+    vectors = dictionary.join(embeddings, "vec_id").select(F.col("term").alias("token"), F.col("embedding").alias("vector"), F.col("cf").alias("n"))
+    return D.embed_tokens(docs, materialize(vectors, "vectors"), 64)
+
+
+def checksum(vector):
+    """Every element of a vector counts, by its place."""
+    weighted = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
+
+
+@query(f"WITH {EMBED_CTE} SELECT doc_id, pos, token, found, round(checksum, 4) AS checksum FROM placed")
+def embed_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole vector of each token, as a checksum; unknown words get zeros."""
+    return embedded(spark, sf).select("doc_id", "pos", "token", "found", F.round(checksum(F.col("vector")), 4).alias("checksum"))
+
+
+@query(f"""WITH {EMBED_CTE} SELECT doc_id, CAST(count(*) AS INTEGER) AS n_vectors, round(sum(checksum * (pos + 1)), 2) AS checksum
+FROM placed GROUP BY doc_id""")
+def stack_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors of each document in token order, as a checksum over places and elements."""
+    stacked = D.stack_vectors(embedded(spark, sf))
+    by_place = F.transform("vectors", lambda v, i: checksum(v) * (i + 1))
+    total = F.aggregate(by_place, F.lit(0.0), lambda a, x: a + x)
+    return stacked.select("doc_id", F.size("vectors").alias("n_vectors"), F.round(total, 2).alias("checksum"))
 
 
 # Topic stand-in: the languages, with the words' counts as topic weights.
@@ -419,14 +443,14 @@ def words_from_topic_string(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(TX.words_in_double_quotes(F.col("topic")), " ").alias("words"))
 
 
-TOPWORDS_CTE = TOK_CTE + """, few AS (SELECT doc_id, lang, list_slice(tokens, 1, 4) AS t FROM tok),
+TOPWORDS_CTE = TOK_CTE + """, few AS (SELECT doc_id, lang, tokens AS t FROM tok),
 printed AS (SELECT doc_id, '[[''' || coalesce(array_to_string(t, ''', '''), '') || '''], [''' || lang || '_' || lang || ''']]' AS top_words FROM few)"""
 
 
 def printed_topwords(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, top_words: the first four tokens of each document and a two-part word, printed as a list of lists."""
+    """doc_id, top_words: the tokens of each document and a two-part word, printed as a list of lists."""
     docs = documents(spark, sf, "lang")
-    lists = F.array(F.slice("tokens", 1, 4), F.array(F.concat_ws("_", "lang", "lang")))
+    lists = F.array("tokens", F.array(F.concat_ws("_", "lang", "lang")))
     return docs.select("doc_id", TX.printed_word_lists(lists).alias("top_words"))
 
 
