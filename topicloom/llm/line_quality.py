@@ -50,7 +50,7 @@ def line_fails(line: Column) -> Column:
     symbols = count_chars(line, SYMBOLS) * 10 > F.length(line)
     endless = (words >= PLAIN_WORDS) & ~line.rlike(ENDS) & ~line.rlike(NO_ENDS)
     # Menu words are taken out one by one: a pattern for the whole line would need a stack as deep as the line is long.
-    of_menu = line.rlike("(?iu)" + MENU_WORDS)
+    of_menu = ~line.rlike("[.!?;:]") & line.rlike("(?iu)" + MENU_WORDS)  # none of these marks is part of a menu; prose is told by them early
     only_menu = of_menu & (F.length(F.regexp_replace(line, f"(?iu){MENU_WORDS}|{MENU_SEPARATORS}", "")) == 0)
     navigation = ((separators >= 3) & (separators * 5 >= words)) | only_menu
     capitals, letters = (F.regexp_count(line, F.lit(x)) for x in (r"\p{Lu}", r"\p{L}"))  # a script without case is no shouting

@@ -8,7 +8,7 @@ a longer text is a piece of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +173,77 @@ def bitmap(df: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     return flags
 
 
+HELD_KEYS = 1 << 22  # keys that a task sorts at once
+CHUNK = 16  # keys of one chunk of the key space differ in so many bits
+
+
+def repeated_flags(source: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], space: int, bits: int) -> np.ndarray:
+    """A filter like that of `bitmap`, with the flags of all keys that `keys_of` yields twice or more.
+
+    Keys are compared by their low `space` bits: a key found once may be taken for a repeated one if that space is full, never the other way
+    round. Tasks send the places that are set in each chunk of the space, two bytes a key, and a task that merges holds the flags of one chunk. The driver
+    gets 2^bits / 8 bytes.
+    """
+    classes = (1 << (bits - CHUNK)) - 1
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        fresh = np.ones(len(keys), dtype=bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        once, again = keys[fresh], np.unique(keys[~fresh])
+        blocks, heads = np.unique(once >> np.uint64(CHUNK), return_index=True)
+
+        def places(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+            offsets = np.append(starts, len(values)).astype(np.int32) * 2
+            return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer((values & np.uint64(0xFFFF)).astype("<u2").tobytes())])
+
+        found = np.searchsorted(again >> np.uint64(CHUNK), blocks)
+        columns = [pa.array((blocks & np.uint64(classes)).astype(np.int64)), pa.array(blocks.astype(np.int64)), places(once, heads), places(again, found)]
+        return pa.RecordBatch.from_arrays(columns, ["class", "block", "once", "again"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for keys in keys_of(batches):
+            held.append(keys & np.uint64((1 << space) - 1))
+            total += len(keys)
+            if total >= HELD_KEYS:
+                yield packed(held)
+                held, total = [], 0
+        if total:
+            yield packed(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, block = None, None
+        seen, twice = np.zeros(1 << CHUNK, dtype=bool), np.zeros(1 << CHUNK, dtype=bool)
+
+        def done() -> pa.RecordBatch:
+            flags = np.packbits(twice, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([here], pa.int64()), pa.array([flags], pa.binary())], ["class", "flags"])
+
+        for batch in batches:
+            for own, b, once, again in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if own != here and here is not None:
+                    yield done()
+                    twice[:] = False
+                if b != block:
+                    seen[:] = False
+                here, block = own, b
+                at = np.frombuffer(once, dtype="<u2")
+                twice[at[seen[at]]] = True
+                seen[at] = True
+                twice[np.frombuffer(again, dtype="<u2")] = True
+        if here is not None:
+            yield done()
+
+    parts = source.mapInArrow(count, "class long, block long, once binary, again binary")
+    merged = parts.repartition("class").sortWithinPartitions("class", "block").mapInArrow(merge, "class long, flags binary")
+    flags = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    size = (1 << CHUNK) // 8
+    for row in merged.collect():
+        flags[row["class"] * size : (row["class"] + 1) * size] = np.frombuffer(bytes(row.flags), dtype=np.uint8)
+    return flags
+
+
 def may_contain(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     low = hashes.astype(np.uint64, copy=False) & np.uint64(len(flags) * 8 - 1)
     return (flags[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
