@@ -1,5 +1,6 @@
 """Readers and writers on small files."""
 
+import datetime as dt
 import json
 import zipfile
 
@@ -79,14 +80,26 @@ def test_streams_resume_without_double_counting(spark, tmp_path):
     assert got == {"a": (6, 6), "b": (3, 3)}
 
 
-def test_run_rows_are_appended_once(spark, tmp_path):
+def test_run_rows_are_appended_once_and_the_state_shrinks(spark, tmp_path):
     paths = [str(tmp_path / p) for p in ("in", "out", "state")]
-    schema = "time_key string, topics int"
-    for rows in ([("k1", 1), ("k2", 1)], [("k2", 1), ("k3", 1)]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(paths[0])
+    schema = "time_key string, topics int, time timestamp"
+    day = [dt.datetime(2024, 1, d) for d in range(1, 30)]
+    many = [(f"m{i}", i, day[2]) for i in range(50)]
+    kept = []
+    for rows in (
+        [("k1", 1, day[0]), ("k2", 2, day[0]), ("none", 9, None)],
+        [("k2", 2, day[0]), ("k3", 3, day[1]), *many],
+        [("k3", 3, day[1]), *many[:20], ("k4", 4, day[20])],
+        [("late", 5, day[0]), ("k4", 4, day[20]), ("k5", 5, day[20])],
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(paths[0])
         arriving = spark.readStream.schema(schema).parquet(paths[0])
-        streams.stream_run_append(arriving, paths[1], paths[2]).awaitTermination()
-    assert sorted(r.time_key for r in spark.read.parquet(paths[1]).select("time_key").collect()) == ["k1", "k2", "k3"]
+        query = streams.stream_run_append(arriving, paths[1], paths[2], delay="3 days")
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r.time_key, r.topics, r.time) for r in streams.appended_runs(spark, paths[1]).collect())
+    assert got == sorted([("k1", 1, day[0]), ("k2", 2, day[0]), ("k3", 3, day[1]), *many, ("k4", 4, day[20]), ("k5", 5, day[20])])
+    assert max(kept) >= 50 and kept[-1] <= 3
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):

@@ -284,15 +284,17 @@ def stream_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return streams.current_dictionary(spark.read.parquet(root + "/out"))
 
 
-@query("""SELECT md5(CAST(event_id % 5000 AS VARCHAR)) AS time_key, count(DISTINCT event_id % 5000) AS n FROM events GROUP BY 1""")
+@query("""SELECT md5(CAST(event_id AS VARCHAR)) AS time_key, event_type AS type, value AS coherence, user_id, CAST(epoch_us(ts) AS BIGINT) AS time_us FROM events""")
 def stream_run_append(spark: SparkSession, sf: str) -> DataFrame:
-    """Events arrive as run rows with repeated keys; each key is appended once."""
+    """Events arrive as run rows, each of them twice; every row is appended once with all its columns."""
     root = scratch_path(spark, "stream")
-    rows = table(spark, sf, "events").select(F.md5((F.col("event_id") % 5000).cast("string")).alias("time_key"), "event_type")
-    rows.repartition(6).write.parquet(root + "/in")
+    key = F.md5(F.col("event_id").cast("string"))
+    rows = table(spark, sf, "events").select(key.alias("time_key"), F.col("event_type").alias("type"), F.col("value").alias("coherence"), "user_id", F.col("ts").cast("timestamp").alias("time"))
+    rows.union(rows).repartition(6).write.parquet(root + "/in")
     arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(root + "/in")
-    streams.stream_run_append(arriving, root + "/out", root + "/state").awaitTermination()
-    return spark.read.parquet(root + "/out").groupBy("time_key").agg(F.count("*").alias("n"))
+    # The files are not in order of time, so the delay spans them all.
+    streams.stream_run_append(arriving, root + "/out", root + "/state", delay="36500 days").awaitTermination()
+    return streams.appended_runs(spark, root + "/out").withColumn("time_us", F.unix_micros("time")).drop("time")
 
 
 @query(f"""WITH {BATCH_CTE} SELECT split, batch_id, CAST(count(*) AS BIGINT) AS n FROM batches GROUP BY split, batch_id""")

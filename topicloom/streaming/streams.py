@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,20 +36,31 @@ def current_dictionary(versions: DataFrame) -> DataFrame:
     return versions.groupBy("term").agg(last).select("term", "_l.cf", "_l.df")
 
 
-def stream_run_append(runs: DataFrame, path: str, checkpoint: str, key: str = "time_key") -> StreamingQuery:
-    """Append arriving run rows; a key seen before is dropped, also after a restart.
+def stream_run_append(
+    runs: DataFrame, path: str, checkpoint: str, key: str = "time_key", time: str = "time", delay: str = "1 day"
+) -> StreamingQuery:
+    """Append arriving run rows, all columns as they are; a key that comes again is dropped, also after a restart.
 
-    Keys seen are kept in the state store (one small row per run).
+    The state holds the keys of the last `delay` of event time only: a run row is told again soon or not at all. Rows older than
+    the watermark, the latest time seen less `delay`, are late and left out. Rows without a time have no place in that order and are left out,
+    too. A micro-batch that is repeated after a failure overwrites its own folder.
     """
 
     def write(fresh: DataFrame, version: int) -> None:
         fresh.write.mode("overwrite").parquet(f"{path}/batch={version}")
 
     return (
-        runs.dropDuplicates([key])
+        runs.filter(F.col(time).isNotNull())
+        .withWatermark(time, delay)
+        .dropDuplicatesWithinWatermark([key])
         .writeStream.outputMode("append")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def appended_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows appended so far."""
+    return spark.read.parquet(path).drop("batch")
