@@ -40,10 +40,13 @@ FURNITURE = frozenset(
 )
 # A class name that has one of these besides a furniture word speaks of the page's layout or of an article's own heading.
 LAYOUT = frozenset("with without no not has is open closed enabled disabled on off article entry post story".split())
-FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
+FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog menu menubar navigation search".split())
 LINKED_PART = 10  # an enclosing container may add one character of link text for so many of running text
 SPACE = re.compile(r"\s+")
 WORD = re.compile("[a-z]+")
+DIGITS = re.compile(r"\d+")
+ATTRIBUTES = frozenset(["class", "id", "role", "hidden", "aria-hidden"])
+NO_VALUES: dict[str, str] = {}
 DEEPEST_OPEN = 64  # open elements looked at for one whose end tag is left out
 
 
@@ -56,6 +59,22 @@ def is_furniture(names: str) -> bool:
     return False
 
 
+KNOWN: dict[str, tuple[bool, str]] = {}  # names seen before, as pages of a site share theirs; emptied at MOST_KNOWN
+MOST_KNOWN = 1 << 14
+
+
+def names_of(names: str) -> tuple[bool, str]:
+    """Whether a class or id attribute is that of furniture, and its names as a part of a path, without digits."""
+    found = KNOWN.get(names)
+    if found is None:
+        classes = ".".join(sorted({DIGITS.sub("#", c) for c in names.split()}))
+        found = is_furniture(names), f".{classes}" if classes else ""
+        if len(KNOWN) >= MOST_KNOWN:
+            KNOWN.clear()
+        KNOWN[names] = found
+    return found
+
+
 class Page(HTMLParser):
     """One reading of a page: the text blocks outside page furniture, each with the innermost container that is open around it.
 
@@ -88,7 +107,13 @@ class Page(HTMLParser):
         kept = [i for i, f in enumerate(self.in_form) if not f or inside > outside]
         self.blocks, self.links, self.inner = ([x[i] for i in kept] for x in (self.blocks, self.links, self.inner))
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Nobody asks for line numbers."""
+        return j
+
     def end_block(self) -> None:
+        if not self.parts:
+            return
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             self.blocks.append(text)
@@ -131,14 +156,15 @@ class Page(HTMLParser):
                 break
         if tag in BLOCKS or tag == "form":
             self.end_block()
-        values = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")}
+        values = {k: (v or "").lower() for k, v in attrs if k in ATTRIBUTES} if attrs else NO_VALUES
+        furniture, classes = names_of(values["class"]) if "class" in values else (False, "")
         above = self.stack[-1] if self.stack else ("", 0, False, -1, False, -1)
         skipped = above[2] or (tag in SKIPPED and not (tag == "header" and (self.open["article"] or self.open["main"])))
         if not skipped and tag not in ("html", "body", "article", "main"):
-            skipped = is_furniture(values.get("class", "")) or is_furniture(values.get("id", ""))
-        skipped = skipped or (values.get("role") in FURNITURE_ROLES - {"form"}) or "hidden" in values or values.get("aria-hidden") == "true"
-        classes = ".".join(sorted(set(re.sub(r"\d+", "#", c) for c in values.get("class", "").split())))
-        label = f"/{tag}" + (f".{classes}" if classes else "")
+            skipped = furniture or ("id" in values and names_of(values["id"])[0])
+        if values and not skipped:
+            skipped = values.get("role") in FURNITURE_ROLES or "hidden" in values or values.get("aria-hidden") == "true"
+        label = f"/{tag}{classes}"
         path = xxhash.xxh64_intdigest(label, seed=above[1])
         container = above[3]
         self.elements.append((above[5], label))
