@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import zipfile
 
 import pytest
@@ -69,6 +70,25 @@ def test_runs_csv_schema_has_28_columns():
     assert len(schemas.RUNS_CSV) == 28 and len(schemas.RUNS_CSV_OLD) == 22 and len(schemas.CORPUS_COLUMNS) == 23
 
 
+def test_one_array_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(6)
+    odd = ["a", "],", '"],', "\\\\", 'x\\"]', "[", "é", "", "],[", "\\n]"]
+    lists = [[rng.choice(odd) for _ in range(rng.randrange(9))] for _ in range(400)]
+    texts = {"compact.json": json.dumps(lists), "tight.json": json.dumps(lists, separators=(",", ":")), "wide.json": json.dumps(lists, indent=2) + "\n", "apart.json": json.dumps(lists).replace("], [", "] , [") if not any("], [" in w for x in lists for w in x) else "[]", "one.json": json.dumps(lists[:1]), "none.json": "[]\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        assert spark.read.text(str(tmp_path / "wide.json"), lineSep="],").rdd.getNumPartitions() > 4
+        rows = IN.read_token_array(spark, str(tmp_path)).orderBy("file", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, text in texts.items():
+        own = [r for r in rows if r.file == name]
+        assert [list(r.tokens) for r in own] == json.loads(text) and [r.pos for r in own] == list(range(len(own))), name
+
+
 def test_streams_resume_without_double_counting(spark, tmp_path):
     docs = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a"]) for i in range(6)], "doc_id bigint, tokens array<string>")
     paths = [str(tmp_path / p) for p in ("in", "out", "state")]

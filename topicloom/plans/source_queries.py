@@ -100,6 +100,25 @@ def read_tokenized(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.md5(TX.join_tokens(F.col("tokens"))).alias("joined_md5"), F.size("tokens").alias("n_tokens"))
 
 
+def _one_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a partition as the lines of one JSON array."""
+    start = "["
+    for pdf in batches:
+        for value in pdf["value"]:
+            yield pd.DataFrame({"value": [start + value]})
+            start = ","
+    yield pd.DataFrame({"value": ["[]" if start == "[" else "]"]})
+
+
+@query(f"""WITH {TOK_CTE} SELECT md5(array_to_string(tokens, ' ')) AS joined_md5, CAST(len(tokens) AS INTEGER) AS n_tokens FROM tok""")
+def read_token_array(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in files of one array each, read by byte ranges."""
+    path = scratch_path(spark, "arrays")
+    docs = documents(spark, sf).select(F.to_json("tokens").alias("value"))
+    docs.mapInPandas(_one_array, "value string").write.text(path)
+    return IN.read_token_array(spark, path).select(F.md5(TX.join_tokens(F.col("tokens"))).alias("joined_md5"), F.size("tokens").alias("n_tokens"))
+
+
 @query("SELECT count(*) AS n_documents FROM documents")
 def count_records(spark: SparkSession, sf: str) -> DataFrame:
     return IN.count_records(table(spark, sf, "documents"))
