@@ -17,7 +17,7 @@ from ..functions import text as TX
 from ..operators import corpus as C
 from ..operators import runs as R
 from ..operators import splits as S
-from ..runtime import scratch_path
+from ..runtime import scratch_path, spread
 from ..sources import readers as IN
 from ..sources import writers as OUT
 from ..streaming import streams
@@ -68,21 +68,22 @@ def read_corpus_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _zip_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pages of a batch as one archive for each collection; a url that comes again goes to another archive."""
     for pdf in batches:
         packed = []
-        for url, html, name in zip(pdf["url"], pdf["html"], pdf["name"]):
+        for (name, _), part in pdf.groupby(["name", pdf.groupby(["name", "url"]).cumcount()]):
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr(f"{name}.json", json.dumps({url: html}, ensure_ascii=False))
-            packed.append(buffer.getvalue())
-        yield pd.DataFrame({"path": pdf["name"], "content": packed})
+                archive.writestr(f"{name}.json", json.dumps(dict(zip(part["url"], part["html"])), ensure_ascii=False))
+            packed.append((name, buffer.getvalue()))
+        yield pd.DataFrame(packed, columns=["path", "content"])
 
 
 @query("""SELECT url, 'html' AS fmt, CASE page_id % 2 WHEN 0 THEN 'mmwr_art_en' ELSE 'pcd_art_fr' END AS collection, html AS content FROM pages""")
 def read_collections(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page as a zipped JSON collection, unpacked again."""
+    """All pages as zipped JSON collections, unpacked again."""
     name = F.when(F.col("page_id") % 2 == 0, "mmwr_art_en_html").otherwise("pcd_art_fr_html")
-    archives = table(spark, sf, "pages").select("url", "html", name.alias("name")).mapInPandas(_zip_pages, "path string, content binary")
+    archives = spread(table(spark, sf, "pages").select("url", "html", name.alias("name"))).mapInPandas(_zip_pages, "path string, content binary")
     return IN.unzip_collections(archives).select("url", "fmt", "collection", "content")
 
 
