@@ -254,3 +254,15 @@ def test_pipeline_stages_keep_the_columns(spark, sf):
 @pytest.mark.parametrize("number", range(1, 11))
 def test_one_query_for_each_operator(number):
     assert len([q for q in entry.queries() if q.startswith(f"op{number}_")]) == 1
+
+
+def test_repeated_and_long_labelled_documents_are_bounded(spark, monkeypatch):
+    from topicloom.llm import mil_quality
+
+    monkeypatch.setattr(mil_quality, "TRAINING_DOCS", 20)
+    taken = []
+    monkeypatch.setattr(mil_quality.AttentionModel, "fit", lambda self, bags, labels, seed: taken.append([len(b) for b in bags]))
+    texts = [(1, LONG)] * 30 + [(2, prose(i, 100)) for i in range(40)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    train(documents(spark, texts), labels, "doc_id", "text", "quality")
+    assert len(taken[0]) == 20 and max(taken[0]) <= mil_quality.TRAINING_PASSAGES

@@ -2,8 +2,8 @@
 
 A document is a bag of passages of 64 words. A passage is encoded by its hashed words and by figures of its own (characters, repeats, line ends);
 a gated attention, tanh(V h) * sigmoid(U h), weighs the passages; the weighted sum of their hidden vectors is scored. All weights
-are learned from document labels. Training uses a bounded sample, TRAINING_DOCS whole labelled documents; scoring covers all passages of all
-documents.
+are learned from document labels. Training uses a bounded sample, TRAINING_DOCS labelled documents and of each TRAINING_PASSAGES passages, evenly
+spread over the text; scoring covers all passages of all documents.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from .textbytes import Hasher, Words, ascii_lower, blank_separated, pieces, runn
 
 SEED = 9
 TRAINING_DOCS = 3000  # bound of the sample: labelled documents with the smallest hash of their id
+TRAINING_PASSAGES = 128  # bound of a labelled document's passages
 PASSAGE_WORDS = 64
 SLOTS = 48
 HIDDEN, GATE = 24, 12
@@ -126,18 +127,26 @@ class AttentionModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> AttentionModel | None:
-    """A model from a bounded sample, or None if no labelled document is found. An id with several labels has the greatest."""
+    """A model from a bounded sample, or None if no labelled document is found.
+
+    An id with several labels has the greatest. Repeated rows count once; of an id with several texts each counts, within the bound.
+    """
     marked = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
     marked = marked.groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).alias("label"))
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(TRAINING_DOCS)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "id")
+    once = texts.withColumn("order", F.xxhash64("id", "text")).dropDuplicates(["id", "order"])
+    texts = once.orderBy("order", "id").limit(TRAINING_DOCS).select("id", "text", "label")
+
+    def spread(first: int, last: int) -> np.ndarray:
+        return np.unique(np.linspace(first, last - 1, min(last - first, TRAINING_PASSAGES)).round().astype(np.int64))
 
     def encode(batches):
         hasher = Hasher(SEED)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 x, first = passages(hasher, *text_buffer(piece.column("text")))
-                bags = [x[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:])]
+                bags = [x[spread(a, b)].astype("<f4").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("label").cast(pa.int64()), pa.array(bags, pa.binary())], ["id", "label", "bag"])
 
     id_type = dict(docs.dtypes)[id_column]
