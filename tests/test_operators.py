@@ -86,13 +86,26 @@ def test_spread_join_with_hot_keys(spark, how):
     rows = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     rows = rows.withColumn("k", F.when(F.col("k") != 7, F.col("k")))  # 7 becomes null
     lookup = rows.filter("k IS NULL OR k <> 11").groupBy("k").agg(F.count("*").alias("n"))
-    salted = spread_join(rows, lookup, ["k"], "n", ["id"], how, hot_rows=1, salts=8)
+    salted = spread_join(rows, lookup, ["k"], "n", ["id"], how, hot_rows=1)
     plain = spread_join(rows, lookup, ["k"], "n", ["id"], how)
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
     expected = 2000 if how == "left" else rows.filter("k IS NULL OR k <> 11").count()
     assert salted.count() == expected
 
 
+def test_hot_keys_are_cut_by_their_rows(spark):
+    """One key with 30 % of the rows and many just above a part are all cut; no part of a key is much larger than asked for."""
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 < 3, -1).otherwise(F.col("id") % 90).alias("k"))
+    lookup = rows.groupBy("k").agg(F.count("*").alias("n"))
+    joined = spread_join(rows, lookup, ["k"], "n", ["id"], hot_rows=100)
+    assert joined.count() == 20_000
+    plan = joined._jdf.queryExecution().toString()
+    assert "_parts" in plan
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 100))
+    largest = joined.groupBy("k", part).agg(F.count("*").alias("m")).agg(F.max("m"), F.count("*")).first()
+    assert largest[0] < 180 and largest[1] > 200
+
+
 def test_remerge_keeps_rows_that_differ(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 1), ("c", 2), ("c", 3)], "g string, x int")
     out = R.group_remerge(rows, ["g"], {"n": F.count("*")}, ["x"])

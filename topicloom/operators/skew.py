@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-HOT_KEYS = 1000  # a hot key holds more than 1/1000 of the rows, so there are fewer than 1000
+HOT_KEYS = 1 << 16  # a hot key holds more than 1/65,536 of the rows, so there are fewer than 65,536
 HOT_ROWS = 1_000_000  # and more rows than one task should take
-SALTS = 64
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
@@ -29,29 +28,31 @@ def spread_join(
     spread_by: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join `rows` to `lookup`, where lookup.`weight` says how many rows carry each key. Nulls match nulls.
 
     The lookup is written once, because it is read for its totals and for the join. If no key is hot, this is a
-    plain join. Otherwise the hot keys (fewer than 1000: a proven bound for the broadcast) are spread over
-    `salts` partitions by a hash of `spread_by`, which is repeatable when a task is retried.
+    plain join. Otherwise each hot key is cut into as many parts as it has times the rows one part should take: `hot_rows`, or 1/65,536 of all
+    rows where that is more. So fewer than 65,536 keys are hot (a proven bound for the broadcast of keys and parts), and no part is larger,
+    however the rows are spread over the keys. Rows choose their part by a hash of `spread_by`, which is repeatable when a task is
+    retried. Rows of keys that the lookup does not have (how="left") are left to adaptive execution, which splits the left side of such a join.
     """
     keys = list(keys)
     payload = [c for c in lookup.columns if c not in keys]
     lookup = materialize(lookup, "lookup")
     total, top = lookup.agg(F.sum(weight), F.max(weight)).first()
-    if top is None or top <= hot_rows or top * HOT_KEYS <= total:
+    part = max(hot_rows, (total or 0) // HOT_KEYS)
+    if top is None or top <= part:
         side = lookup.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *payload)
         return rows.join(side, _match(rows, side, keys, "_k"), how).select(*[rows[c] for c in rows.columns], *payload)
 
-    is_hot = (F.col(weight) > hot_rows) & (F.col(weight) * HOT_KEYS > total)
-    hot = lookup.filter(is_hot).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_is_hot"))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
+    parts = F.ceil(F.col(weight) / part).cast("bigint")
+    hot = lookup.filter(F.col(weight) > part).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], parts.alias("_parts"))
+    salt = F.pmod(F.xxhash64(*spread_by), F.col("_parts"))
     salted = rows.join(F.broadcast(hot), _match(rows, hot, keys, "_h"), "left").select(
-        *[rows[c] for c in rows.columns], F.when(F.col("_is_hot"), salt).otherwise(F.lit(0).cast("bigint")).alias("_salt")
+        *[rows[c] for c in rows.columns], F.coalesce(salt, F.lit(0).cast("bigint")).alias("_salt")
     )
-    last = F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)).cast("bigint")
+    last = F.when(F.col(weight) > part, parts - 1).otherwise(F.lit(0)).cast("bigint")
     copies = lookup.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     copies = copies.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_s", *payload)
     cond = _match(salted, copies, keys, "_k") & (salted["_salt"] == copies["_s"])
