@@ -89,6 +89,25 @@ def test_one_array_is_read_by_many_tasks(spark, tmp_path):
         assert [list(r.tokens) for r in own] == json.loads(text) and [r.pos for r in own] == list(range(len(own))), name
 
 
+def test_an_array_is_cut_at_its_elements_whatever_stands_between(spark, tmp_path, monkeypatch):
+    lists = [[f"w{i}", "],"] for i in range(300)] + [[]]
+    for name, comma in {"line.json": "\n,", "blank.json": " , ", "tight.json": ","}.items():
+        (tmp_path / name).write_text("[" + comma.join(map(json.dumps, lists)) + "\n]\n")
+    (tmp_path / "nulls.json").write_text('[null, ["a"], null\n, ["b]"], [], null]')
+    longest, total = [], IN.running_total
+
+    def seen(df, *args, **named):
+        longest.extend(df.select(F.max(F.length("value"))).first() if "value" in df.columns else [])
+        return total(df, *args, **named)
+
+    monkeypatch.setattr(IN, "running_total", seen)
+    rows = IN.read_token_array(spark, str(tmp_path)).orderBy("file", "pos").collect()
+    assert max(longest) < 30
+    for name in ("line.json", "blank.json", "tight.json"):
+        assert [(r.pos, list(r.tokens)) for r in rows if r.file == name] == list(enumerate(lists)), name
+    assert [r.tokens for r in rows if r.file == "nulls.json"] == [None, ["a"], None, ["b]"], [], None]
+
+
 def test_streams_resume_without_double_counting(spark, tmp_path):
     docs = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a"]) for i in range(6)], "doc_id bigint, tokens array<string>")
     paths = [str(tmp_path / p) for p in ("in", "out", "state")]

@@ -82,11 +82,11 @@ def read_tokenized(spark: SparkSession, path: str, whole_file: bool = False) ->
 def read_token_array(spark: SparkSession, path: str) -> DataFrame:
     """Files that are one JSON array of token lists each, however large -> file, pos (from 0), tokens. A file is read by many tasks.
 
-    The text reader cuts a file at `],` wherever its byte ranges begin. Such a mark may also stand inside a string; a piece ends inside one if
-    the quotes up to there are odd in number, which a running total over the file tells, and is then put together with the next.
-    Blanks and line ends between the elements do not matter. A null or broken element is an error when it is read.
+    The text reader cuts a file at every `]` wherever its byte ranges begin, so a piece holds one element, whatever blanks or line ends stand around
+    the commas. A bracket may also stand inside a string; a piece ends inside one if the quotes up to there are odd in number, which a running total
+    over the file tells, and is then put together with the next. A broken element is an error when it is read.
     """
-    text = spark.read.text(path, lineSep="],")
+    text = spark.read.text(path, lineSep="]")
     pieces = text.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value",
@@ -97,17 +97,16 @@ def read_token_array(spark: SparkSession, path: str) -> DataFrame:
     ends = (F.col("so_far") % 2 == 0).cast("bigint")
     numbered = running_total(placed.withColumn("ends", ends), order, ["path"], "ends", "ended").withColumn("element", F.col("ended") - F.col("ends"))
     parts = F.array_sort(F.collect_list(F.struct("block", "row", "value")))
-    whole = numbered.groupBy("path", "file", "element").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "],").alias("value"))
-    whole = whole.filter(~F.col("value").rlike(r"^\s*$"))
-    bounds = whole.groupBy("path").agg(F.min("element").alias("first"), F.max("element").alias("last"))
-    bounds = bounds.select(F.col("path").alias("of"), "first", "last")
-    joined = whole.join(bounds, F.col("path") == F.col("of"))
-    opened = F.when(F.col("element") == F.col("first"), F.regexp_replace("value", r"^\s*\[", "")).otherwise(F.col("value"))
-    # The mark took the bracket of every element but the last, which has that of the whole array instead.
-    closed = F.when(F.col("element") == F.col("last"), F.regexp_replace(opened, r"\]\s*$", "")).otherwise(F.concat(opened, F.lit("]")))
-    lists = F.from_json(F.concat(F.lit("["), closed, F.lit("]")), TOKENS_JSON, {"mode": "FAILFAST"})
-    # A piece holds several elements where blanks stand before the commas.
-    rows = joined.select("path", "file", "element", F.posexplode(lists).alias("at", "tokens"))
+    whole = numbered.groupBy("path", "file", "element").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "]").alias("value"))
+    # The first piece has the bracket of the whole array before its element, the others a comma.
+    body = F.when(F.col("element") == 0, F.regexp_replace("value", r"^\s*\[\s*", "")).otherwise(F.regexp_replace("value", r"^\s*,?\s*", ""))
+    bodies = whole.select("path", "file", "element", body.alias("value")).filter(~F.col("value").rlike(r"^\s*$"))
+    # A piece without a bracket outside its strings ends at that of the whole array.
+    outside = F.filter(F.split(F.regexp_replace("value", r"\\.", ""), '"'), lambda x, i: i % 2 == 0)
+    is_list = F.when(F.col("value").startswith("["), True).otherwise(F.exists(outside, lambda x: x.contains("[")))
+    lists = F.from_json(F.concat(F.lit("["), "value", F.when(is_list, "]]").otherwise("]")), TOKENS_JSON, {"mode": "FAILFAST"})
+    # A piece holds several elements where some are no lists.
+    rows = bodies.select("path", "file", "element", F.posexplode(lists).alias("at", "tokens"))
     counted = running_total(rows, [F.col("element"), F.col("at")], ["path"], name="pos")
     return counted.select("file", (F.col("pos") - 1).alias("pos"), "tokens")
 
