@@ -253,3 +253,25 @@ def test_one_scan_of_the_documents_a_pass(spark, planted):
     weights = materialize(CM.start_weights(CM.packed_terms(packed), models, 75), "start")
     plan = CM.expected_counts(packed, weights, models)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("doc_ids#") >= 1 and plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_the_first_pass_of_a_grid_shares_its_inference(spark, planted):
+    models = [CM.Model(2, 0.1, 0.1, d, fold=f) for d in (0.5, 0.9) for f in (0, 1, None)] + [CM.Model(3, 0.1, 0.1)]
+    packed = CM.pack(planted, folds=3)
+    weights = CM.materialize(CM.start_weights(CM.packed_terms(packed), models, 75), "weights")
+    tables = [{(r.term, r.part): r.stats for r in CM.expected_counts(packed, weights, models, alike=x).collect()} for x in (False, True)]
+    assert tables[0].keys() == tables[1].keys()
+    assert all(np.allclose(tables[0][key], tables[1][key]) for key in tables[0])
+
+
+def test_inference_of_documents_together_is_that_of_each_alone():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 40, 60)
+    indptr, alpha = np.append(0, np.cumsum(sizes)), np.array([0.05, 0.2, 0.5])
+    counts, beta = rng.integers(1, 9, indptr[-1]).astype(float), rng.dirichlet([0.3, 0.3, 0.3], indptr[-1]) + 1e-9
+    gamma, expected = V.infer(indptr, counts, beta, alpha)
+    assert np.allclose(expected.sum(axis=1), counts)
+    for d, (a, b) in enumerate(zip(indptr[:-1], indptr[1:])):
+        alone, own = V.infer(np.array([0, b - a]), counts[a:b], beta[a:b], alpha)
+        assert np.allclose(gamma[d], alone[0]) and np.allclose(expected[a:b], own)
+    assert abs(V.digamma(np.array(1.0)) + 0.5772156649015329) < 3e-12
