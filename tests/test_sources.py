@@ -60,6 +60,15 @@ def test_run_export_and_table(spark, tmp_path):
     assert spark.table("runs_test").first().topics == 20
 
 
+def test_hashes_of_the_runs_table_stay_coded(spark, tmp_path):
+    n, texts = 200_000, 30_000
+    rows = spark.range(n, numPartitions=1).select(F.sha2(F.pmod(F.xxhash64("id"), F.lit(texts)).cast("string"), 256).alias("text_sha256"))
+    OUT.save_runs_table(rows, "runs_coded", str(tmp_path / "table"))
+    size = sum(f.stat().st_size for f in (tmp_path / "table").glob("*.parquet"))
+    assert spark.table("runs_coded").agg(F.count_distinct("text_sha256")).first()[0] > 29_000
+    assert size < 64 * texts * 2  # plain values take 64 bytes a row
+
+
 def test_tuning_log(spark, tmp_path):
     rows = spark.createDataFrame([(20, 0.1, 0.2, 0.5, -1.0, -7.0, 3.0)], ", ".join(f"{c} double" if c != "n_topics" else "n_topics int" for c in OUT.TUNING_COLUMNS))
     OUT.export_tuning_results(rows, str(tmp_path / "csv"), str(tmp_path / "log"))

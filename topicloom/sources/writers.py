@@ -74,13 +74,18 @@ def save_references(references: DataFrame, path: str) -> None:
     references.select("time_key", "sha256", "kind").write.mode("append").partitionBy("kind").parquet(f"{path}/index")
 
 
+# A hash of a text comes back in many runs: its column stays dictionary-coded where a file holds more hashes than a megabyte of them, and is
+# judged after a page of many rows, not after the usual 20,000, in which few come twice.
+DICTIONARY = {"parquet.dictionary.page.size": str(1 << 26), "parquet.page.row.count.limit": str(1 << 20)}
+
+
 def save_runs_table(runs: DataFrame, table: str, path: str | None = None) -> None:
     """Create or replace the typed table; columns the rows lack are null."""
     have = set(runs.columns)
     typed = [
         (F.col(c).try_cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in schemas.RUNS_TABLE.items()
     ]
-    writer = runs.select(*typed).write.mode("overwrite")
+    writer = runs.select(*typed).write.mode("overwrite").options(**DICTIONARY)
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
