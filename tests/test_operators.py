@@ -235,3 +235,40 @@ def test_js_distance_and_pcoa(spark):
     pairs = {(r.i_1, r.i_2): r.js for r in G.js_distance(rows, ["b"], "i").collect()}
     assert math.isclose(pairs[(0, 1)], math.log(2)) and all(0 <= v <= math.log(2) + 1e-12 for v in pairs.values())
     assert G.pcoa_2d(rows, ["b"], "i").count() == 3
+
+
+def test_explore_join_shuffles_numbers_of_texts(spark, monkeypatch):
+    real, calls = F.xxhash64, []
+
+    def poor(*columns):  # the first seed gives texts of one length one number
+        calls.append(columns)
+        return F.length("text_sha256").cast("bigint") if len(calls) == 1 else real(*columns)
+
+    rng = random.Random(3)
+    rows = [
+        (i, rng.choice("ab"), rng.choice(["x1", "x2", "long", None]), rng.choice([0.1, None]), "al", rng.choice([0.5, 0.7]), "be", rng.choice([5, 10, None]))
+        for i in range(60)
+    ]
+    names = ["key", "type", "text_sha256", "n_alpha", "alpha_str", "n_beta", "beta_str", "topics"]
+    runs = spark.createDataFrame(rows, "key int, type string, text_sha256 string, n_alpha double, alpha_str string, n_beta double, beta_str string, topics int")
+    monkeypatch.setattr(F, "xxhash64", poor)
+    number, texts = R.text_numbers(runs)
+    assert len(calls) == 2 and texts.count() == 4 and texts.select("_text").distinct().count() == 4
+    calls.clear()
+    got = R.explore_join(runs, ["key"])
+    found = sorted(repr(tuple(r)) for r in got.collect())
+
+    runs = [dict(zip(names, r)) for r in rows]
+    models = {tuple(r[c] for c in ("type", "topics", "n_alpha", "n_beta")): 0 for r in runs}
+    for r in runs:
+        models[tuple(r[c] for c in ("type", "topics", "n_alpha", "n_beta"))] += 1
+    combinations = {tuple(r[c] for c in ("type", "topics", "text_sha256", "n_alpha", "n_beta")) for r in runs}
+    joined = [
+        (r["type"], r["text_sha256"], r["text_sha256"], r["alpha_str"], r["beta_str"], t, models[(k, t, a, b)])
+        for r in runs
+        for k, t, s, a, b in combinations
+        if (k, s, a, b) == (r["type"], r["text_sha256"], r["n_alpha"], r["n_beta"])
+    ]
+    of = lambda j: [x for x in joined if x[:2] == j[:2]]
+    want = sorted(repr((*j[:5], len(of(j)), sum(x[6] for x in of(j)), *j[5:])) for j in joined)
+    assert found == want

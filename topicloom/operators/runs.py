@@ -126,16 +126,31 @@ def count_per_model(combinations: DataFrame) -> DataFrame:
     )
 
 
+def text_numbers(runs: DataFrame, seed: int = 0) -> tuple[Column, DataFrame]:
+    """A number of 64 bits for text_sha256, and the table of both (_text, text_sha256).
+
+    The number is a hash. Should two texts have the same, the next seed is taken, so equal numbers mean equal texts; null stays null.
+    """
+    while True:
+        number = F.when(F.col("text_sha256").isNotNull(), F.xxhash64("text_sha256", F.lit(seed)))
+        texts = materialize(runs.select(number.alias("_text"), "text_sha256").distinct(), "texts")
+        if texts.groupBy("_text").count().filter("count > 1").isEmpty():
+            return number, texts
+        seed += 1
+
+
 def explore_join(runs: DataFrame, run_key: Sequence[str]) -> DataFrame:
     """Runs joined to the model counts of their text and priors, with totals per type and text.
 
     Topics is not a join key: a run meets every topic count of its priors. The totals sha_count and
     model_sum cover all joined rows of a (type, text) and stand on each of them; they are computed from
-    counts per key, without forming the joined rows first.
+    counts per key, without forming the joined rows first. Rows are shuffled with the number of their text; the text itself
+    comes with the totals.
     """
+    number, texts = text_numbers(runs)
+    runs = runs.withColumn("text_sha256", number)
     combinations = combination_counts(runs)
     models = count_per_model(combinations)
-    texts = combinations.select("text_sha256").distinct()
     key = ["type", "text_sha256", "n_alpha", "n_beta"]
     runs_per_key = combinations.groupBy(*key).agg(F.sum("n").alias("_runs"))
     models_per_key = models.groupBy(*key).agg(
@@ -151,19 +166,20 @@ def explore_join(runs: DataFrame, run_key: Sequence[str]) -> DataFrame:
             cond = cond & left[k].eqNullSafe(other[f"_k{i}"])
         return left.join(other, cond).drop(*[f"_k{i}" for i in range(len(keys))])
 
-    per_key = materialize(nullsafe_join(nullsafe_join(runs_per_key, models_per_key, key), texts, ["text_sha256"]), "per-key")
+    per_key = materialize(nullsafe_join(runs_per_key, models_per_key, key), "per-key")
     totals = per_key.groupBy("type", "text_sha256").agg(
         F.sum(F.col("_runs") * F.col("_n")).alias("sha_count"), F.sum(F.col("_runs") * F.col("_sum")).alias("model_sum")
     )
+    totals = nullsafe_join(totals, texts.select(F.col("_text").alias("text_sha256"), F.col("text_sha256").alias("_sha")), ["text_sha256"])
     lookup = nullsafe_join(per_key, totals, ["type", "text_sha256"]).select(
-        *key, "_runs", "_models", "sha_count", "model_sum"
+        *key, "_runs", "_models", "sha_count", "model_sum", "_sha"
     )
     kept = runs.select(*dict.fromkeys([*key, "alpha_str", "beta_str", *run_key]))
     joined = spread_join(kept, lookup, key, "_runs", run_key)
     return joined.select(
         "type",
-        F.col("text_sha256").alias("left_sha"),
-        F.col("text_sha256").alias("right_sha"),
+        F.col("_sha").alias("left_sha"),
+        F.col("_sha").alias("right_sha"),
         "alpha_str",
         "beta_str",
         "sha_count",
