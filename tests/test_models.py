@@ -1,6 +1,7 @@
 """Topic models: planted topics are found, runs repeat, bounds behave."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +276,33 @@ def test_inference_of_documents_together_is_that_of_each_alone():
         alone, own = V.infer(np.array([0, b - a]), counts[a:b], beta[a:b], alpha)
         assert np.allclose(gamma[d], alone[0]) and np.allclose(expected[a:b], own)
     assert abs(V.digamma(np.array(1.0)) + 0.5772156649015329) < 3e-12
+
+
+def test_single_documents_are_fitted_side_by_side(spark, monkeypatch):
+    """The numbers are those of a fit for each document alone, however many stand side by side."""
+    rng = np.random.RandomState(5)
+    docs = [(i, [f"w{x}" for x in rng.randint(0, 30, n)]) for i, n in enumerate([1, 2, 3, 40, 200, 90, 7, 60])]
+    settings = (3, 50, 0.5, 1.0, True, True)
+    points = [
+        {"topics": k, "alpha_str": a, "beta_str": "0.31", "gamma": 0.001, "drawn_types": [None], "n_alpha": 0.2, "n_beta": 0.31}
+        for k, a in ((2, "0.2"), (5, "asymmetric"))
+    ]
+    alone = {}
+    for i, words in docs:
+        for p in points:
+            alone[(i, p["topics"])] = B._fit_one([words], V.compress([words]), p, *settings)
+
+    inferred = []
+    monkeypatch.setattr(V, "infer", lambda *args, infer=V.infer: inferred.append(1) or infer(*args))
+    frame = pd.DataFrame(
+        {"split": "train", "batch_id": [i for i, _ in docs], "documents": [[{"pos": 0, "doc_id": i, "tokens": t}] for i, t in docs], "points": [points] * len(docs)}
+    )
+    rows = pd.concat(list(B._trainer(None, settings)(iter([frame]))))
+    assert len(inferred) == 2 * (3 + 1), "one inference a pass for all documents of a point"
+    assert len(rows) == len(alone)
+    for row in rows.itertuples():
+        want = alone[(row.batch_id, row.topics)]
+        assert row.doc_ids == [row.batch_id] and row.step == 0 and row.top_words == want["top_words"] and row.terms == want["terms"]
+        for c in ("convergence", "perplexity", "coherence"):
+            assert getattr(row, c) == pytest.approx(want[c], rel=1e-9)
+        assert np.allclose(row.weights, want["weights"], rtol=1e-9) and np.allclose(row.doc_topics, want["doc_topics"], rtol=1e-9)
