@@ -306,3 +306,39 @@ def test_single_documents_are_fitted_side_by_side(spark, monkeypatch):
         for c in ("convergence", "perplexity", "coherence"):
             assert getattr(row, c) == pytest.approx(want[c], rel=1e-9)
         assert np.allclose(row.weights, want["weights"], rtol=1e-9) and np.allclose(row.doc_topics, want["doc_topics"], rtol=1e-9)
+
+
+def test_a_pass_sends_one_row_for_a_bucket_and_block(spark):
+    """Weights travel by the bucket, not by the term, and come back as they were; terms without weights have no way."""
+    rng = np.random.RandomState(3)
+    rows = [(d, [f"w{x}" for x in rng.randint(0, 3000, 200)]) for d in range(40)]
+    packed = CM.pack(spark.createDataFrame(rows, "doc_id bigint, tokens array<string>"), block_tokens=1000)
+    models = [CM.Model(2, 0.1, 0.1), CM.Model(33, 0.1, 0.1)]
+    weights = materialize(CM.start_weights(CM.packed_terms(packed).filter("term <> 'w7'"), models, 75), "start")
+    columns = CM.Columns(models)
+    routes = CM.route(packed, weights, columns.parts, columns.width)
+    sent = routes.sent(routes.weights).collect()
+    blocks = {r.block: r for r in packed.collect()}
+    pairs = sum(len(set(r.terms) - {"w7"}) for r in blocks.values())
+    assert sum(len(r.local) // 4 for r in sent) == pairs and len(sent) * 5 < pairs
+    want = {(r.term, r.part): list(r.weights) for r in weights.collect()}
+    for r in sent:
+        found = np.frombuffer(r.weights).reshape(-1, columns.parts, columns.width)
+        for local, table in zip(np.frombuffer(r.local, np.int32), found):
+            assert all(list(table[p]) == want[blocks[r.at_block].terms[local], p] for p in range(columns.parts))
+    assert {(r.term, r.part): list(r.weights) for r in routes.rows(routes.weights, "weights", columns.width).collect()} == want
+
+
+def test_documents_of_like_size_are_inferred_as_tables(monkeypatch):
+    """Large inputs take two matrix products a step and give the numbers of the columns; documents without entries keep the prior."""
+    rng = np.random.default_rng(6)
+    sizes = np.append(rng.integers(1, 300, 600), [0, 5000])
+    indptr, alpha = np.append(0, np.cumsum(sizes)), np.array([0.05, 0.2, 0.5])
+    counts, beta = rng.integers(1, 9, indptr[-1]).astype(float), rng.dirichlet([0.3, 0.3, 0.3], indptr[-1]) + 1e-9
+    products = []
+    monkeypatch.setattr(V.np, "matmul", lambda *args, product=np.matmul, **named: products.append(1) or product(*args, **named))
+    gamma, expected = V.infer(indptr, counts, beta, alpha)
+    assert products
+    filled = sizes > 0
+    columns, own = V._infer_columns(np.append(0, np.cumsum(sizes[filled])), counts, beta, alpha, 50, 1e-3)
+    assert np.allclose(gamma[filled], columns) and np.allclose(expected, own) and np.allclose(gamma[~filled], alpha)

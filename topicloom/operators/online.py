@@ -28,9 +28,8 @@ def fit_yearly(
             continue
         seen += here
         weights = CM.with_new_terms(weights, packed, [model], seed)
-        for _ in range(passes):
-            weights = CM.update(packed, weights, [model], step, seen / here, iterations)
-            step += 1
+        weights = CM.advance(packed, weights, [model], range(step, step + passes), seen / here, iterations)
+        step += passes
     if weights is None:
         raise ValueError("no documents in any of the years")
     return weights
