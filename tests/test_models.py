@@ -342,3 +342,50 @@ def test_documents_of_like_size_are_inferred_as_tables(monkeypatch):
     filled = sizes > 0
     columns, own = V._infer_columns(np.append(0, np.cumsum(sizes[filled])), counts, beta, alpha, 50, 1e-3)
     assert np.allclose(gamma[filled], columns) and np.allclose(expected, own) and np.allclose(gamma[~filled], alpha)
+
+
+def test_batches_of_a_task_are_fitted_side_by_side(monkeypatch):
+    """The numbers are those of a fit for each batch alone, whatever their sizes and steps, from one inference a step for all."""
+    rng = np.random.RandomState(5)
+    batches = [(b, [[f"w{x}" for x in rng.randint(0, 200, 60)] for _ in range(n)]) for b, n in enumerate([50, 50, 23, 2, 31])]
+    settings = (3, 50, 0.5, 1.0, True, True)
+    points = [
+        {"topics": k, "alpha_str": a, "beta_str": "0.31", "gamma": 0.001, "drawn_types": [None], "n_alpha": 0.2, "n_beta": 0.31}
+        for k, a in ((2, "0.2"), (5, "asymmetric"))
+    ]
+    alone, steps = {}, 0
+    for b, docs in batches:
+        for end in [*range(25, len(docs), 25), len(docs)]:
+            packed = V.compress(docs[:end])
+            terms, ids, counts, indptr, _, _ = packed
+            for p in points:
+                k, alpha = p["topics"], B._prior(p, True)
+                weights = V.fit(ids, counts, indptr, len(terms), k, alpha, 0.31, 3, 50, B.UPDATE_EVERY, max(1, end // 5), B.RANDOM_STATE, 0.5, 1.0, 0.001)
+                gamma, _ = V.infer(indptr, counts, np.exp(V.expected_log(weights)).T[ids], alpha, 50, 0.001)
+                alone[(b, end, k)] = weights, gamma / gamma.sum(axis=1, keepdims=True)
+            steps = max(steps, 3 * -(-end // (max(1, end // 5) * B.UPDATE_EVERY)))
+
+    inferred = []
+    monkeypatch.setattr(V, "infer", lambda *args, infer=V.infer: inferred.append(1) or infer(*args))
+    documents = [[{"pos": i, "doc_id": i, "tokens": t} for i, t in enumerate(docs)] for _, docs in batches]
+    frame = pd.DataFrame({"split": "train", "batch_id": [b for b, _ in batches], "documents": documents, "points": [points] * len(batches)})
+    rows = pd.concat(list(B._trainer(25, settings)(iter([frame]))))
+    assert len(inferred) == 2 * (steps + 1), "one inference a step for all batches of a point"
+    assert sorted((r.batch_id, r.n_docs, r.topics) for r in rows.itertuples()) == sorted(alone)
+    for r in rows.itertuples():
+        weights, shares = alone[(r.batch_id, r.n_docs, r.topics)]
+        assert r.doc_ids == list(range(r.n_docs)) and r.step == (r.n_docs - 1) // 25
+        assert np.allclose(r.weights, weights, rtol=1e-9) and np.allclose(r.doc_topics, shares, rtol=1e-9)
+
+
+def test_tables_of_documents_go_step_by_step_together(monkeypatch):
+    """One digamma a step serves all tables of a panel, not each table."""
+    rng = np.random.default_rng(8)
+    indptr = np.append(0, np.cumsum(rng.integers(1, 400, 120)))
+    counts, beta = rng.integers(1, 9, indptr[-1]).astype(float), rng.dirichlet([0.3, 0.3, 0.3], indptr[-1]) + 1e-9
+    calls = []
+    monkeypatch.setattr(V, "digamma", lambda x, digamma=V.digamma: calls.append(1) or digamma(x))
+    gamma, expected = V._infer_by_size(indptr, counts, beta, np.full(3, 0.2), 50, 1e-3)
+    assert len(calls) <= 51
+    columns, own = V._infer_columns(indptr, counts, beta, np.full(3, 0.2), 50, 1e-3)
+    assert np.allclose(gamma, columns) and np.allclose(expected, own)
