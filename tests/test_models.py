@@ -15,6 +15,7 @@ from topicloom.operators import grid as GR
 from topicloom.operators import online as ON
 from topicloom.operators import topic_models as TM
 from topicloom.operators import variational as V
+from topicloom.plans import model_queries as MQ
 from topicloom.runtime import materialize
 from topicloom.sources import writers as OUT
 
@@ -97,6 +98,14 @@ def test_blocks_and_models_side_by_side_change_nothing(spark, planted):
         assert np.isclose(scores[i].bound, bound) and scores[i].n_docs == 60 and scores[i].n_tokens == 2400
 
 
+def test_the_corpus_model_makes_all_passes(spark, planted, monkeypatch):
+    monkeypatch.setattr(MQ, "documents", lambda *_: planted)
+    made = []
+    monkeypatch.setattr(CM, "advance", lambda packed, weights, models, steps, *a, **b: made.append(list(steps)) or weights)
+    MQ.corpus_model(spark, "")
+    assert made == [list(range(15))]
+
+
 def test_a_fold_takes_nothing_from_its_documents(spark, planted):
     packed = CM.pack(planted, folds=3)
     folds = {d: f for r in packed.collect() for d, f in zip(r.doc_ids, r.folds)}
