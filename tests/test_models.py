@@ -16,6 +16,7 @@ from topicloom.operators import online as ON
 from topicloom.operators import topic_models as TM
 from topicloom.operators import variational as V
 from topicloom.plans import model_queries as MQ
+from topicloom.plans import text_queries as TQ
 from topicloom.runtime import materialize
 from topicloom.sources import writers as OUT
 
@@ -138,6 +139,15 @@ def test_vectors_of_any_vocabulary(spark, planted):
     assert {int(v.features.values.sum()) for v in vectors.collect()} == {40} and vectors.first().features.size == 30
 
 
+def test_column_sums_are_added_up_by_column(spark, planted, monkeypatch):
+    monkeypatch.setattr(TQ, "token_table", lambda *_: planted)
+    sums = TQ.count_vectorize(spark, "")
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate_metrics" not in plan  # which holds a number for each term in one row
+    counts = planted.select("doc_id", F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*"), F.countDistinct("doc_id"))
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, counts.collect()))
+
+
 def batches(planted, size=30):
     return planted.select(
         F.lit("train").alias("split"), F.floor(F.col("doc_id") / size).alias("batch_id"), F.pmod("doc_id", F.lit(size)).alias("pos"), "doc_id", "tokens"

@@ -125,6 +125,17 @@ def count_vectorize(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id")
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
+def column_sums(vectors: DataFrame, features: str = "features") -> DataFrame:
+    """term_id, total, nonzero: sum and number of entries of each column of sparse vectors, added up before the shuffle.
+
+    No task and no driver holds a row as wide as the matrix; columns without entries have no row.
+    """
+    inner = F.unwrap_udt(features)
+    entries = unnest(vectors, [], F.arrays_zip(inner["indices"].alias("at"), inner["values"].alias("value")), "e")
+    counted = entries.filter(F.col("e.value") != 0).groupBy(F.col("e.at").cast("bigint").alias("term_id"))
+    return counted.agg(F.sum("e.value").alias("total"), F.count("*").alias("nonzero"))
+
+
 def batch_fingerprint(docs: DataFrame, batch: Sequence[str], order: str, tokens: str = "tokens") -> DataFrame:
     """Joined text of each batch (of bounded size) with its sha256 and md5."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).alias("t"))))

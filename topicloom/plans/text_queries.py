@@ -115,16 +115,11 @@ def bow_to_tokens(spark: SparkSession, sf: str) -> DataFrame:
 FROM words GROUP BY term""")
 def count_vectorize(spark: SparkSession, sf: str) -> DataFrame:
     """Document-term matrix of all documents, read back as column sums."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
-
     docs = token_table(spark, sf)
     dictionary = materialize(D.build_dictionary(docs), "dictionary")
-    sums = D.count_vectorize(docs, dictionary).agg(Summarizer.metrics("sum", "numNonZeros").summary(F.col("features")).alias("s"))
-    zipped = F.arrays_zip(vector_to_array("s.sum").alias("cf"), vector_to_array("s.numNonZeros").alias("df"))
-    rows = sums.select(F.posexplode(zipped).alias("term_id", "z"))
-    return D.ids_to_terms(rows, dictionary.select("term_id", "term")).select(
-        "term", F.round("z.cf").cast("bigint").alias("cf"), F.round("z.df").cast("bigint").alias("df")
+    sums = D.column_sums(D.count_vectorize(docs, dictionary))
+    return D.ids_to_terms(sums, dictionary.select("term_id", "term")).select(
+        "term", F.round("total").cast("bigint").alias("cf"), F.col("nonzero").alias("df")
     )
 
 
