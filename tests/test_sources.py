@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom import schemas
+from topicloom import runtime, schemas
 from topicloom.operators import corpus as C
 from topicloom.sources import readers as IN
 from topicloom.sources import writers as OUT
@@ -117,6 +117,17 @@ def test_an_array_is_cut_at_its_elements_whatever_stands_between(spark, tmp_path
     assert [r.tokens for r in rows if r.file == "nulls.json"] == [None, ["a"], None, ["b]"], [], None]
 
 
+def test_the_texts_of_an_array_are_not_written_again(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    lists = [[f"w{rng.randrange(10**9)}" for _ in range(20)] for _ in range(3000)]
+    (tmp_path / "in.json").write_text(json.dumps(lists))
+    monkeypatch.setattr(runtime, "shared_root", lambda _: str(tmp_path / "kept"))
+    rows = IN.read_token_array(spark, str(tmp_path / "in.json"))
+    assert sorted((r.pos, list(r.tokens)) for r in rows.collect()) == list(enumerate(lists))
+    written = sum(f.stat().st_size for f in (tmp_path / "kept").rglob("*.parquet"))
+    assert written < (tmp_path / "in.json").stat().st_size / 10
+
+
 def test_streams_resume_without_double_counting(spark, tmp_path):
     docs = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a"]) for i in range(6)], "doc_id bigint, tokens array<string>")
     paths = [str(tmp_path / p) for p in ("in", "out", "state")]

@@ -105,8 +105,9 @@ def _one_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of a partition as the lines of one JSON array."""
     start = "["
     for pdf in batches:
-        for value in pdf["value"]:
-            yield pd.DataFrame({"value": [start + value]})
+        lines = pdf["value"]
+        if len(lines):
+            yield pd.DataFrame({"value": [start + lines.iloc[0], *("," + lines.iloc[1:])]})
             start = ","
     yield pd.DataFrame({"value": ["[]" if start == "[" else "]"]})
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 import io
 import json
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scalars as X
 from ..operators.ranking import running_total
+from ..runtime import materialize
 
 TOKENS_JSON = "array<array<string>>"
 
@@ -79,36 +82,121 @@ def read_tokenized(spark: SparkSession, path: str, whole_file: bool = False) ->
     return text.select("file", F.posexplode(F.from_json("value", TOKENS_JSON)).alias("pos", "tokens"))
 
 
+ARRAY_BLANKS = " \t\n\x0b\f\r"
+ARRAY_ELEMENTS = "path string, file string, block long, ahead long, n long, first boolean, begins boolean, ends boolean, value string"
+
+
+def _outside(value: str) -> str:
+    """What stands outside the strings of a piece, which begins outside of one."""
+    return "".join(re.sub(r"\\.", "", value, flags=re.S).split('"')[::2])
+
+
+def _n_elements(value: str) -> int:
+    """How many elements a piece holds: one list, after and before which some may stand that are no lists."""
+    if value.startswith("[") or not value:
+        return int(bool(value))
+    return _outside(value).split("[")[0].count(",") + 1
+
+
+def _array_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of a block in their order, put together where a bracket stood inside a string.
+
+    `ahead` counts the elements of the block's pieces between its first one and this. A piece that the block's edge cuts has only its begin or end
+    here, or neither.
+    """
+    at, rows, held, ahead, odd, first, begins = None, [], [], 0, False, True, True
+
+    def piece(ends: bool) -> tuple:
+        value = "]".join(held)
+        if begins:  # the first piece of a file has the bracket of the whole array before its element, the others a comma
+            value = value.lstrip(ARRAY_BLANKS).removeprefix("[" if first and at[2] == 0 else ",").lstrip(ARRAY_BLANKS)
+        return *at, ahead, _n_elements(value) if begins and ends else 0, first, begins, ends, value
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema=schema)
+
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
+    schema = pa.schema(list(zip(("path", "file", "block", "ahead", "n", "first", "begins", "ends", "value"), kinds)))
+    for batch in batches:
+        for path, file, block, inside, quotes, value in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != (path, file, block):
+                if held:
+                    rows.append(piece(False))
+                at, held, ahead, odd, first, begins = (path, file, block), [], 0, inside, True, not inside
+            held.append(value)
+            odd ^= bool(quotes % 2)
+            if not odd:
+                whole = piece(True)
+                if first or whole[-1].strip(ARRAY_BLANKS):
+                    rows.append(whole)
+                    ahead += 0 if first else whole[4]
+                held, first, begins = [], False, True
+        if rows:
+            yield out()
+            rows.clear()
+    if held:
+        rows.append(piece(False))
+        yield out()
+
+
 def read_token_array(spark: SparkSession, path: str) -> DataFrame:
     """Files that are one JSON array of token lists each, however large -> file, pos (from 0), tokens. A file is read by many tasks.
 
     The text reader cuts a file at every `]` wherever its byte ranges begin, so a piece holds one element, whatever blanks or line ends stand around
     the commas. A bracket may also stand inside a string; a piece ends inside one if the quotes up to there are odd in number, which a running total
-    over the file tells, and is then put together with the next. A broken element is an error when it is read.
+    over the byte ranges tells, and is then put together with the next. Texts stay in the task that reads them: only the first piece of each range, its
+    last one if it is cut, and counts are written; the counts have a row for each range, which the driver planned, and are broadcast. A broken element is an
+    error when it is read.
     """
     text = spark.read.text(path, lineSep="]")
+    quotes = F.regexp_count(F.regexp_replace("value", r"\\.", ""), F.lit('"')).cast("bigint")
     pieces = text.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value",
+        F.col("_metadata.file_block_start").alias("block"), quotes.alias("quotes"), "value",
     )
-    quotes = F.regexp_count(F.regexp_replace("value", r"\\.", ""), F.lit('"')).cast("bigint")
-    order = [F.col("block"), F.col("row")]
-    placed = running_total(pieces.withColumn("quotes", quotes), order, ["path"], "quotes", "so_far")
-    ends = (F.col("so_far") % 2 == 0).cast("bigint")
-    numbered = running_total(placed.withColumn("ends", ends), order, ["path"], "ends", "ended").withColumn("element", F.col("ended") - F.col("ends"))
-    parts = F.array_sort(F.collect_list(F.struct("block", "row", "value")))
-    whole = numbered.groupBy("path", "file", "element").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "]").alias("value"))
-    # The first piece has the bracket of the whole array before its element, the others a comma.
-    body = F.when(F.col("element") == 0, F.regexp_replace("value", r"^\s*\[\s*", "")).otherwise(F.regexp_replace("value", r"^\s*,?\s*", ""))
-    bodies = whole.select("path", "file", "element", body.alias("value")).filter(~F.col("value").rlike(r"^\s*$"))
-    # A piece without a bracket outside its strings ends at that of the whole array.
-    outside = F.filter(F.split(F.regexp_replace("value", r"\\.", ""), '"'), lambda x, i: i % 2 == 0)
-    is_list = F.when(F.col("value").startswith("["), True).otherwise(F.exists(outside, lambda x: x.contains("[")))
-    lists = F.from_json(F.concat(F.lit("["), "value", F.when(is_list, "]]").otherwise("]")), TOKENS_JSON, {"mode": "FAILFAST"})
-    # A piece holds several elements where some are no lists.
-    rows = bodies.select("path", "file", "element", F.posexplode(lists).alias("at", "tokens"))
-    counted = running_total(rows, [F.col("element"), F.col("at")], ["path"], name="pos")
-    return counted.select("file", (F.col("pos") - 1).alias("pos"), "tokens")
+
+    def of_block(rows: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
+        side = F.broadcast(blocks.select(F.col("path").alias("_p"), F.col("block").alias("_b"), name))
+        return rows.join(side, (F.col("path") == F.col("_p")) & (F.col("block") == F.col("_b"))).drop("_p", "_b")
+
+    blocks = pieces.groupBy("path", "block").agg(F.sum("quotes").alias("quotes"))
+    upto = running_total(blocks, [F.col("block")], ["path"], "quotes", "upto").withColumn("inside", (F.col("upto") - F.col("quotes")) % 2 == 1)
+    placed = of_block(pieces, materialize(upto, "blocks"), "inside")
+    elements = placed.select("path", "file", "block", "inside", "quotes", "value").mapInArrow(_array_elements, ARRAY_ELEMENTS)
+
+    inner = ~F.col("first") & F.col("ends")
+    at_edge = F.collect_list(F.when(~inner, F.struct((~F.col("first")).alias("later"), "begins", "value")))
+    edges = elements.groupBy("path", "file", "block").agg(F.sum(F.when(inner, F.col("n")).otherwise(0)).alias("n"), F.array_sort(at_edge).alias("edges"))
+    edges = materialize(edges, "edges")
+    parts = edges.select("path", "file", "block", F.explode("edges").alias("p")).select("path", "file", "block", "p.*")
+    placed = running_total(parts.withColumn("one", F.col("begins").cast("bigint")), [F.col("block"), F.col("later")], ["path"], "one", "chain")
+    ordered = F.array_sort(F.collect_list(F.struct("block", "later", "value")))
+    chains = placed.groupBy("path", "file", "chain").agg(ordered.alias("parts"))
+    chains = chains.select("path", "file", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["later"].alias("later"),
+        F.array_join(F.transform("parts", lambda p: p["value"]), "]").alias("value"),
+    ).filter(~F.col("value").rlike(r"^\s*$"))
+
+    def lists(rows: DataFrame, *keep: str) -> DataFrame:
+        # A piece without a bracket outside its strings ends at that of the whole array.
+        outside = F.filter(F.split(F.regexp_replace("value", r"\\.", ""), '"'), lambda x, i: i % 2 == 0)
+        is_list = F.when(F.col("value").startswith("["), True).otherwise(F.exists(outside, lambda x: x.contains("[")))
+        parsed = F.from_json(F.concat(F.lit("["), "value", F.when(is_list, "]]").otherwise("]")), TOKENS_JSON, {"mode": "FAILFAST"})
+        # A piece holds several elements where some are no lists.
+        return rows.select(*keep, F.posexplode(parsed).alias("at", "tokens"))
+
+    joined = materialize(lists(chains, "path", "file", "block", "later"), "chains")
+    # The first piece of a block, the pieces between, and the last one if it is cut.
+    sizes = edges.select("path", "block", F.lit(1).alias("place"), "n")
+    place = F.when(F.col("later"), 2).otherwise(0).alias("place")
+    sizes = sizes.unionByName(joined.groupBy("path", "block", place).agg(F.count("*").alias("n")))
+    before = running_total(sizes, [F.col("block"), F.col("place")], ["path"], "n", "upto").withColumn("before", F.col("upto") - F.col("n"))
+    before = materialize(before, "before")
+    found = lists(of_block(elements.filter(inner), before.filter("place = 1"), "before"), "file", (F.col("before") + F.col("ahead")).alias("before"))
+    for at in (0, 2):
+        rows = of_block(joined.filter(place == at), before.filter(F.col("place") == at), "before")
+        found = found.unionByName(rows.select("file", "before", "at", "tokens"))
+    return found.select("file", (F.col("before") + F.col("at")).alias("pos"), "tokens")
 
 
 def count_records(docs: DataFrame) -> DataFrame:
