@@ -284,6 +284,21 @@ def test_the_first_pass_of_a_grid_shares_its_inference(spark, planted):
     assert all(np.allclose(tables[0][key], tables[1][key]) for key in tables[0])
 
 
+def test_many_models_meet_a_block_some_columns_at_a_time(spark, planted, monkeypatch):
+    """No block gets the columns of all models of a grid, and the numbers are those of all together."""
+    models = [CM.Model(k, 0.1, 0.1, d, fold=f) for k in (3, 5) for d in (0.5, 0.7, 0.9) for f in range(10)]
+    packed = CM.pack(planted, folds=10)
+    sent, send = [], CM.Routes.sent
+    monkeypatch.setattr(CM.Routes, "sent", lambda *args: sent.append(send(*args)) or sent[-1])
+    weights = CM.fit(packed, models, passes=2)
+    scores = sorted(map(tuple, CM.corpus_scores(packed, weights, models).collect()))
+    assert len(sent) == 3 and all(0 < s.select(F.max(F.length("weights") / (F.length("local") * 2))).first()[0] <= 64 for s in sent)
+    monkeypatch.setattr(CM, "GROUP_COLUMNS", 1 << 20, raising=False)
+    again = CM.fit(packed, models, passes=2)
+    assert np.allclose(scores, sorted(map(tuple, CM.corpus_scores(packed, again, models).collect())))
+    assert sum(len(members) for members, _ in CM.Columns([CM.Model(100, 0.1, 0.1)] * 3).groups()) == 3
+
+
 def test_inference_of_documents_together_is_that_of_each_alone():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 40, 60)
