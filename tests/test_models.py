@@ -363,6 +363,16 @@ def test_a_pass_sends_one_row_for_a_bucket_and_block(spark):
     assert {(r.term, r.part): list(r.weights) for r in routes.rows(routes.weights, "weights", columns.width).collect()} == want
 
 
+def test_buckets_go_to_python_one_by_one(spark, planted):
+    packed, models = CM.pack(planted), [CM.Model(2, 0.1, 0.1)]
+    weights = materialize(CM.start_weights(CM.packed_terms(packed), models, 75), "start")
+    routes = CM.route(packed, weights, 1, 2)
+    for df in (routes.sent(routes.weights), routes.rows(routes.weights, "weights", 2), CM.expected_counts(packed, weights, models)):
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    totals = sum(np.frombuffer(r.totals) for r in routes.weights.collect())
+    assert np.allclose(totals, CM.column_totals(weights, CM.Columns(models)))
+
+
 def test_documents_of_like_size_are_inferred_as_tables(monkeypatch):
     """Large inputs take two matrix products a step and give the numbers of the columns; documents without entries keep the prior."""
     rng = np.random.default_rng(6)
