@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from topicloom import runtime, schemas
 from topicloom.operators import corpus as C
+from topicloom.plans import source_queries as SQ
 from topicloom.sources import readers as IN
 from topicloom.sources import writers as OUT
 from topicloom.streaming import streams
@@ -128,6 +129,12 @@ def test_the_texts_of_an_array_are_not_written_again(spark, tmp_path, monkeypatc
     assert written < (tmp_path / "in.json").stat().st_size / 10
 
 
+def test_documents_without_text_are_elements_of_the_array(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["a"]), (2, None), (3, []), (4, None)], "doc_id bigint, tokens array<string>").coalesce(1)
+    monkeypatch.setattr(SQ, "documents", lambda *_: docs)
+    assert sorted((r.n_tokens or 0, r.joined_md5 is None) for r in SQ.read_token_array(spark, "").collect()) == [(0, False), (0, True), (0, True), (1, False)]
+
+
 def test_streams_resume_without_double_counting(spark, tmp_path):
     docs = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a"]) for i in range(6)], "doc_id bigint, tokens array<string>")
     paths = [str(tmp_path / p) for p in ("in", "out", "state")]

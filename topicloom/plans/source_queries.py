@@ -116,7 +116,7 @@ def _one_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_token_array(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in files of one array each, read by byte ranges."""
     path = scratch_path(spark, "arrays")
-    docs = documents(spark, sf).select(F.to_json("tokens").alias("value"))
+    docs = documents(spark, sf).select(F.coalesce(F.to_json("tokens"), F.lit("null")).alias("value"))
     docs.mapInPandas(_one_array, "value string").write.text(path)
     return IN.read_token_array(spark, path).select(F.md5(TX.join_tokens(F.col("tokens"))).alias("joined_md5"), F.size("tokens").alias("n_tokens"))
 
